@@ -37,15 +37,24 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written once to the shared folder: later uses read them, and no executor's loss undoes them."""
-    path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    """The rows, written once to the shared folder: later uses read them, and no executor's loss undoes them.
+
+    The shuffle files of the plan that made them have no further use and go at once."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, name)
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, "false")
+    spark.conf.set(setting, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(setting, before)
+    return spark.read.parquet(path)
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the bytes that a plan reads; for files, their size."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Catalyst's estimate of the bytes that a plan reads; for files, their size. 0 where it has none."""
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return n if n < 1 << 56 else 0
 
 
 def shards(df: DataFrame, per_shard: int = 24 << 20) -> int:

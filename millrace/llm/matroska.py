@@ -249,38 +249,46 @@ def packets(blobs: DataFrame, id_col: str, blob_col: str) -> DataFrame:
     return made.select("id", F.explode("p").alias("p")).select("id", "p.*")
 
 
-def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lacing: int = 3) -> DataFrame:
-    """Texts stored as media: doc_id, n_bytes (of the text), media (the file)."""
+def _make(batches: Iterator[pa.RecordBatch], lacing: int) -> Iterator[pa.RecordBatch]:
+    for c in chunks(batches):
+        files, sizes = [], np.diff(c.starts)
+        for a, b in zip(c.starts[:-1].tolist(), c.starts[1:].tolist()):
+            text = c.data[a:b].tobytes()
+            text += PAD * (max(1, -(-len(text) // FRAME)) * FRAME - len(text))
+            files.append(write(text, 1 + zlib.crc32(text), lacing))
+        yield pa.RecordBatch.from_arrays([c.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], ["doc_id", "n_bytes", "media"])
+
+
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        cols = [[] for _ in range(6)]
+        for blob in batch.column("media"):
+            data = blob.as_py()
+            found = parse(data, strict=True)
+            payload = b"".join([data[p.start : p.start + p.size] for p in found])
+            v = np.frombuffer(payload, np.uint8)
+            mean = int(v.sum(dtype=np.int64)) * 1000 // len(v)
+            cued = sum(p.cued for p in found)
+            text = f"packets={len(found)};blocks={found[-1].block + 1};clusters={cued};end_ns={found[-1].timestamp_ns};min={v.min()};max={v.max()};mean_milli={mean}"
+            for col, x in zip(cols, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), text)):
+                col.append(x)
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+
+
+FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in chunks(batches):
-            files, sizes = [], np.diff(c.starts)
-            for a, b in zip(c.starts[:-1].tolist(), c.starts[1:].tolist()):
-                text = c.data[a:b].tobytes()
-                text += PAD * (max(1, -(-len(text) // FRAME)) * FRAME - len(text))
-                files.append(write(text, 1 + zlib.crc32(text), lacing))
-            yield pa.RecordBatch.from_arrays([c.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(files, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return texts(docs, id_col, text_col).mapInArrow(make, "doc_id long, n_bytes long, media binary")
+def media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lacing: int = 3) -> DataFrame:
+    """Texts stored as media: doc_id, n_bytes (of the text), media (the file)."""
+    return texts(docs, id_col, text_col).mapInArrow(lambda it: _make(it, lacing), "doc_id long, n_bytes long, media binary")
 
 
 def features(stored: DataFrame) -> DataFrame:
     """From the stored bytes of `media`: payload and file digests, and a feature text of the packets and samples."""
+    return stored.mapInArrow(_measure, FEATURES)
+
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols = [[] for _ in range(6)]
-            for blob in batch.column("media"):
-                data = blob.as_py()
-                found = parse(data, strict=True)
-                payload = b"".join([data[p.start : p.start + p.size] for p in found])
-                v = np.frombuffer(payload, np.uint8)
-                mean = int(v.sum(dtype=np.int64)) * 1000 // len(v)
-                cued = sum(p.cued for p in found)
-                text = f"packets={len(found)};blocks={found[-1].block + 1};clusters={cued};end_ns={found[-1].timestamp_ns};min={v.min()};max={v.max()};mean_milli={mean}"
-                for col, x in zip(cols, (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), text)):
-                    col.append(x)
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-
-    return stored.mapInArrow(measure, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+def media_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lacing: int = 3) -> DataFrame:
+    """`features(media(docs))` in one worker a task, which passes each stored batch on without keeping it."""
+    return texts(docs, id_col, text_col).mapInArrow(lambda it: _measure(_make(it, lacing)), FEATURES)

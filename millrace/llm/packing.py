@@ -112,16 +112,19 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
             take(s, n)
             out.add(n, (s,), True)
             continue
-        # The two smallest pieces other than one of this length.
-        small = next((x for x in sizes if x != s or left[s] > 1), None)
-        two = small + (small if left[small] > 1 + (small == s) else sizes[sizes.index(small) + 1] if sizes.index(small) + 1 < len(sizes) else capacity)
+        # The two smallest pieces other than this one.
+        others = [x for x in sizes[:3] for _ in range(min(2, left[x] - (x == s)))][:2]
+        two = sum(others) if len(others) == 2 else capacity
         if two > room:
-            k = sizes[bisect_right(sizes, room) - 1]
-            n = left[s] // 2 if k == s else min(left[s], left[k])
-            if n == 0:  # one piece of this length, and no other fits
+            at = bisect_right(sizes, room) - 1
+            while at >= 0 and left[sizes[at]] <= (sizes[at] == s):
+                at -= 1
+            if at < 0:  # no other piece fits
                 take(s, 1)
                 out.add(1, (s,), True)
                 continue
+            k = sizes[at]
+            n = left[s] // 2 if k == s else min(left[s], left[k])
             take(s, n)
             take(k, n)
             out.add(n, (s, k), True)

@@ -19,8 +19,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Files are written and then read again a partition at a time; nothing of them is shuffled.
-    return matroska.features(matroska.media(table(spark, sf_dir, "documents")))
+    return matroska.media_features(table(spark, sf_dir, "documents"))
 
 
 def op5_patched_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
