@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attribution, covering_simhash, decontaminate, matroska, packing, patched_frames, repeated_phrases, secret_ledger, toxicity_neighbours
+from . import attribution, bwt_merge, covering_simhash, decontaminate, matroska, packing, patched_frames, repeated_phrases, secret_ledger, toxicity_neighbours
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op6_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.attribute(table(spark, sf_dir, "documents"))
 
 
+def op7_bwt_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_merge.dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_covering_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covering_simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_ledger, op2_decontamination, op3_repeated_phrases, op4_matroska, op5_patched_frames, op6_token_attribution, op8_covering_simhash, op9_toxicity, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_secret_ledger, op2_decontamination, op3_repeated_phrases, op4_matroska, op5_patched_frames, op6_token_attribution, op7_bwt_merge, op8_covering_simhash, op9_toxicity, op10_best_fit_packing)}
 
 _SHINGLES = r"""
   {name}_w AS (SELECT {id} AS id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), w -> w <> '') AS w FROM {table} WHERE {id} IS NOT NULL),
