@@ -30,8 +30,8 @@ from .common import chunks, stored, texts
 RADIUS, LARGE = 3, 512
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (64 bits as a signed long)."""
+def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", distinct: bool = False) -> DataFrame:
+    """doc_id, fp (64 bits as a signed long) of all shingles, or of the distinct ones."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -45,10 +45,15 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
                 if n < 1:
                     out[i] = h64(b" ".join(words)) if words else 0
                     continue
+                if distinct:
+                    words = list(dict.fromkeys(words if shingle == 1 else map(b" ".join, zip(*(words[k:] for k in range(shingle))))))
+                    n, size = len(words), 1
+                else:
+                    size = shingle
                 ones = np.zeros(64, np.int64)
                 for at in range(0, n, 1 << 16):
                     m = min(1 << 16, n - at)
-                    parts = [words[at + k : at + k + m] for k in range(shingle)]
+                    parts = [words[at + k : at + k + m] for k in range(size)]
                     hashes = np.fromiter(map(h64, map(b" ".join, zip(*parts))), np.uint64, m)
                     ones += np.unpackbits(hashes.view(np.uint8).reshape(m, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
                 out[i] = np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0]
@@ -170,8 +175,32 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, id_
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without the documents of a component but for the one with its least id."""
-    near = near_duplicates(docs, shingle, radius, id_col, text_col)
-    lost = stored(near.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_lost")).distinct(), "near-copies")
-    return docs.join(lost, F.col(id_col) == F.col("_lost"), "left_anti")
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` without all but the least id of each group of near copies; all columns stay.
+
+    Near copies share `similarity` of their distinct shingles of `words` words (Jaccard). Fingerprints of such shingles
+    lie up to a dozen bits apart at 0.8, too far for a covering of useful size, so the candidates come from
+    fingerprints of the distinct words, of which an edit changes one and not `words`; every pair within `radius` bits
+    there is found. A link between two fingerprints, and each text's to the first of its own fingerprint, counts if the
+    exact similarity of the two texts reaches the threshold."""
+    from .decontaminate import _shingle_hashes, _words
+
+    source = texts(docs, id_col, text_col).where("doc_id is not null")
+    signed = stored(fingerprints(source, 1, distinct=True).join(source.select(F.col("doc_id").alias("_i"), F.unhex(F.md5("text")).alias("digest")), F.col("doc_id") == F.col("_i")).select("doc_id", "fp", "digest").distinct(), "signed")
+    unique = stored(signed.groupBy("digest", "fp").agg(F.min("doc_id").alias("doc_id")), "unique-texts")
+    heads = stored(unique.groupBy("fp").agg(F.min("doc_id").alias("head")), "heads")
+    pairs = links(heads.select("fp"), radius)
+    across = pairs.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
+    inside = unique.join(heads, "fp").where("doc_id <> head").select(F.col("head").alias("x"), F.col("doc_id").alias("y"))
+    edges = stored(across.unionByName(inside), "candidate-pairs")
+    nodes = stored(edges.select(F.col("x").alias("_n")).union(edges.select("y")).distinct(), "nodes")
+    sets = source.join(nodes.hint("shuffle_hash"), F.col("doc_id") == F.col("_n")).select("doc_id", _words(F.lower("text")).alias("w")).select("doc_id", F.array_distinct(_shingle_hashes("w", words)).alias("s"))
+    sets = stored(sets, "shingle-sets")
+    side = lambda n: sets.select(F.col("doc_id").alias(n), F.col("s").alias(f"s{n}"))
+    both = edges.join(side("x"), "x").join(side("y"), "y").withColumn("n", F.size(F.array_intersect("sx", "sy")))
+    real = both.where(F.col("n") >= similarity * (F.size("sx") + F.size("sy") - F.col("n")) - 1e-9).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    labels = stored(components(real), "labels")
+    group = unique.join(labels, F.col("doc_id") == F.col("node"), "left").select("digest", F.coalesce("label", "doc_id").alias("kept"))
+    group = stored(group.groupBy("digest").agg(F.min("kept").alias("kept")), "groups")
+    lost = stored(signed.join(group, "digest").where("doc_id <> kept").select(F.col("doc_id").alias("_lost")).distinct(), "near-copies")
+    return docs.join(lost.hint("shuffle_hash"), F.col(id_col) == F.col("_lost"), "left_anti")

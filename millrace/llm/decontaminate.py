@@ -87,4 +87,4 @@ def search(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, word
 def keep_uncontaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without the documents that hold an item; all columns stay."""
     lost = stored(search(docs, items, threshold, words, id_col, text_col).select(F.col("doc_id").alias("_lost")).distinct(), "leaks")
-    return docs.join(lost, F.col(id_col) == F.col("_lost"), "left_anti")
+    return docs.join(lost.hint("shuffle_hash"), F.col(id_col) == F.col("_lost"), "left_anti")
