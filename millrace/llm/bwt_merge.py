@@ -72,28 +72,38 @@ def transform(strings: Sequence[bytes], depth: int) -> tuple[np.ndarray, np.ndar
 
 
 def merge(transforms: Sequence[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """(interleave, interval): by rounds of refinement, for each row of the merged order the transform it is from (its
-    rows keep their order), and the number of its interval, the rows with the same first `depth` symbols."""
+    """(rows, interval): rows of the transforms, numbered one transform after the other, whose first `depth` symbols
+    other rows have too, in merged order, and the number of each one's interval.
+
+    A round distributes the rows by the symbol before them, stably, which turns the order by k symbols into the order
+    by k + 1 of the rows that those symbols lead to. A row whose first k symbols no other row has leads to such a row
+    again, so it is left out from then on; ends of strings differ from each other and lead nowhere."""
     last = np.concatenate(transforms)
-    ends = np.concatenate([np.full(int((t == 0).sum()), i, np.uint16) for i, t in enumerate(transforms)])
-    source = np.repeat(np.arange(len(transforms), dtype=np.uint16), [len(t) for t in transforms])
+    base = np.cumsum([0, *map(len, transforms)])
+    # To which row of its transform each row leads: a transform's rows are distributed by symbol as all are.
+    lead = np.concatenate([_inverse(t) + o for t, o in zip(transforms, base)])
+    row = np.arange(len(last))
     interval = np.zeros(len(last), np.int32)
-    m = len(ends)
-    symbol = np.empty(len(last), np.uint16)
     for _ in range(depth):
-        symbol[np.argsort(source, kind="stable")] = last
+        symbol = last[row]
         order = np.argsort(symbol, kind="stable")
-        source, before, s = source[order], interval[order], symbol[order]
-        source[:m] = ends  # rows of the ends alone: as the strings are ordered
-        new = np.ones(len(last), np.int32)
-        new[1:] = (s[1:] != s[:-1]) | (before[1:] != before[:-1])
-        new[:m] = 1
-        interval = np.cumsum(new, dtype=np.int32)
-    return source, interval
+        order = order[np.searchsorted(symbol[order], 1) :]
+        symbol, interval, row = symbol[order], interval[order], lead[row[order]]
+        new = np.ones(len(row) + 1, bool)
+        new[1:-1] = (symbol[1:] != symbol[:-1]) | (interval[1:] != interval[:-1])
+        shared = ~(new[:-1] & new[1:])
+        row, interval = row[shared], np.cumsum(new[:-1], dtype=np.int32)[shared]
+    return row, interval
+
 
+def _inverse(transform: np.ndarray) -> np.ndarray:
+    out = np.empty(len(transform), np.int64)
+    out[np.argsort(transform, kind="stable")] = np.arange(len(transform))
+    return out
 
-def least_owners(strings: Sequence[bytes], owners: np.ndarray, window: int, block_bytes: int = BLOCK_BYTES) -> list[np.ndarray]:
-    """For each string, by the window's start, the least owner of a string that has the window too."""
+
+def least_owners(strings: Sequence[bytes], owners: np.ndarray, window: int, block_bytes: int = BLOCK_BYTES) -> tuple[np.ndarray, np.ndarray]:
+    """(least, base): for the window at place p of string i, least[base[i] + p], the least owner of a string with it."""
     blocks, size = [[]], 0
     for i, s in enumerate(strings):
         if size + len(s) > block_bytes and blocks[-1]:
@@ -102,20 +112,17 @@ def least_owners(strings: Sequence[bytes], owners: np.ndarray, window: int, bloc
         blocks[-1].append(i)
         size += len(s)
     made = [transform([strings[i] for i in b], window) for b in blocks]
-    source, interval = merge([t for t, _, _ in made], window)
-    rows = np.argsort(source, kind="stable")
-    where = np.empty(len(source), np.int64)
-    where[rows] = np.concatenate([np.array(b)[string] for b, (_, _, string) in zip(blocks, made)])
-    place = np.empty(len(source), np.int64)
-    place[rows] = np.concatenate([suffix for _, suffix, _ in made])
-    first = np.flatnonzero(np.concatenate([[True], interval[1:] != interval[:-1]]))
-    least = np.repeat(np.minimum.reduceat(owners[where], first), np.diff(np.append(first, len(where))))
-    sizes = np.array([len(s) for s in strings])
-    base = np.concatenate([[0], np.cumsum(np.maximum(0, sizes - window + 1))])
-    ok = place + window <= sizes[where]
-    flat = np.empty(int(base[-1]), np.int64)
-    flat[base[where[ok]] + place[ok]] = least[ok]
-    return np.split(flat, base[1:-1])
+    row, interval = merge([t for t, _, _ in made], window)
+    where = np.concatenate([np.array(b)[string] for b, (_, _, string) in zip(blocks, made)])[row]
+    place = np.concatenate([suffix for _, suffix, _ in made])[row]
+    sizes = np.maximum(0, np.array([len(s) for s in strings]) - window + 1)
+    base = np.concatenate([[0], np.cumsum(sizes)])
+    least = np.repeat(owners, sizes)
+    if len(row):
+        first = np.flatnonzero(np.concatenate([[True], interval[1:] != interval[:-1]]))
+        own = np.repeat(np.minimum.reduceat(owners[where], first), np.diff(np.append(first, len(where))))
+        least[base[where] + place] = own
+    return least, base
 
 
 class Anchors:
@@ -219,8 +226,10 @@ def _judge(table: pa.Table, window: int, gram: int) -> pa.Table:
     gram_of, at = np.array([k[0] for k in known], np.uint64), np.array([k[1] for k in known], np.int64)
     least = np.full(len(strings), np.iinfo(np.int64).max)
     np.minimum.at(least, which, owner)
+    windows = np.maximum(0, np.array([len(x) for x in strings]) - window + 1)
+    base = np.concatenate([[0], np.cumsum(windows)])
+    first = np.repeat(least, windows)
     # Strings that share a gram stay together; merges of about MERGE_BYTES.
-    found: dict[int, np.ndarray] = {}
     todo = np.flatnonzero(_overlapping(strings, gram_of, at, window, gram))
     todo = todo[np.argsort(gram_of[todo], kind="stable")]
     batch: list[int] = []
@@ -229,17 +238,23 @@ def _judge(table: pa.Table, window: int, gram: int) -> pa.Table:
         batch.append(i)
         held += len(strings[i])
         if j + 1 == len(todo) or held > MERGE_BYTES and gram_of[todo[j + 1]] != gram_of[i]:
-            for k, v in zip(batch, least_owners([strings[k] for k in batch], least[batch], window)):
-                found[k] = v
+            found, begin = least_owners([strings[k] for k in batch], least[batch], window)
+            first[np.repeat(base[batch] - begin[:-1], np.diff(begin)) + np.arange(len(found))] = found
             batch, held = [], 0
-    docs: dict[int, list[tuple[int, int]]] = {}
-    for w, o, p, n in zip(which.tolist(), owner.tolist(), place.tolist(), size.tolist()):
-        if o > least[w]:
-            docs.setdefault(o, []).append((p, n - window + 1))
-        elif w in found:
-            for a, b in zip(*(v.tolist() for v in W.runs(found[w] < o))):
-                docs.setdefault(o, []).append((p + a, b - a))
-    return pa.table({"doc_id": pa.array(list(docs), pa.int64()), "runs": pa.array([np.array(r, "<i8").tobytes() for r in docs.values()], pa.binary())})
+    late = owner > least[which]  # a smaller document has the whole context
+    some = np.flatnonzero(~late)
+    count = windows[which[some]]
+    entry = np.repeat(some, count)
+    begin = np.cumsum(count) - count
+    inner = np.arange(len(entry)) - np.repeat(begin, count)
+    a, b = W.runs(first[base[which[entry]] + inner] < owner[entry], entry)
+    who = np.concatenate([owner[late], owner[entry[a]]])
+    run = np.stack([np.concatenate([place[late], place[entry[a]] + inner[a]]), np.concatenate([windows[which[late]], b - a])], 1).astype("<i8")
+    order = np.argsort(who, kind="stable")
+    who, run = who[order], run[order]
+    cuts = np.flatnonzero(np.diff(who)) + 1
+    parts = np.split(run, cuts) if len(who) else []
+    return pa.table({"doc_id": pa.array(who[np.concatenate([[0], cuts]).astype(int)] if len(who) else [], pa.int64()), "runs": pa.array([p.tobytes() for p in parts], pa.binary())})
 
 
 def _finish(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:

@@ -15,14 +15,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Chunk, chunks, shards, stored
+from .windows import mix
 
 ASK = "shard int, hashes binary, owners binary, known_hashes binary, known_owners binary"
 
 
 def shard_of(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Even shards of hashes that need not be even themselves: minimizers are small."""
+    hashes = mix(hashes, 41)
     return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
+def _dealt(h: np.ndarray, which: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places by shard, where each shard starts)."""
+    shard = shard_of(h[which], n)
+    order = np.argsort(shard, kind="stable")
+    return which[order], np.searchsorted(shard[order], np.arange(n + 1))
+
+
 def repeated(docs: DataFrame, grams: Callable[[Chunk], tuple[np.ndarray, np.ndarray]], within: bool) -> DataFrame:
     """(doc_id, h): the grams of each document that repeat. `grams` gives (document's place, hash) of a chunk.
 
@@ -47,11 +57,9 @@ def repeated(docs: DataFrame, grams: Callable[[Chunk], tuple[np.ndarray, np.ndar
             first = ~same | other
             local = known[group]
             send = np.flatnonzero(~same)  # one document stands for all, marked if the repeat is known already
+            send, cuts = _dealt(h, send, n)
             owner = ids[doc[send]]
-            tell = np.flatnonzero(first & local)
-            at = shard_of(h[send], n)
-            cuts = np.searchsorted(at, np.arange(n + 1))
-            at_known = np.searchsorted(shard_of(h[tell], n), np.arange(n + 1))
+            tell, at_known = _dealt(h, np.flatnonzero(first & local), n)
             flag = local[send]
             hs, os, kh, ko = h[send], owner, h[tell], ids[doc[tell]]
             rows = []
