@@ -56,7 +56,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_secret_ledger, op2_decontamination, op3_repeated_phrases, op4_matroska, op5_patched_frames, op6_token_attribution, op7_bwt_merge, op8_covering_simhash, op9_toxicity, op10_best_fit_packing)}
 
 _SHINGLES = r"""
-  {name}_w AS (SELECT {id} AS id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), w -> w <> '') AS w FROM {table} WHERE {id} IS NOT NULL),
+  {name}_w AS (SELECT {id} AS id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda w: w <> '') AS w FROM {table} WHERE {id} IS NOT NULL),
   {name}_s AS (SELECT DISTINCT id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM {name}_w WHERE len(w) > 0))"""
 
 ORACLES = {
