@@ -1,8 +1,10 @@
-"""Exact encoding with a byte-level BPE of the tokenizers library, a distinct word at a time.
+"""Exact encoding with a byte-level BPE of the tokenizers library, a distinct piece at a time.
 
 Such a tokenizer cuts a text into pre-tokens before it merges bytes, and none of them crosses the place before a space
-or a line feed that stands alone between other characters. Pieces between such places therefore have the ids that
-they have within the whole text, so each distinct piece is encoded once and looked up after that. A text that is not of
+or a line feed that stands alone between other characters, or the place between a letter or digit and a final run of
+ASCII punctuation. Pieces between such places therefore have the ids that they have within the whole text, so each
+distinct piece is encoded by the library once and looked up after that, by a 64-bit hash of its bytes (a worker
+remembers about a million pieces, so that two of them share a hash is as good as impossible). A text that is not of
 this simple form is cut at lone spaces only, or encoded whole if it holds a special token's text.
 """
 
@@ -11,18 +13,54 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Sequence
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import windows as W
+
 #: Texts in which some space or line feed does not stand alone, or that hold other white space.
 ODD = "[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]|[ \n][ \n]|^[ \n]|[ \n]$"
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Pieces that a worker remembers; it forgets them all when there are more.
-MEMORY = 900_000
+MEMORY = 1_000_000
+
+_ALNUM, _PUNCT = np.zeros(256, bool), np.zeros(256, bool)
+_ALNUM[[b for b in range(128) if chr(b).isalnum()]] = True
+_PUNCT[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
+
+
+def pieces(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, whether a space belongs before it) of the pieces of texts of the simple form, none of them empty."""
+    n = len(data)
+    space, feed = data == 32, data == 10
+    begin, end = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+    word = ~(space | feed)
+    edge = np.zeros(n + 1, bool)
+    edge[starts] = True
+    begin[1:n] = word[1:] & ~word[:-1]
+    end[1:n] = ~word[1:] & word[:-1]
+    begin[:n] |= edge[:n] & word
+    end[1:] |= edge[1:] & word
+    # a final run of punctuation after an ASCII letter or digit, or after a letter of U+00C0 to U+00FF
+    e = np.flatnonzero(end)
+    plain = np.where(_PUNCT[data], 0, np.arange(1, n + 1))
+    np.maximum.accumulate(plain, out=plain)
+    cut = plain[e - 1]
+    b = np.flatnonzero(begin)
+    ok = (cut < e) & (cut > b)
+    cut = cut[ok]
+    last, before = data[cut - 1], data[np.maximum(cut - 2, 0)]
+    cut = cut[_ALNUM[last] | (before == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7)]
+    spaced = np.zeros(n + 1, bool)
+    spaced[1:n] = begin[1:n] & space[:-1] & ~edge[1:n]
+    begin[cut] = end[cut] = True
+    f = np.flatnonzero(feed)
+    begin[f] = end[f + 1] = True
+    s = np.flatnonzero(begin)
+    return s, np.flatnonzero(end), spaced[s]
 
 
 class Encoder:
@@ -37,7 +75,7 @@ class Encoder:
         kind = spec.get("pre_tokenizer") or {}
         if kind.get("type") != "ByteLevel" or kind.get("add_prefix_space") or spec.get("normalizer"):
             raise ValueError("a byte-level BPE without normalizer or added prefix space is needed")
-        self.tokenizer, self.memory, self.pieces = Tokenizer.from_file(path), memory, {}
+        self.tokenizer, self.memory = Tokenizer.from_file(path), memory
         vocab = self.tokenizer.get_vocab()
         self.size = 1 + max(vocab.values())
         self.dtype = np.uint16 if self.size <= 1 << 16 else np.uint32
@@ -47,27 +85,72 @@ class Encoder:
         for token, i in vocab.items():
             self.heads[i] = token[0] in "ĠĊ"
             self.lengths[i] = len(token.encode()) if token in self.special else len(token)
+        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self._forget()
+
+    def _forget(self) -> None:
+        """Piece i has the ids pool[at[i] : at[i + 1]]; known gives i by hash."""
+        self.known: dict[int, int] = {}
+        self.pool, self.at, self.used = np.empty(1 << 16, self.dtype), np.zeros(1 << 14, np.int64), 0
 
-    def _learn(self, new: Sequence[str]) -> None:
-        """Encodes pieces, joined into texts of some KB: only a piece's first token starts with a space or line feed."""
+    def _learn(self, keys: list[int], new: list[bytes], spaced: list[bool]) -> None:
+        """Encodes pieces, joined into texts of some KB: each with its space, or a line feed in the place of none, so that
+        only a piece's first token starts with one."""
         groups, size = [[]], 0
-        for p in new:
-            groups[-1].append(p)
+        for p, s in zip(new, spaced):
+            groups[-1].append(" " + p.decode() if s else "\n" + p.decode() if p != b"\n" else "\n")
             size += len(p)
             if size > 1 << 15:
                 groups.append([])
                 size = 0
-        groups = [g for g in groups if g]
-        made = self.tokenizer.encode_batch_fast(["".join([p if p[0] == "\n" else " " + p for p in g]) for g in groups], add_special_tokens=False)
-        for group, enc in zip(groups, made, strict=True):
-            ids = np.array(enc.ids, self.dtype)
-            at = np.flatnonzero(self.heads[ids])
-            if len(at) != len(group):
-                raise AssertionError("pieces and tokens do not correspond")
-            raw, width = ids.tobytes(), ids.itemsize
-            ends = [*(at[1:] * width).tolist(), len(raw)]
-            for p, a, b in zip(group, (at * width).tolist(), ends, strict=True):
-                self.pieces[p] = raw[a:b]
+        made = [e.ids for e in self.tokenizer.encode_batch_fast(["".join(g) for g in groups if g], add_special_tokens=False)]
+        ids = np.array([i for m in made for i in m], self.dtype)
+        head = np.flatnonzero(self.heads[ids])
+        if len(head) != len(new):
+            raise AssertionError("pieces and tokens do not correspond")
+        bare = np.array([not s and p != b"\n" for p, s in zip(new, spaced)], bool)
+        keep = np.ones(len(ids), bool)
+        keep[head[bare]] = False  # the line feed that stood for no space
+        sizes = np.add.reduceat(keep, head, dtype=np.int64) if len(head) else np.empty(0, np.int64)
+        ids, n = ids[keep], len(self.known)
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
+        while n + len(new) + 1 > len(self.at):
+            self.at = np.concatenate([self.at, np.empty_like(self.at)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        self.at[n + 1 : n + 1 + len(new)] = self.used + np.cumsum(sizes)
+        self.used += len(ids)
+        self.known.update(zip(keys, range(n, n + len(new))))
+
+    def _simple(self, data: np.ndarray, starts: np.ndarray) -> list[bytes]:
+        """Ids of texts of the simple form, not empty, that lie one after the other."""
+        s, e, spaced = pieces(data, starts)
+        h = W.mix(W.spans(W.prefix(W.BYTES[data]), s, e) + (e - s).astype(np.uint64) * np.uint64(2) + spaced)
+        order = np.argsort(h)
+        k = h[order]
+        first = np.ones(len(k), bool)
+        first[1:] = k[1:] != k[:-1]
+        which = np.empty(len(k), np.int64)
+        which[order] = np.cumsum(first) - 1
+        at = order[first]
+        keys = k[first].tolist()
+        found = list(map(self.known.get, keys))
+        if None in found:
+            new = [i for i, f in enumerate(found) if f is None]
+            if len(self.known) + len(new) > self.memory:
+                self._forget()
+                new = range(len(keys))
+            raw = data.tobytes()
+            a, b, sp = s[at].tolist(), e[at].tolist(), spaced[at].tolist()
+            self._learn([keys[i] for i in new], [raw[a[i] : b[i]] for i in new], [sp[i] for i in new])
+            found = list(map(self.known.__getitem__, keys))
+        index = np.array(found, np.int64)[which]
+        begin, sizes = self.at[index], self.at[index + 1] - self.at[index]
+        ends = np.cumsum(sizes)
+        ids = self.pool[np.repeat(begin - (ends - sizes), sizes) + np.arange(ends[-1])].tobytes()
+        width = self.pool.itemsize
+        cuts = np.concatenate([[0], ends])[np.searchsorted(s, starts)] * width
+        return [ids[x:y] for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
     def _odd(self, text: str) -> bytes:
         parts = LONE_SPACE.split(text)
@@ -77,61 +160,53 @@ class Encoder:
     def encode(self, texts: pa.Array, group: int = 1 << 20) -> list[bytes]:
         """Of each text the ids as little-endian bytes of `dtype`. No text may be null.
 
-        Texts are taken in groups of about `group` characters, whose new pieces are learnt together."""
+        Simple texts are taken together, about `group` bytes at a time."""
         odd = pc.match_substring_regex(texts, ODD).to_pylist()
         for s in self.special:
             odd = [2 if h else o for o, h in zip(odd, pc.match_substring(texts, s).to_pylist())]
-        out, waiting, size = [], [], 0
-        for text, kind in zip(texts.to_pylist(), odd):
-            if not text:
-                out.append(b"")
-            elif kind == 2:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes())
+        out: list[bytes] = [b""] * len(texts)
+        waiting, held, size = [], [], 0
+        for i, (text, kind) in enumerate(zip(texts, odd)):
+            if kind == 2:
+                out[i] = np.array(self.tokenizer.encode(text.as_py(), add_special_tokens=False).ids, self.dtype).tobytes()
             elif kind:
-                out.append(self._odd(text))
-            elif len(text) > 4 * group:
-                out.append(self._large(self._cut(text)))
-            else:
-                waiting.append((len(out), self._cut(text)))
-                out.append(b"")
-                size += len(text)
-                if size >= group:
-                    self._fill(out, waiting)
-                    waiting, size = [], 0
-        self._fill(out, waiting)
+                out[i] = self._odd(text.as_py())
+            elif (raw := text.as_buffer()) is not None and raw.size:
+                if size and size + raw.size > group:
+                    self._fill(out, waiting, held)
+                    waiting, held, size = [], [], 0
+                waiting.append(i)
+                held.append(np.frombuffer(raw, np.uint8))
+                size += raw.size
+        if waiting:
+            self._fill(out, waiting, held)
         return out
 
-    @staticmethod
-    def _cut(text: str) -> list[str]:
-        return ("\n" + text).replace("\n", " \n")[1:].split(" ")
-
-    def _fill(self, out: list[bytes], waiting: list[tuple[int, list[str]]]) -> None:
-        skip = np.dtype(self.dtype).itemsize * self._feed
-        new = set().union(*[parts for _, parts in waiting]) - self.pieces.keys()
-        if len(self.pieces) + len(new) > self.memory:
-            self.pieces.clear()
-            new = set().union(*[parts for _, parts in waiting])
-        if new:
-            self._learn(list(new))
-        known = self.pieces.__getitem__
-        for i, parts in waiting:
-            out[i] = b"".join(map(known, parts))[skip:]
-
-    def _large(self, parts: list[str]) -> bytes:
-        """A long text, some thousand pieces at a time."""
-        out, skip = [], np.dtype(self.dtype).itemsize * self._feed
-        for i in range(0, len(parts), 100_000):
-            some = [b""]
-            self._fill(some, [(0, ["\n", *parts[i : i + 100_000]])])
-            out.append(some[0])
-        return b"".join(out)[skip:]
-
-    @property
-    def _feed(self) -> int:
-        """Ids that the line feed put before a text makes."""
-        if not hasattr(self, "_feeds"):
-            self._feeds = len(self.tokenizer.encode("\n", add_special_tokens=False).ids)
-        return self._feeds
+    def _fill(self, out: list[bytes], which: list[int], held: list[np.ndarray]) -> None:
+        data = np.concatenate(held)
+        if len(which) == 1 and len(data) > 1 << 22:
+            out[which[0]] = self._long(data)
+            return
+        made = self._simple(data, np.concatenate([[0], np.cumsum([len(x) for x in held])]))
+        for i, ids in zip(which, made):
+            out[i] = ids
+
+    def _long(self, data: np.ndarray) -> bytes:
+        """A very long text, cut before lone spaces some MB apart; each part but the first is encoded behind a word whose
+        ids are then dropped."""
+        cuts, out = [0], []
+        gaps = np.flatnonzero(data == 32)
+        while len(data) - cuts[-1] > 1 << 21:
+            at = np.searchsorted(gaps, cuts[-1] + (1 << 20))
+            if at == len(gaps):
+                break
+            cuts.append(int(gaps[at]))
+        lead = np.frombuffer(b"a", np.uint8)
+        skip = len(self._simple(lead, np.array([0, 1]))[0])
+        for a, b in zip(cuts, [*cuts[1:], len(data)]):
+            part = data[a:b] if not a else np.concatenate([lead, data[a:b]])
+            out.append(self._simple(part, np.array([0, len(part)]))[0][skip if a else 0 :])
+        return b"".join(out)
 
 
 @lru_cache(maxsize=2)
