@@ -10,6 +10,7 @@ import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def div(a: Column, b: Column) -> Column:
@@ -41,9 +42,8 @@ def erf(x: Column) -> Column:
     return F.signum(x) * (1 - p * F.exp(-x * x))
 
 
-@F.pandas_udf("double")
-def erf_exact(x):
-    return x.map(math.erf, na_action="ignore")
+def erf_exact(x: Column) -> Column:
+    return F.pandas_udf(lambda v: v.map(math.erf, na_action="ignore"), DoubleType(), F.PandasUDFType.SCALAR)(x)
 
 
 def select(condition: Column, yes: Column, no: Column) -> Column:

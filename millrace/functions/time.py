@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Microseconds of the literal suffixes; nanoseconds are handled apart.
 UNITS = {"us": 1, "ms": 1_000, "s": 1_000_000, "m": 60_000_000, "h": 3_600_000_000, "d": 86_400_000_000, "w": 604_800_000_000}
 #: The order in which text is tried as a time.
-PATTERNS = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]", "EEE, d MMM yyyy HH:mm:ss Z", "yyyy-MM-dd HH:mm:ss[.SSSSSS][XXX]", "dd.MM.yyyy HH:mm:ss", "MM/dd/yyyy HH:mm:ss")
+PATTERNS = ("yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]", "d MMM yyyy HH:mm:ss Z", "yyyy-MM-dd HH:mm:ss[.SSSSSS][XXX]", "dd.MM.yyyy HH:mm:ss", "MM/dd/yyyy HH:mm:ss")
 
 
 def now() -> Column:
@@ -52,7 +52,8 @@ def into_string(t: Column, pattern: str) -> Column:
 
 
 def parse(s: Column) -> Column:
-    """The first of PATTERNS that fits, else seconds since the epoch, else null."""
+    """The first of PATTERNS that fits, else seconds since the epoch, else null. A weekday before the date is left out."""
+    s = F.regexp_replace(s, "^[A-Za-z]{3}, *", "")
     return F.coalesce(*[F.try_to_timestamp(s, F.lit(p)) for p in PATTERNS], F.timestamp_seconds(s.try_cast("long")))
 
 

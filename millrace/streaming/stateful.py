@@ -14,9 +14,16 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 
+def _batch(rows: Iterator[pd.DataFrame], names: list[str]) -> pd.DataFrame:
+    """A key's rows of a micro-batch; Spark passes names that start with an underscore on as other ones."""
+    out = pd.concat(list(rows))
+    out.columns = names
+    return out
+
+
 class _Scan(StatefulProcessor):
-    def __init__(self, state: str, init: tuple, fold: Callable, emit: Callable, keys: list[str], order: list[str], columns: list[str]):
-        self.schema, self.init_value, self.fold, self.emit = state, init, fold, emit
+    def __init__(self, names: list[str], state: str, init: tuple, fold: Callable, emit: Callable, keys: list[str], order: list[str], columns: list[str]):
+        self.names, self.schema, self.init_value, self.fold, self.emit = names, state, init, fold, emit
         self.keys, self.order, self.columns = keys, order, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -24,7 +31,7 @@ class _Scan(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         acc = tuple(self.acc.get()) if self.acc.exists() else self.init_value
-        batch = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        batch = _batch(rows, self.names).sort_values(self.order, kind="stable")
         out = []
         for r in batch.to_dict("records"):
             acc = self.fold(acc, r)
@@ -39,13 +46,13 @@ class _Scan(StatefulProcessor):
 def scan(df: DataFrame, keys: list[str], order: list[str], state: str, init: tuple, fold: Callable[[tuple, dict], tuple], output: str, emit: Callable[[tuple, dict], tuple]) -> DataFrame:
     """A running fold by key: after each row emits the keys and emit(state, row). `output` is the schema of emit's."""
     schema = StructType([*[df.schema[k] for k in keys], *_parse_datatype_string(output).fields])
-    p = _Scan(state, init, fold, emit, keys, order, schema.fieldNames())
+    p = _Scan(df.columns, state, init, fold, emit, keys, order, schema.fieldNames())
     return df.groupBy(*keys).transformWithStateInPandas(statefulProcessor=p, outputStructType=schema, outputMode="Append", timeMode="None")
 
 
 class _Counted(StatefulProcessor):
-    def __init__(self, length: int, step: int, value: str, kind: str, compute: Callable, order: list[str], columns: list[str]):
-        self.length, self.step, self.value, self.kind = length, step, value, kind
+    def __init__(self, names: list[str], length: int, step: int, value: str, kind: str, compute: Callable, order: list[str], columns: list[str]):
+        self.names, self.length, self.step, self.value, self.kind = names, length, step, value, kind
         self.compute, self.order, self.columns = compute, order, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -56,7 +63,7 @@ class _Counted(StatefulProcessor):
         held = [r[0] for r in self.held.get()] if self.held.exists() else []
         window, skip = tuple(self.place.get()) if self.place.exists() else (0, 0)
         out = []
-        for v in pd.concat(list(rows)).sort_values(self.order, kind="stable")[self.value].tolist():
+        for v in _batch(rows, self.names).sort_values(self.order, kind="stable")[self.value].tolist():
             if skip:
                 skip -= 1
                 continue
@@ -79,7 +86,7 @@ def moving(df: DataFrame, keys: list[str], order: list[str], value: str, length:
     from pyspark.sql.types import LongType, StructField
 
     schema = StructType([*[df.schema[k] for k in keys], StructField("window", LongType()), *_parse_datatype_string(output).fields])
-    p = _Counted(length, step, value, df.schema[value].dataType.simpleString(), compute, order, schema.fieldNames())
+    p = _Counted(df.columns, length, step, value, df.schema[value].dataType.simpleString(), compute, order, schema.fieldNames())
     return df.groupBy(*keys).transformWithStateInPandas(statefulProcessor=p, outputStructType=schema, outputMode="Append", timeMode="None")
 
 
@@ -89,14 +96,14 @@ def counting(df: DataFrame, keys: list[str], order: list[str], value: str, lengt
 
 
 class _Timer(StatefulProcessor):
-    def __init__(self, after_ms: int, time: str, emit: Callable, columns: list[str]):
-        self.after_ms, self.time, self.emit, self.columns = after_ms, time, emit, columns
+    def __init__(self, names: list[str], after_ms: int, time: str, emit: Callable, columns: list[str]):
+        self.names, self.after_ms, self.time, self.emit, self.columns = names, after_ms, time, emit, columns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for t in pd.concat(list(rows))[self.time].tolist():
+        for t in _batch(rows, self.names)[self.time].tolist():
             self.handle.registerTimer(int(t.timestamp() * 1000) + self.after_ms)
         yield pd.DataFrame([], columns=self.columns)
 
@@ -111,5 +118,5 @@ class _Timer(StatefulProcessor):
 def after(df: DataFrame, keys: list[str], time: str, delay_ms: int, output: str, emit: Callable[[tuple, int], tuple]) -> DataFrame:
     """A timer for each event, `delay_ms` after its event time: emits keys and emit(key, time in ms) when it expires."""
     schema = StructType([*[df.schema[k] for k in keys], *_parse_datatype_string(output).fields])
-    p = _Timer(delay_ms, time, emit, schema.fieldNames())
+    p = _Timer(df.columns, delay_ms, time, emit, schema.fieldNames())
     return df.groupBy(*keys).transformWithStateInPandas(statefulProcessor=p, outputStructType=schema, outputMode="Append", timeMode="EventTime")
