@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import Chunk, chunks, stored, texts
 
 EXAMPLES, TERMS, GRAM, BLOCK, K, PRIOR = 3000, 4096, 5, 64, 15, 0.25
-#: A term's least z-score for the difference of its shares, and the least ratio of them.
-LEAST_Z, LEAST_RATIO = 4.0, 3.0
+#: A term's least G statistic (1e-6 by chance: a corpus has very many terms), and the least ratio of its shares.
+LEAST_G, LEAST_RATIO = 24.0, 3.0
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -61,7 +61,7 @@ class Index(NamedTuple):
 
     terms: np.ndarray
     idf: np.ndarray
-    starts: np.ndarray
+    places: np.ndarray  # terms x (blocks + 1): where a term's postings in a block start
     examples: np.ndarray
     weights: np.ndarray
     block_max: np.ndarray  # terms x blocks
@@ -75,19 +75,18 @@ class Index(NamedTuple):
         w = w / np.sqrt((w * w).sum())
         bound = w @ self.block_max[terms]
         best, sims, worst = np.empty(0, np.int64), np.empty(0), 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(best) == k and bound[b] < worst - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for t, q in zip(terms.tolist(), w.tolist()):
-                if self.block_max[t, b]:
-                    own = self.examples[self.starts[t] : self.starts[t + 1]]
-                    i, j = np.searchsorted(own, (b * BLOCK, (b + 1) * BLOCK)) + self.starts[t]
-                    score[self.examples[i:j] - b * BLOCK] += q * self.weights[i:j]
-            some = np.flatnonzero(score > 0)
-            best, sims = np.concatenate([best, some + b * BLOCK]), np.concatenate([sims, score[some]])
-            order = np.lexsort((best, -np.round(sims, 12)))[:k]
-            best, sims = best[order], sims[order]
+        order, at, step = np.argsort(-bound, kind="stable"), 0, 4
+        while at < len(order) and bound[order[at]] > 0 and (len(best) < k or bound[order[at]] >= worst - 1e-12):
+            some = order[at : at + step]  # all within reach are visited; a few more do no harm
+            at, step = at + step, 2 * step
+            begin, end = self.places[terms[:, None], some].ravel(), self.places[terms[:, None], some + 1].ravel()
+            sizes = end - begin
+            i = np.repeat(begin - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
+            score = np.bincount(self.examples[i], np.repeat(np.repeat(w, len(some)), sizes) * self.weights[i], len(self.toxic))
+            hit = np.flatnonzero(score > 0)
+            best, sims = np.concatenate([best, hit]), np.concatenate([sims, score[hit]])
+            top = np.lexsort((best, -np.round(sims, 12)))[:k]
+            best, sims = best[top], sims[top]
             worst = sims[-1] if len(sims) else 0.0
         return best, sims
 
@@ -115,9 +114,11 @@ def build(rows: list[tuple[int, int, list[int], list[int]]], terms: np.ndarray)
     term, example, weight = np.array(term, np.int64), np.array(example, np.int64), np.array(weight, float)
     order = np.lexsort((example, term))
     term, example, weight = term[order], example[order], weight[order]
-    block_max = np.zeros((len(terms), max(1, -(-len(kept) // BLOCK))))
+    blocks = max(1, -(-len(kept) // BLOCK))
+    block_max = np.zeros((len(terms), blocks))
     np.maximum.at(block_max, (term, example // BLOCK), weight)
-    return Index(terms, idf, np.searchsorted(term, np.arange(len(terms) + 1)), example, weight, block_max, np.array([r[1] for r in kept], float), np.array([r[0] for r in kept], np.int64), base)
+    places = np.searchsorted(term * blocks + example // BLOCK, np.arange(len(terms))[:, None] * blocks + np.arange(blocks + 1))
+    return Index(terms, idf, places, example, weight, block_max, np.array([r[1] for r in kept], float), np.array([r[0] for r in kept], np.int64), base)
 
 
 def _known(c: Chunk, terms: np.ndarray, sieve: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,11 +179,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not n1 or not n0:
         return build([(0, 1 if n1 else 0, [], [])] * bool(n1 or n0), np.empty(0, np.uint64))
     df = chosen.mapInArrow(count, "term long, ones long, total long").groupBy("term").agg(F.sum("ones").alias("a"), F.sum("total").alias("t"))
-    p1, p0 = (F.col("a") + 0.5) / (n1 + 1.0), (F.col("t") - F.col("a") + 0.5) / (n0 + 1.0)
-    pooled = (F.col("t") + 1.0) / (n1 + n0 + 2.0)
-    z = F.abs(p1 - p0) / F.sqrt(pooled * (1 - pooled) * (1.0 / n1 + 1.0 / n0))
-    picked = df.select("term", z.alias("z"), F.greatest(p1 / p0, p0 / p1).alias("r")).where((F.col("z") >= LEAST_Z) & (F.col("r") >= LEAST_RATIO))
-    terms = np.array(sorted(r["term"] for r in picked.orderBy(F.desc("z"), "term").limit(TERMS).collect()), np.uint64)
+    # The likelihood ratio of a term's two-by-two table, and the ratio of its shares.
+    a, b = F.col("a"), F.col("t") - F.col("a")
+    cell = lambda seen, total, share: F.when(seen > 0, seen * F.log(seen / (total * share))).otherwise(0.0)
+    q, rest = n1 / (n1 + n0), n1 + n0 - F.col("t")
+    g = 2 * (cell(a, F.col("t"), q) + cell(b, F.col("t"), 1 - q) + cell(n1 - a, rest, q) + cell(n0 - b, rest, 1 - q))
+    p1, p0 = (a + 0.5) / (n1 + 1.0), (b + 0.5) / (n0 + 1.0)
+    picked = df.select("term", g.alias("g"), F.greatest(p1 / p0, p0 / p1).alias("r")).where((F.col("g") >= LEAST_G) & (F.col("r") >= LEAST_RATIO))
+    terms = np.array(sorted(r["term"] for r in picked.orderBy(F.desc("g"), "term").limit(TERMS).collect()), np.uint64)
     sieve = _sieve(terms)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
