@@ -21,3 +21,21 @@ def session(app: str = "millrace", master: str | None = None, **settings: str) -
     for k, v in (SETTINGS | settings).items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the executors, once a Spark context, so that Python workers find it wherever they run."""
+    import tempfile
+    import zipfile
+    from pathlib import Path
+
+    context = spark.sparkContext
+    if getattr(context, "_millrace_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="millrace-")) / "millrace-package.zip"  # the driver serves it from here
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f"{root.name}/{f.relative_to(root)}")
+    context.addPyFile(str(target))
+    context._millrace_shipped = True
