@@ -37,7 +37,7 @@ def generate(spark: SparkSession, events: int, bids: int = 46, auctions: int = 3
     people, items = F.lit(max(1, n["person"])), F.lit(max(1, n["auction"]))
 
     def at(kind: str):
-        return (F.lit(BASE_MS) + F.floor(F.col("id") * (1000 * events) / (F.lit(max(1, n[kind])) * per_second))).cast("long")
+        return (F.lit(BASE_MS) + F.floor(F.col("id") * 1000.0 * events / (max(1, n[kind]) * per_second))).cast("long")
 
     text = lambda salt: F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit(salt))), 1, 16)
     person = spark.range(n["person"]).select("id", F.concat(F.lit("person "), text("n")).alias("name"), F.concat(text("m"), F.lit("@example.com")).alias("email"), F.lpad(h("c").cast("string"), 16, "4").alias("credit_card"), _pick(_CITIES, h("s")).alias("city"), _pick(_STATES, h("s")).alias("state"), at("person").alias("date_time"), text("x").alias("extra"))
