@@ -73,7 +73,9 @@ def duration(n: int, unit: str) -> Column:
 
 
 def duration_micros(d: Column) -> Column:
-    return (F.extract(F.lit("DAY"), d) * 86400 * 10**6 + F.extract(F.lit("HOUR"), d) * 3600 * 10**6 + F.extract(F.lit("MINUTE"), d) * 60 * 10**6 + (F.extract(F.lit("SECOND"), d) * 10**6)).cast("long")
+    part = lambda name: F.extract(F.lit(name), d).cast("long")
+    small = (F.extract(F.lit("SECOND"), d) * 10**6).cast("long")
+    return ((part("DAY") * 24 + part("HOUR")) * 60 + part("MINUTE")) * 60 * 10**6 + small
 
 
 def add(t: Column, d: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,17 +13,48 @@ from ..functions import scalar, text, time
 from ..operators import aggregators as A
 from ..operators import eventtime, joins, windows
 from ..operators.stream import Stream, custom_sort
+from ..sources import readers, sinks
+from ..streaming import stateful
 from . import comprehension, nexmark
 
 QUERIES, ORACLES = {}, {}
 
 
+class Tables:
+    """Tables by name, as batches or as streams."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __call__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+    def live(self, name: str) -> DataFrame:
+        # A pattern, because a stream's plain path must be a folder.
+        return self.spark.readStream.schema(self(name).schema).parquet(f"{self.sf_dir}/{name}.parque[t]")
+
+    def settle(self, df: DataFrame, mode: str = "append") -> DataFrame:
+        """Runs a stream over all that is there and gives what it emitted."""
+        from ..session import SETTINGS, shared_folder
+
+        provider = "spark.sql.streaming.stateStore.providerClass"
+        before = self.spark.conf.get(provider)
+        self.spark.conf.set(provider, SETTINGS[provider])
+        path = shared_folder(self.spark, "stream")
+        try:
+            w = df.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{path}/checkpoint")
+            w.trigger(availableNow=True).start(f"{path}/out").awaitTermination()
+        finally:
+            self.spark.conf.set(provider, before)
+        return self.spark.read.schema(df.schema).parquet(f"{path}/out")
+
+
 def query(sql: str | None = None):
     """Registers f(t), t giving tables by name, under its name."""
 
     def register(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+            return f(Tables(spark, sf_dir))
 
         QUERIES[f.__name__] = run
         if sql:
@@ -345,6 +378,96 @@ def closed_windows(t):
     return _naive(eventtime.closed_only(w, e.df, "_t", "3 days").drop("end"))
 
 
+# ---- the same on streams ----
+def _live(t) -> DataFrame:
+    e = t.live("events").select("event_id", F.col("ts").cast("timestamp").alias("_t"), "user_id", "event_type", "value")
+    return e.withWatermark("_t", "3 days")
+
+
+@query("SELECT event_id, sum(CAST(round(value * 100) AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS cents FROM events")
+def stream_scan(t):
+    fold = lambda acc, r: (acc[0] + round(r["value"] * 100),)
+    out = stateful.scan(_live(t), ["user_id"], ["_t", "event_id"], "s long", (0,), fold, "event_id long, cents long", lambda acc, r: (r["event_id"], acc[0]))
+    return t.settle(out).select("event_id", "cents")
+
+
+@query(f"SELECT user_id, k // 10 AS \"window\", sum(event_id)::BIGINT AS ids FROM ({_NUMBERED}) GROUP BY ALL HAVING count(*) = 10")
+def stream_counting(t):
+    return t.settle(stateful.counting(_live(t), ["user_id"], ["_t", "event_id"], "event_id", 10, "ids long", lambda v: (sum(v),)))
+
+
+@query(f"SELECT user_id, w AS \"window\", sum(event_id)::BIGINT AS ids FROM (SELECT *, unnest(range(greatest(0, CAST(ceil((k - 9) / 4) AS BIGINT)), k // 4 + 1)) AS w FROM ({_NUMBERED})) GROUP BY ALL HAVING count(*) = 10")
+def stream_moving(t):
+    return t.settle(stateful.moving(_live(t), ["user_id"], ["_t", "event_id"], "event_id", 10, 4, "ids long", lambda v: (sum(v),)))
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedup(t):
+    return t.settle(Stream(_live(t)).dedup(["user_id", "event_type"]).df.select("user_id", "event_type"))
+
+
+@query(f"SELECT user_id, make_timestamp({_DAY} * 86400000000) AS start, count(*) AS n FROM events GROUP BY user_id, {_DAY} HAVING make_timestamp(({_DAY} + 1) * 86400000000) <= (SELECT max(ts) - INTERVAL 3 DAY FROM events)")
+def stream_tumbling(t):
+    return _naive(t.settle(Stream(_live(t)).keyby(user_id=F.col("user_id")).window(windows.Tumbling("1 day"), n=(A.count, F.lit(1))).df).drop("end"))
+
+
+@query("SELECT a.event_id AS click, b.event_id AS purchase FROM events a JOIN events b ON a.user_id = b.user_id AND epoch_us(a.ts) // 86400000000 = epoch_us(b.ts) // 86400000000 WHERE a.event_type = 'click' AND b.event_type = 'purchase'")
+def stream_window_join(t):
+    a, b = (_live(t).where(F.col("event_type") == k) for k in ("click", "purchase"))
+    return t.settle(joins.window_join(a, b, ["user_id"], ["user_id"], "1 day").select(F.col("l_event_id").alias("click"), F.col("r_event_id").alias("purchase")))
+
+
+@query("SELECT event_id, user_id, c_name FROM events JOIN customer ON user_id = c_custkey WHERE value > 50 UNION ALL SELECT event_id, user_id, c_name FROM events JOIN customer ON user_id = c_custkey WHERE value > 50")
+def stream_static_join_merge(t):
+    s = Stream(_live(t)).filter(F.col("value") > 50).join(t("customer"), F.col("user_id") == F.col("c_custkey"))
+    return t.settle(s.merge(s).df.select("event_id", "user_id", "c_name"))
+
+
+# ---- sources and sinks ----
+def _round_trip(t, df: DataFrame, encoding, schema: str) -> DataFrame:
+    from ..session import shared_folder
+
+    path = shared_folder(t.spark, "files")
+    sinks.run(sinks.sink(df, sinks.FileOut(path), encoding))
+    return readers.source(t.spark, readers.File(path), encoding, schema)
+
+
+@query("SELECT n_nationkey::BIGINT AS k, n_name AS name, n_regionkey * 1.5::DOUBLE AS x FROM nation")
+def csv_round_trip(t):
+    df = t("nation").select(F.col("n_nationkey").alias("k"), F.col("n_name").alias("name"), (F.col("n_regionkey") * F.lit(1.5)).alias("x"))
+    return _round_trip(t, df, readers.Csv(";"), "k long, name string, x double")
+
+
+@query("SELECT event_id, user_id, event_type, value FROM events")
+def json_round_trip(t):
+    return _round_trip(t, t("events").select("event_id", "user_id", "event_type", "value"), readers.Json(), "event_id long, user_id long, event_type string, value double")
+
+
+@query("SELECT k, v FROM (VALUES (0, 10), (1, 30), (3, 40), (4, 25)) AS x(k, v)")
+def bounded_source(t):
+    """Rows in arrival order; the third is late by more than the slack."""
+    at = lambda s: datetime.datetime(2022, 1, 1, 0, 0, s)
+    rows = [(0, 10, at(10)), (1, 30, at(30)), (2, 5, at(5)), (3, 40, at(40)), (4, 25, at(25))]
+    return readers.from_iter(t.spark, rows, "k int, v int, t timestamp", "t", "20 seconds").select("k", "v")
+
+
+@query()
+def auction_q1(t):
+    return nexmark.q1(nexmark.generate(t.spark, 100_000)["bid"])
+
+
+@query()
+def auction_q3(t):
+    g = nexmark.generate(t.spark, 100_000, 0, 3, 1)
+    return nexmark.q3(g["auction"], g["person"])
+
+
+@query()
+def auction_q3_opt(t):
+    g = nexmark.generate(t.spark, 100_000, 0, 3, 1)
+    return nexmark.q3_opt(g["auction"], g["person"])
+
+
 # ---- order ----
 @query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 100")
 def order_head(t):
