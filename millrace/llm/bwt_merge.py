@@ -25,6 +25,7 @@ rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -40,8 +41,10 @@ WINDOW, GRAM = 50, 16
 NULL_ID = np.iinfo(np.int64).min
 #: Bytes of strings in a block, and in one merge; strings of one gram are never parted.
 BLOCK_BYTES, MERGE_BYTES = 1 << 18, 1 << 20
-CONTEXTS = "doc_id long, text string, n_bytes long, kept_sha256 string, n_removed long, n_spans long, own binary, shard int, anchors binary, owners binary, places binary, offsets binary, sizes binary, bytes binary"
-ASKS = ("shard", "anchors", "owners", "places", "offsets", "sizes", "bytes")
+CONTEXTS = "doc_id long, text string, n_bytes long, kept_sha256 string, n_removed long, n_spans long, own binary, shard int, packed binary"
+ASKS = ("shard", "packed")
+#: A packed row: count, then by entry owner, place, offset of the gram and size, then all bytes; compressed.
+HEAD = struct.Struct("<IQ")
 
 
 def transform(strings: Sequence[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,16 +57,21 @@ def transform(strings: Sequence[bytes], depth: int) -> tuple[np.ndarray, np.ndar
     inside = np.ones(n, bool)
     inside[starts[1:] - 1] = False
     text[inside] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + 1
-    rank = text + m
-    rank[~inside] = np.arange(m)
-    step = 1
+    # Six symbols make the first key, whose last ten bits and more tell the ends apart that come so soon.
+    key, ended = np.zeros(n, np.int64), np.full(n, -1, np.int64)
+    end_of = np.repeat(np.arange(m), sizes + 1)
+    for k in range(6):
+        s = np.zeros(n, np.int64)
+        s[: max(0, n - k)] = text[k:]
+        key = key << 9 | np.where(ended >= 0, 0, s)
+        ended = np.where((ended < 0) & (s == 0), end_of, ended)
+    order = np.lexsort((ended, key)) if m > 1 else np.argsort(key, kind="stable")
+    rank, step = _ranks(order, key, ended), 6
     while step < depth:
         key = rank * (int(rank.max()) + 1)
         key[:-step] += rank[step:]
         order = np.argsort(key, kind="stable")
-        k = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(k[1:] != k[:-1])])
+        rank = _ranks(order, key)
         step *= 2
     order = np.argsort(rank, kind="stable")
     string = np.repeat(np.arange(m), sizes + 1)[order]
@@ -71,6 +79,16 @@ def transform(strings: Sequence[bytes], depth: int) -> tuple[np.ndarray, np.ndar
     return before.astype(np.uint16), order - starts[:-1][string], string
 
 
+def _ranks(order: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    new = np.zeros(len(order), np.int64)
+    for k in keys:
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
+
+
 def merge(transforms: Sequence[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(rows, interval): rows of the transforms, numbered one transform after the other, whose first `depth` symbols
     other rows have too, in merged order, and the number of each one's interval.
@@ -143,6 +161,21 @@ class Anchors:
         return np.flatnonzero(used)
 
 
+def _pack(owner: np.ndarray, place: np.ndarray, offset: np.ndarray, size: np.ndarray, text: bytes) -> bytes:
+    """Owners and places as differences, which compress well: both mostly ascend."""
+    columns = [np.diff(owner, prepend=0).astype("<i8"), np.diff(place, prepend=0).astype("<i8"), offset.astype("<i4"), size.astype("<i4")]
+    raw = b"".join([np.ascontiguousarray(c.view(np.uint8).reshape(len(owner), -1).T).tobytes() for c in columns]) + text
+    return HEAD.pack(len(owner), len(raw)) + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpack(packed: pa.Buffer) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+    n, size = HEAD.unpack_from(packed)
+    raw = pa.decompress(packed.slice(HEAD.size), size, "zstd", asbytes=True)
+    column = lambda at, kind: np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * kind.itemsize, at * n).reshape(-1, n).T).view(kind)[:, 0]
+    long, short = np.dtype("<i8"), np.dtype("<i4")
+    return np.cumsum(column(0, long)), np.cumsum(column(8, long)), column(16, short), column(20, short).astype(np.int64), raw[24 * n :]
+
+
 def _contexts(batches: Iterator[pa.RecordBatch], n_shards: int, window: int, gram: int) -> Iterator[pa.RecordBatch]:
     for c in chunks(batches, limit=1 << 20):
         x = Anchors(c, window, gram)
@@ -188,49 +221,52 @@ def _contexts(batches: Iterator[pa.RecordBatch], n_shards: int, window: int, gra
         send = send[np.argsort(shard[send], kind="stable")]
         for part in np.split(send, np.flatnonzero(np.diff(shard[send])) + 1) if len(send) else ():
             cols["shard"].append(int(shard[part[0]]))
-            for name, v in (("anchors", anchor), ("owners", owner), ("places", place.astype("<i8")), ("offsets", (x.minimizer[s] - s).astype("<i4")), ("sizes", size.astype("<i4"))):
-                cols[name].append(v[part].tobytes())
-            cols["bytes"].append(b"".join([raw[i : i + n] for i, n in zip(s[part].tolist(), size[part].tolist())]))
+            text = b"".join([raw[i : i + n] for i, n in zip(s[part].tolist(), size[part].tolist())])
+            cols["packed"].append(_pack(owner[part], place[part], (x.minimizer[s] - s)[part], size[part], text))
         m = len(cols["shard"])
         kinds = {"text": pa.string(), "kept_sha256": pa.string(), "shard": pa.int32()} | dict.fromkeys(("doc_id", "n_bytes", "n_removed", "n_spans"), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array([None] * c.n + v if name in ASKS else v + [None] * m, kinds.get(name, pa.binary())) for name, v in cols.items()], list(cols))
 
 
-def _overlapping(strings: list[bytes], anchors: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> np.ndarray:
-    """Flags of the strings that can share a window with another: the bytes of a window besides the gram lie left or
-    right of it, so one of the sides has half of them or more, and that half with the gram occurs in both."""
-    half = (window - gram) // 2
-    left, right = {}, {}
-    for i, (s, a, o) in enumerate(zip(strings, anchors.tolist(), offsets.tolist())):
-        if o >= half:
-            left.setdefault(hash((a, s[o - half : o])), []).append(i)
-        if len(s) - o - gram >= half:
-            right.setdefault(hash((a, s[o + gram : o + gram + half])), []).append(i)
+def _overlapping(strings: list[bytes], offsets: np.ndarray, window: int, gram: int) -> np.ndarray:
+    """Flags of the strings that can share a window with another.
+
+    A window has some bytes left of its gram and the others right of it. Of the cuts below, the one at or before that
+    place and the next one bound both sides from below, so two strings with a common window have the same bytes there."""
+    rest = window - gram
+    cuts = [rest * k // 4 for k in range(5)]
     out = np.zeros(len(strings), bool)
-    for side in (left, right):
-        for group in side.values():
-            if len(group) > 1:
-                out[group] = True
+    sides = [(a, rest - b) for a, b in zip(cuts, cuts[1:])]
+    keys: list[dict[bytes, int]] = [{} for _ in sides]
+    for i, (s, o) in enumerate(zip(strings, offsets.tolist())):
+        right = len(s) - o - gram
+        for seen, (a, b) in zip(keys, sides):
+            if o >= a and right >= b:
+                j = seen.setdefault(s[o - a : o + gram + b], i)
+                if j != i:
+                    out[i] = out[j] = True
     return out
 
 
 def _judge(table: pa.Table, window: int, gram: int) -> pa.Table:
     """Removed windows of a shard's contexts, as (start, count) runs by document."""
-    kinds = {"anchors": np.uint64, "owners": np.int64, "places": "<i8", "offsets": "<i4", "sizes": "<i4"}
-    anchor, owner, place, offset, size = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table.column(c)]) for c, t in kinds.items())
-    raw = b"".join([x.as_py() for x in table.column("bytes")])
+    rows = [_unpack(x.as_buffer()) for x in table.column("packed")]
+    owner, place, offset, size = (np.concatenate([r[k] for r in rows]) for k in range(4))
+    raw = b"".join([r[4] for r in rows])
+    del rows
     ends = np.cumsum(size, dtype=np.int64)
     known: dict[tuple[int, bytes], int] = {}
-    which = np.fromiter((known.setdefault((a, o, raw[e - n : e]), len(known)) for a, o, e, n in zip(anchor.tolist(), offset.tolist(), ends.tolist(), size.tolist())), np.int64, len(size))
-    strings = [k[2] for k in known]
-    gram_of, at = np.array([k[0] for k in known], np.uint64), np.array([k[1] for k in known], np.int64)
+    which = np.fromiter((known.setdefault((o, raw[e - n : e]), len(known)) for o, e, n in zip(offset.tolist(), ends.tolist(), size.tolist())), np.int64, len(size))
+    strings = [k[1] for k in known]
+    at = np.array([k[0] for k in known], np.int64)
+    gram_of = np.array([hash(t[o : o + gram]) for o, t in known], np.int64)
     least = np.full(len(strings), np.iinfo(np.int64).max)
     np.minimum.at(least, which, owner)
     windows = np.maximum(0, np.array([len(x) for x in strings]) - window + 1)
     base = np.concatenate([[0], np.cumsum(windows)])
     first = np.repeat(least, windows)
     # Strings that share a gram stay together; merges of about MERGE_BYTES.
-    todo = np.flatnonzero(_overlapping(strings, gram_of, at, window, gram))
+    todo = np.flatnonzero(_overlapping(strings, at, window, gram))
     todo = todo[np.argsort(gram_of[todo], kind="stable")]
     batch: list[int] = []
     held = 0
