@@ -71,6 +71,8 @@ class Planner:
             return F.struct(*[v[n].alias(n) for n in e[2]])
         if kind == "index":
             return F.get(self.value(e[1], scope), self.value(e[2], scope))
+        if kind == "text":
+            return F.concat(*[self.value(x, scope).cast("string") for x in e[1]])
         if kind == "array":
             return F.array(*[self.value(x, scope) for x in e[1]])
         if kind == "tuple":

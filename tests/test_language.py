@@ -89,6 +89,7 @@ def test_functions_lambdas_match(t):
     assert _values(run("from x in tries select match x { Ok(v) => v, Err(e) => -1 }", t)) == [1, -1, 3]
     assert _values(run("val a = [1]; from x in a select {a: x} & {b: x + 1}", t)) == [(1, 2)]
     assert _values(run("val a = [1]; from x in a from y in 1..=3 select x + y", t)) == [2, 3, 4]
+    assert _values(run('val a = [1]; from x in a select "n$x and ${x + 1}!"', t)) == ["n1 and 2!"]
     assert _values(run("from {id: i, name: n} in names where i in [1] select n", t)) == ["Bob"]
 
 
