@@ -14,6 +14,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -103,16 +104,29 @@ def redact(docs: DataFrame, ledger_path: str | None = None, id_col: str = "doc_i
     findings, _ = scan_versions(docs, ledger_path, id_col, text_col)
     found = stored(findings.where(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("_spans")), "secret-spans")
     keyed = docs.withColumn("_blob", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
-    joined = keyed.join(found.withColumnRenamed("blob", "_blob"), "_blob", "left")
-
-    @F.udf("string")
-    def cut(text, spans):
-        out, at = [], 0
-        for _, start, end in sorted(spans, key=lambda s: s[1]):
-            if start >= at:
-                out += [text[at:start], mark]
-            at = max(at, end)
-        return "".join([*out, text[at:]])
-
-    done = joined.where(F.col("_spans").isNotNull()).withColumn(text_col, cut(F.col(text_col), "_spans"))
-    return joined.where(F.col("_spans").isNull()).unionByName(done).select(*docs.columns)
+    joined = keyed.join(found.withColumnRenamed("blob", "_blob").hint("shuffle_hash"), "_blob", "left")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = batch.column(batch.num_columns - 1)
+            at = batch.schema.get_field_index(text_col)
+            text = batch.column(at)
+            hit = [i for i, s in enumerate(spans.is_valid().to_pylist()) if s]
+            if hit:
+                new = [_without(text[i].as_py(), spans[i].as_py(), mark) for i in hit]
+                mask = np.zeros(len(text), bool)
+                mask[hit] = True
+                text = pc.replace_with_mask(text, pa.array(mask), pa.array(new, text.type))
+            yield batch.set_column(at, batch.schema.field(at), text).select(names)
+
+    names = docs.columns
+    return joined.select(*names, "_spans").mapInArrow(cut, docs.schema)
+
+
+def _without(text: str, spans: list[dict], mark: str) -> str:
+    out, at = [], 0
+    for s in sorted(spans, key=lambda s: s["start"]):
+        if s["start"] >= at:
+            out += [text[at : s["start"]], mark]
+        at = max(at, s["end"])
+    return "".join([*out, text[at:]])
