@@ -26,40 +26,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, stored, texts
+from .windows import mix
 
 RADIUS, LARGE = 3, 512
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", distinct: bool = False) -> DataFrame:
-    """doc_id, fp (64 bits as a signed long) of all shingles, or of the distinct ones."""
+def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", distinct: bool = False, count: int = 1) -> DataFrame:
+    """doc_id, fp (64 bits as a signed long) of all shingles, or of the distinct ones; further fingerprints fp1, fp2, ...
+    are of other hashes and independent of it."""
+    names = ["fp", *(f"fp{k}" for k in range(1, count))]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         h64 = partial(xxhash.xxh64_intdigest, seed=42)
         for c in chunks(batches):
-            out = np.zeros(c.n, np.uint64)
+            out = np.zeros((count, c.n), np.uint64)
             for i, (a, b) in enumerate(zip(c.starts[:-1].tolist(), c.starts[1:].tolist())):
                 words = c.data[a:b].tobytes().lower().split()  # on bytes, both know ASCII only
                 n = len(words) - shingle + 1
                 if n < 1:
-                    out[i] = h64(b" ".join(words)) if words else 0
+                    whole = np.array([h64(b" ".join(words))] if words else [0], np.uint64)
+                    out[:, i] = [int(mix(whole, 61 + k)[0]) if k and words else int(whole[0]) for k in range(count)]
                     continue
                 if distinct:
                     words = list(dict.fromkeys(words if shingle == 1 else map(b" ".join, zip(*(words[k:] for k in range(shingle))))))
                     n, size = len(words), 1
                 else:
                     size = shingle
-                ones = np.zeros(64, np.int64)
+                ones = np.zeros((count, 64), np.int64)
                 for at in range(0, n, 1 << 16):
                     m = min(1 << 16, n - at)
                     parts = [words[at + k : at + k + m] for k in range(size)]
                     hashes = np.fromiter(map(h64, map(b" ".join, zip(*parts))), np.uint64, m)
-                    ones += np.unpackbits(hashes.view(np.uint8).reshape(m, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-                out[i] = np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0]
-            yield pa.RecordBatch.from_arrays([c.column("doc_id"), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+                    for k in range(count):
+                        h = mix(hashes, 61 + k) if k else hashes
+                        ones[k] += np.unpackbits(h.view(np.uint8).reshape(m, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+                out[:, i] = np.packbits(2 * ones > n, axis=1, bitorder="little").view(np.uint64)[:, 0]
+            yield pa.RecordBatch.from_arrays([c.column("doc_id"), *(pa.array(x.view(np.int64)) for x in out)], ["doc_id", *names])
 
-    return texts(docs, id_col, text_col).mapInArrow(sign, "doc_id long, fp long")
+    return texts(docs, id_col, text_col).mapInArrow(sign, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
 def masks(places: int, radius: int = RADIUS) -> list[int]:
@@ -114,7 +120,7 @@ def links(distinct: DataFrame, radius: int = RADIUS, large: int = LARGE) -> Data
         sizes = stored(sizes, f"buckets-{level}")
         hot = sizes.where(F.col("n") > large) if level < 2 else sizes.limit(0)
         small = sizes.where(F.col("n") <= large) if level < 2 else sizes
-        members = keyed.join(small.select("kept", "bucket"), ["kept", "bucket"]).groupBy("kept", "bucket").agg(F.collect_list("fp").alias("fps"))
+        members = keyed.join(small.select("kept", "bucket").hint("merge"), ["kept", "bucket"]).groupBy("kept", "bucket").agg(F.collect_list("fp").alias("fps"))
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -175,24 +181,31 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, id_
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 4, count: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without all but the least id of each group of near copies; all columns stay.
 
     Near copies share `similarity` of their distinct shingles of `words` words (Jaccard). Fingerprints of such shingles
     lie up to a dozen bits apart at 0.8, too far for a covering of useful size, so the candidates come from
-    fingerprints of the distinct words, of which an edit changes one and not `words`; every pair within `radius` bits
-    there is found. A link between two fingerprints, and each text's to the first of its own fingerprint, counts if the
-    exact similarity of the two texts reaches the threshold."""
+    `count` fingerprints of the distinct words, of which an edit changes one and not `words`; every pair within
+    `radius` bits in one of them is found. A link between two fingerprints, and each text's to the first of its own
+    fingerprint, counts if the exact similarity of the two texts reaches the threshold."""
     from .decontaminate import _shingle_hashes, _words
 
     source = texts(docs, id_col, text_col).where("doc_id is not null")
-    signed = stored(fingerprints(source, 1, distinct=True).join(source.select(F.col("doc_id").alias("_i"), F.unhex(F.md5("text")).alias("digest")), F.col("doc_id") == F.col("_i")).select("doc_id", "fp", "digest").distinct(), "signed")
-    unique = stored(signed.groupBy("digest", "fp").agg(F.min("doc_id").alias("doc_id")), "unique-texts")
-    heads = stored(unique.groupBy("fp").agg(F.min("doc_id").alias("head")), "heads")
-    pairs = links(heads.select("fp"), radius)
-    across = pairs.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
-    inside = unique.join(heads, "fp").where("doc_id <> head").select(F.col("head").alias("x"), F.col("doc_id").alias("y"))
-    edges = stored(across.unionByName(inside), "candidate-pairs")
+    signed = fingerprints(source, 1, distinct=True, count=count)
+    names = [c for c in signed.columns if c != "doc_id"]
+    digests = source.select(F.col("doc_id").alias("_i"), F.unhex(F.md5("text")).alias("digest"))
+    signed = stored(signed.join(digests, F.col("doc_id") == F.col("_i")).select("doc_id", "digest", *names).distinct(), "signed")
+    unique = stored(signed.groupBy("digest", *names).agg(F.min("doc_id").alias("doc_id")), "unique-texts")
+    edges = None
+    for fp in names:
+        heads = stored(unique.groupBy(F.col(fp).alias("fp")).agg(F.min("doc_id").alias("head")), "heads")
+        pairs = stored(links(heads.select("fp"), radius), "pairs")
+        across = pairs.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
+        inside = unique.select(F.col(fp).alias("fp"), "doc_id").join(heads, "fp").where("doc_id <> head").select(F.col("head").alias("x"), F.col("doc_id").alias("y"))
+        found = across.unionByName(inside)
+        edges = found if edges is None else edges.unionByName(found)
+    edges = stored(edges.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "candidate-pairs")
     nodes = stored(edges.select(F.col("x").alias("_n")).union(edges.select("y")).distinct(), "nodes")
     sets = source.join(nodes.hint("shuffle_hash"), F.col("doc_id") == F.col("_n")).select("doc_id", _words(F.lower("text")).alias("w")).select("doc_id", F.array_distinct(_shingle_hashes("w", words)).alias("s"))
     sets = stored(sets, "shingle-sets")
