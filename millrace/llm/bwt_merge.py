@@ -41,7 +41,7 @@ WINDOW, GRAM = 50, 16
 NULL_ID = np.iinfo(np.int64).min
 #: Bytes of strings in a block, and in one merge; strings of one gram are never parted.
 BLOCK_BYTES, MERGE_BYTES = 1 << 18, 1 << 20
-CONTEXTS = "doc_id long, text string, n_bytes long, kept_sha256 string, n_removed long, n_spans long, own binary, shard int, packed binary"
+CONTEXTS = "doc_id long, text binary, n_bytes long, kept_sha256 string, n_removed long, n_spans long, own binary, shard int, packed binary"
 ASKS = ("shard", "packed")
 #: A packed row: count, then by entry owner, place, offset of the gram and size, then all bytes; compressed.
 HEAD = struct.Struct("<IQ")
@@ -210,7 +210,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], n_shards: int, window: int, gra
             mine = later[a:b]
             cols["doc_id"].append(int(ids[d]))
             cols["n_bytes"].append(len(text))
-            cols["text"].append(text.decode("utf-8", "replace") if pending[d] else None)
+            cols["text"].append(text if pending[d] else None)
             cols["own"].append(np.stack([place[a:b][mine], (e - s)[a:b][mine]], 1).astype("<i8").tobytes() if pending[d] else None)
             cols["kept_sha256"].append(None if pending[d] else hashlib.sha256(b"" if gone else text).hexdigest())
             cols["n_removed"].append(None if pending[d] else len(text) * gone)
@@ -224,7 +224,7 @@ def _contexts(batches: Iterator[pa.RecordBatch], n_shards: int, window: int, gra
             text = b"".join([raw[i : i + n] for i, n in zip(s[part].tolist(), size[part].tolist())])
             cols["packed"].append(_pack(owner[part], place[part], (x.minimizer[s] - s)[part], size[part], text))
         m = len(cols["shard"])
-        kinds = {"text": pa.string(), "kept_sha256": pa.string(), "shard": pa.int32()} | dict.fromkeys(("doc_id", "n_bytes", "n_removed", "n_spans"), pa.int64())
+        kinds = {"kept_sha256": pa.string(), "shard": pa.int32()} | dict.fromkeys(("doc_id", "n_bytes", "n_removed", "n_spans"), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array([None] * c.n + v if name in ASKS else v + [None] * m, kinds.get(name, pa.binary())) for name, v in cols.items()], list(cols))
 
 
@@ -297,7 +297,7 @@ def _finish(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
     for batch in batches:
         removed, spans, digests = [], [], []
         for text, own, more in zip(*(batch.column(c).to_pylist() for c in ("text", "own", "runs"))):
-            data = np.frombuffer(text.encode(), np.uint8)
+            data = np.frombuffer(text, np.uint8)
             r = np.frombuffer(b"".join([own, *(more or [])]), "<i8").reshape(-1, 2)
             r = r[r.sum(1) + window - 1 <= len(data)]
             gone = W.cover(len(data), r[:, 0], r.sum(1) + window - 1)

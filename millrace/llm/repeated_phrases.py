@@ -32,7 +32,7 @@ from .exchange import noted, shard_of
 
 WINDOW, PHRASE = 20, 5
 NULL_ID = np.iinfo(np.int64).min
-LOCATED = "doc_id long, text string, n_words long, kept_sha256 string, n_removed long, own binary, shard int, k1 binary, k2 binary, owners binary, places binary"
+LOCATED = "doc_id long, text binary, n_words long, kept_sha256 string, n_removed long, own binary, shard int, k1 binary, k2 binary, owners binary, places binary"
 
 
 class Anchors:
@@ -74,7 +74,7 @@ def locate(machine, words: list[bytes]) -> np.ndarray:
 
 
 def _locate(batches: Iterator[pa.RecordBatch], n_shards: int, window: int, phrase: int) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("kept_sha256", pa.string()), ("n_removed", pa.int64()), ("own", pa.binary()), ("shard", pa.int32()), ("k1", pa.binary()), ("k2", pa.binary()), ("owners", pa.binary()), ("places", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.binary()), ("n_words", pa.int64()), ("kept_sha256", pa.string()), ("n_removed", pa.int64()), ("own", pa.binary()), ("shard", pa.int32()), ("k1", pa.binary()), ("k2", pa.binary()), ("owners", pa.binary()), ("places", pa.binary())])
     for c in chunks(batches):
         x = Anchors(c, window, phrase)
         ids, copied = c.ids(), np.array(c.column("copied").to_pylist(), bool)
@@ -108,7 +108,7 @@ def _locate(batches: Iterator[pa.RecordBatch], n_shards: int, window: int, phras
             gone = bool(copied[d]) and len(words) >= window
             cols["doc_id"].append(int(ids[d]))
             cols["n_words"].append(len(words))
-            cols["text"].append(raw[c.starts[d] : c.starts[d + 1]].decode("utf-8", "replace") if pending[d] else None)
+            cols["text"].append(raw[c.starts[d] : c.starts[d + 1]] if pending[d] else None)
             cols["own"].append(place[s:e][later[s:e]].astype("<i4").tobytes() if pending[d] else None)
             cols["kept_sha256"].append(None if pending[d] else hashlib.sha256(b"" if gone else b" ".join(words)).hexdigest())
             cols["n_removed"].append(None if pending[d] else len(words) * gone)
@@ -141,7 +141,7 @@ def _finish(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
     for batch in batches:
         removed, digests = [], []
         for text, own, more in zip(*(batch.column(c).to_pylist() for c in ("text", "own", "starts"))):
-            words = text.encode().split()
+            words = text.split()
             s = np.frombuffer(b"".join([own, *(more or [])]), "<i4").astype(np.int64)
             s = s[s + window <= len(words)]
             gone = W.cover(len(words), s, s + window)
