@@ -181,16 +181,17 @@ class Reader:
                 d += 1
 
 
-def write(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", per_file: int = 32 << 20) -> DataFrame:
+def write(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", per_file: int = 64 << 20, most_files: int = 1 << 14) -> DataFrame:
     """Encodes, orders by id and writes; a row for each file: path, file, docs, ids, bytes. The rows are the manifest:
-    a file that a failed or repeated task left is not in it."""
+    a file that a failed or repeated task left is not in it. Writing streams, so files may be large; `most_files` bounds
+    the range bounds that every task gets."""
     from pyarrow import fs
 
     spark, path = docs.sparkSession, tokenizer or default_path()
     source = texts(docs, id_col, text_col)
     folder = scratch(spark, "token-files")
     # Range bounds come from the id column alone; the encoder runs once and only ids are shuffled.
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(source) // per_file))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(most_files, -(-input_bytes(source) // per_file)))
     bounds = sorted(set(source.where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) or []))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
