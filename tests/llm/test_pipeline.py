@@ -58,3 +58,31 @@ def test_stages(spark, tmp_path):
     assert {r["doc_id"] for r in packed} == left
     whole = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in whole) == sorted((r["doc_id"], r["piece"], r["length"], r["ids_crc32"]) for r in packed)
+
+
+def test_empty_tables_nulls_and_repeats(spark, tmp_path):
+    folder = str(tmp_path)
+    long = " ".join(f"w{i}" for i in range(30_000))
+    rows = [(1, None, None, None, None), (None, "a b c d e f", "en", None, 3), (2, long, "en", "s", 1), (3, "", "en", "s", 0), (2, long, "en", "s", 1), (None, None, None, None, None)]
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame(rows, COLUMNS).write.parquet(f"{folder}/documents.parquet")
+    got = corpus_pipeline.run(spark, folder).collect()
+    # 3 is a copy of 1 (both empty); the repeated row of 2 is the same document and stays with it; null ids stay
+    assert sorted({str(r["doc_id"]) for r in got}) == ["1", "2", "None"]
+    assert sum(r["length"] for r in got if r["doc_id"] == 2) == 2 * max(r["start"] + r["length"] for r in got if r["doc_id"] == 2)
+    none = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, folder).count() == 0, name
+
+
+def test_clashing_columns(spark, tmp_path):
+    folder = str(tmp_path)
+    spark.createDataFrame([(1, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(0, "one two three four five six seven")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    names = "doc_id long, text string, toxic int, y int, h long, items string, blob string, spans string, digest string, fp long, node long, label long, score double, w string"
+    docs = spark.createDataFrame([(i, f"plain text number {i}", 1, 2, 3, "i", "b", "s", "d", 4, 5, 6, 0.5, "w") for i in range(4)], names)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns and out.count() > 0, name
+    assert corpus_pipeline.STAGES[4][1](spark, docs, folder).count() == 4
