@@ -571,12 +571,12 @@ def codec_functions(t):
     return d.select(back["k"].alias("k"), text.decode_csv(F.col("csv"), "k long, name string")["name"].alias("name"), "js", "csv")
 
 
-@query("SELECT n_nationkey AS k, [n_nationkey, 3::BIGINT, 1, 4, 2, 5] AS d, 3 AS rows, n_nationkey::BIGINT AS corner FROM nation")
+@query("SELECT n_nationkey AS k, n_nationkey || ',3,1,4,2,5' AS d, 3 AS rows, n_nationkey::BIGINT AS corner FROM nation")
 def matrix_functions(t):
     m = C.matrix([2, 3], F.array(F.col("n_nationkey"), F.lit(1).cast("long"), F.lit(2).cast("long"), F.lit(3).cast("long"), F.lit(4).cast("long"), F.lit(5).cast("long")))
     x = C.transpose(m)
     same = C.remove_axis(C.insert_axis(x, 1), 1)
-    return t("nation").select(F.col("n_nationkey").alias("k"), C.into_vec(same).alias("d"), same["shape"][0].alias("rows"), C.at(m, 0, 0).alias("corner"))
+    return t("nation").select(F.col("n_nationkey").alias("k"), F.array_join(F.transform(C.into_vec(same), lambda x: x.cast("string")), ",").alias("d"), same["shape"][0].alias("rows"), C.at(m, 0, 0).alias("corner"))
 
 
 @query("SELECT event_id AS k, CAST(floor(value) AS INTEGER) AS i, list_sum(range(0, event_id % 5))::BIGINT AS s, len(range(1, event_id % 5 + 1)) AS n FROM events")
