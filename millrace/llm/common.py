@@ -33,7 +33,23 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="millrace-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/millrace/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base.rstrip('/')}/millrace/{name}-{uuid.uuid4().hex[:12]}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+#: Folders that this process has made, by Spark application.
+_made: dict[str, list[str]] = {}
+
+
+def clean(spark: SparkSession) -> int:
+    """Deletes the intermediate folders of this application, once no result that reads them is needed any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        where = jvm.org.apache.hadoop.fs.Path(p)
+        where.getFileSystem(conf).delete(where, True)
+    return len(paths)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

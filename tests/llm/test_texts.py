@@ -236,6 +236,18 @@ def test_covering_guarantee():
         assert all(any(not m & d for m in deeper[k]) for k in level)
 
 
+def test_clean_removes_intermediate_folders(spark):
+    import os
+
+    from millrace.llm import common
+
+    common.clean(spark)
+    df = common.stored(spark.range(3), "kept")
+    path = df.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path) and common.clean(spark) == 1 and not os.path.exists(path)
+    assert common.clean(spark) == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (103, 101)] + [(200, 200 + i) for i in range(1, 50)] + [(7, 7)]
     got = dict(map(tuple, covering_simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()))
