@@ -1,7 +1,7 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
 
-Terms are runs of five bytes of the text in lower case (ASCII letters), white space as one space, so that stems and
-their inflections share terms in any language. From the labelled rows at most EXAMPLES of each class are taken, those
+Terms are runs of five and of seven bytes of the text in lower case (ASCII letters), white space as spaces, so that
+stems and their inflections share terms in any language. From the labelled rows at most EXAMPLES of each class are taken, those
 with the least hash of their id. A term is indexed if its share among toxic and other examples differs far beyond
 chance. The index keeps, by term, the examples' weights in blocks with each block's largest weight; a query visits
 blocks from the highest bound on, until no bound reaches its K-th best cosine, which keeps the result exact.
@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import Chunk, chunks, stored, texts
 
-EXAMPLES, TERMS, GRAM, BLOCK, K, PRIOR = 3000, 4096, 5, 64, 15, 0.25
+EXAMPLES, TERMS, BLOCK, K, PRIOR = 3000, 4096, 64, 15, 0.25
+#: Lengths of terms in bytes, 7 at most: short ones join inflections, long ones tell like stems apart.
+GRAMS = (5, 7)
 #: A term's least G statistic (1e-6 by chance: a corpus has very many terms), and the least ratio of its shares.
 LEAST_G, LEAST_RATIO = 24.0, 3.0
 
@@ -38,22 +40,29 @@ _LOWER[[9, 10, 11, 12, 13]] = 32
 
 
 def grams(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """(document's place, term) of every five bytes, each document with a space before and after."""
+    """(document's place, term) of every run of GRAMS bytes, each document with a space before and after. A term is its
+    bytes, with their number in the top byte."""
     n = c.n
     sizes = np.diff(c.starts) + 2
     ends = np.cumsum(sizes)
     data = np.full(int(ends[-1]) if n else 0, 32, np.uint8)
     place = np.arange(len(c.data)) + np.repeat(2 * np.arange(n) + 1, np.diff(c.starts))
     data[place] = _LOWER[c.data]
-    v = np.zeros(max(0, len(data) - GRAM + 1), np.uint64)
-    for k in range(GRAM):
-        v = v << np.uint64(8) | data[k : k + len(v)]
-    inside = np.ones(len(v), bool)
-    for e in range(1, GRAM):
-        at = ends[:-1] - e
-        inside[at[(at >= 0) & (at < len(v))]] = False
-    doc = np.repeat(np.arange(n, dtype=np.int32), sizes)[: len(v)]
-    return doc[inside], v[inside]
+    doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    docs, terms = [], []
+    for size in GRAMS:
+        v = np.zeros(max(0, len(data) - size + 1), np.uint64)
+        for k in range(size):
+            v <<= np.uint64(8)
+            v |= data[k : k + len(v)]
+        v |= np.uint64(size << 56)
+        inside = np.ones(len(v), bool)
+        for e in range(1, size):
+            at = ends[:-1] - e
+            inside[at[(at >= 0) & (at < len(v))]] = False
+        docs.append(doc[: len(v)][inside])
+        terms.append(v[inside])
+    return np.concatenate(docs), np.concatenate(terms)
 
 
 class Index(NamedTuple):
