@@ -175,7 +175,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None
 
     first = counts.withColumn("first", F.sum("n").over(Window.partitionBy("length").orderBy("share").rowsBetween(Window.unboundedPreceding, -1))).select(F.col("length").alias("_l"), F.col("share").alias("_s"), F.coalesce("first", F.lit(0)).alias("first"))
     number = F.row_number().over(Window.partitionBy("share", "length").orderBy("row")) - 1
-    numbered = made.withColumn("k", number).join(first, (F.col("length") == F.col("_l")) & (F.col("share") == F.col("_s")))
+    numbered = made.withColumn("k", number).join(first.hint("merge"), (F.col("length") == F.col("_l")) & (F.col("share") == F.col("_s")))
     numbered = numbered.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("k") + F.col("first")).alias("k"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
