@@ -89,13 +89,31 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        """Piece i has the ids pool[at[i] : at[i + 1]]; known gives i by hash."""
-        self.known: dict[int, int] = {}
+        """Piece i has the ids pool[at[i] : at[i + 1]]. Hashes lie in two sorted arrays with each one's piece beside it:
+        the many, and the latest, which join them when they have become some ten thousands."""
+        self.count = 0
+        self.many = self.latest = (np.empty(0, np.uint64), np.empty(0, np.int64))
         self.pool, self.at, self.used = np.empty(1 << 16, self.dtype), np.zeros(1 << 14, np.int64), 0
 
-    def _learn(self, keys: list[int], new: list[bytes], spaced: list[bool]) -> None:
-        """Encodes pieces, joined into texts of some KB: each with its space, or a line feed in the place of none, so that
-        only a piece's first token starts with one."""
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """The pieces of sorted hashes, -1 for one that is not known."""
+        out = np.full(len(keys), -1, np.int64)
+        for known, piece in (self.many, self.latest):
+            if len(known):
+                p = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[p] == keys
+                out[hit] = piece[p[hit]]
+        return out
+
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.concatenate([a[0], b[0]])
+        order = np.argsort(keys, kind="stable")
+        return keys[order], np.concatenate([a[1], b[1]])[order]
+
+    def _learn(self, keys: np.ndarray, new: list[bytes], spaced: list[bool]) -> np.ndarray:
+        """Encodes pieces with these sorted hashes and gives their numbers. They are joined into texts of some KB: each with
+        its space, or a line feed in the place of none, so that only a piece's first token starts with one."""
         groups, size = [[]], 0
         for p, s in zip(new, spaced):
             groups[-1].append(" " + p.decode() if s else "\n" + p.decode() if p != b"\n" else "\n")
@@ -112,7 +130,7 @@ class Encoder:
         keep = np.ones(len(ids), bool)
         keep[head[bare]] = False  # the line feed that stood for no space
         sizes = np.add.reduceat(keep, head, dtype=np.int64) if len(head) else np.empty(0, np.int64)
-        ids, n = ids[keep], len(self.known)
+        ids, n = ids[keep], self.count
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
         while n + len(new) + 1 > len(self.at):
@@ -120,7 +138,12 @@ class Encoder:
         self.pool[self.used : self.used + len(ids)] = ids
         self.at[n + 1 : n + 1 + len(new)] = self.used + np.cumsum(sizes)
         self.used += len(ids)
-        self.known.update(zip(keys, range(n, n + len(new))))
+        self.count += len(new)
+        made = np.arange(n, self.count)
+        self.latest = self._merged(self.latest, (keys, made))
+        if len(self.latest[0]) > 1 << 16:
+            self.many, self.latest = self._merged(self.many, self.latest), (np.empty(0, np.uint64), np.empty(0, np.int64))
+        return made
 
     def _simple(self, data: np.ndarray, starts: np.ndarray) -> list[bytes]:
         """Ids of texts of the simple form, not empty, that lie one after the other."""
@@ -133,18 +156,17 @@ class Encoder:
         which = np.empty(len(k), np.int64)
         which[order] = np.cumsum(first) - 1
         at = order[first]
-        keys = k[first].tolist()
-        found = list(map(self.known.get, keys))
-        if None in found:
-            new = [i for i, f in enumerate(found) if f is None]
-            if len(self.known) + len(new) > self.memory:
+        keys = k[first]
+        found = self._find(keys)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            if self.count + len(new) > self.memory:
                 self._forget()
-                new = range(len(keys))
-            raw = data.tobytes()
-            a, b, sp = s[at].tolist(), e[at].tolist(), spaced[at].tolist()
-            self._learn([keys[i] for i in new], [raw[a[i] : b[i]] for i in new], [sp[i] for i in new])
-            found = list(map(self.known.__getitem__, keys))
-        index = np.array(found, np.int64)[which]
+                new = np.arange(len(keys))
+            raw, lot = data.tobytes(), at[new]
+            parts = [raw[a:b] for a, b in zip(s[lot].tolist(), e[lot].tolist())]
+            found[new] = self._learn(keys[new], parts, spaced[lot].tolist())
+        index = found[which]
         begin, sizes = self.at[index], self.at[index + 1] - self.at[index]
         ends = np.cumsum(sizes)
         ids = self.pool[np.repeat(begin - (ends - sizes), sizes) + np.arange(ends[-1])].tobytes()
