@@ -61,7 +61,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(setting, "false")
     spark.conf.set(setting, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(setting, before)
     return spark.read.parquet(path)
