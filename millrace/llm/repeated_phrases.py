@@ -87,7 +87,9 @@ def _locate(batches: Iterator[pa.RecordBatch], n_shards: int, window: int, phras
         located = np.zeros(len(x.a), bool)
         split = {d: raw[c.starts[d] : c.starts[d + 1]].split() for d in range(c.n)}
         if len(at):
-            machine = automaton(list({b" ".join(split[x.doc[p]][p - first[x.doc[p]] :][:phrase]) for p in at[one].tolist()}))
+            where = at[one]
+            begins = (where - first[x.doc[where]]).tolist()
+            machine = automaton(list({b" ".join(split[d][b : b + phrase]) for d, b in zip(x.doc[where].tolist(), begins)}))
             for d in np.unique(x.doc[at]).tolist():
                 located[first[d] + locate(machine, split[d])] = True
         n = len(x.minimizer)
