@@ -39,8 +39,8 @@ from .exchange import noted, shard_of
 
 WINDOW, GRAM = 50, 16
 NULL_ID = np.iinfo(np.int64).min
-#: Bytes of strings in a block, and in one merge; strings of one gram are never parted.
-BLOCK_BYTES, MERGE_BYTES = 1 << 18, 1 << 20
+#: Bytes of strings in a block, and in one merge, whose arrays then fit a core's cache; strings of one gram are never parted.
+BLOCK_BYTES, MERGE_BYTES = 1 << 15, 1 << 17
 CONTEXTS = "doc_id long, text binary, n_bytes long, kept_sha256 string, n_removed long, n_spans long, own binary, shard int, packed binary"
 ASKS = ("shard", "packed")
 #: A packed row: count, then by entry owner, place, offset of the gram and size, then all bytes; compressed.
