@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import prefix_join
 from .common import chunks, stored, texts
 from .windows import mix
 
@@ -181,16 +182,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, id_
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _verified(source: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b): the pairs x, y of ids whose texts share `similarity` of their distinct shingles."""
+    from .decontaminate import _shingle_hashes, _words
+
+    nodes = stored(pairs.select(F.col("x").alias("_n")).union(pairs.select("y")).distinct(), "nodes")
+    sets = source.join(nodes.hint("shuffle_hash"), F.col("doc_id") == F.col("_n")).select("doc_id", _words(F.lower("text")).alias("w")).select("doc_id", F.array_distinct(_shingle_hashes("w", words)).alias("s"))
+    sets = stored(sets, "shingle-sets")
+    side = lambda n: sets.select(F.col("doc_id").alias(n), F.col("s").alias(f"s{n}"))
+    both = pairs.join(side("x"), "x").join(side("y"), "y").withColumn("n", F.size(F.array_intersect("sx", "sy")))
+    return both.where(F.col("n") >= similarity * (F.size("sx") + F.size("sy") - F.col("n")) - 1e-9).select(F.col("x").alias("a"), F.col("y").alias("b"))
+
+
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 4, count: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without all but the least id of each group of near copies; all columns stay.
 
-    Near copies share `similarity` of their distinct shingles of `words` words (Jaccard). Fingerprints of such shingles
-    lie up to a dozen bits apart at 0.8, too far for a covering of useful size, so the candidates come from
-    `count` fingerprints of the distinct words, of which an edit changes one and not `words`; every pair within
-    `radius` bits in one of them is found. A link between two fingerprints, and each text's to the first of its own
-    fingerprint, counts if the exact similarity of the two texts reaches the threshold."""
-    from .decontaminate import _shingle_hashes, _words
-
+    Near copies share `similarity` of their distinct shingles of `words` words (Jaccard), and copies of them are near too.
+    Candidates come first from `count` fingerprints of the distinct words, of which an edit changes one and not `words`:
+    links between fingerprints within `radius` bits, and each text's to the first of its own fingerprint. These join most
+    copies by few comparisons. Then every pair that they leave apart and that can reach the threshold is compared, by the
+    exact prefixes of `prefix_join`. A link of either kind counts if the exact similarity of the two texts reaches the threshold."""
     source = texts(docs, id_col, text_col).where("doc_id is not null")
     signed = fingerprints(source, 1, distinct=True, count=count)
     names = [c for c in signed.columns if c != "doc_id"]
@@ -206,13 +217,11 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: i
         found = across.unionByName(inside)
         edges = found if edges is None else edges.unionByName(found)
     edges = stored(edges.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "candidate-pairs")
-    nodes = stored(edges.select(F.col("x").alias("_n")).union(edges.select("y")).distinct(), "nodes")
-    sets = source.join(nodes.hint("shuffle_hash"), F.col("doc_id") == F.col("_n")).select("doc_id", _words(F.lower("text")).alias("w")).select("doc_id", F.array_distinct(_shingle_hashes("w", words)).alias("s"))
-    sets = stored(sets, "shingle-sets")
-    side = lambda n: sets.select(F.col("doc_id").alias(n), F.col("s").alias(f"s{n}"))
-    both = edges.join(side("x"), "x").join(side("y"), "y").withColumn("n", F.size(F.array_intersect("sx", "sy")))
-    real = both.where(F.col("n") >= similarity * (F.size("sx") + F.size("sy") - F.col("n")) - 1e-9).select(F.col("x").alias("a"), F.col("y").alias("b"))
-    labels = stored(components(real), "labels")
+    real = stored(_verified(source, edges, words, similarity), "near-pairs")
+    # What the fingerprints have joined needs no further comparison; all other pairs that can reach the threshold do.
+    sketched = prefix_join.sketch(source.withColumn("text", F.lower("text")), unique, words, similarity)
+    more = stored(prefix_join.candidates(sketched, stored(components(real), "near-labels"), similarity), "prefix-pairs")
+    labels = stored(components(real.unionByName(_verified(source, more, words, similarity))), "labels")
     group = unique.join(labels, F.col("doc_id") == F.col("node"), "left").select("digest", F.coalesce("label", "doc_id").alias("kept"))
     group = stored(group.groupBy("digest").agg(F.min("kept").alias("kept")), "groups")
     lost = stored(signed.join(group, "digest").where("doc_id <> kept").select(F.col("doc_id").alias("_lost")).distinct(), "near-copies")

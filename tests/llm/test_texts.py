@@ -270,6 +270,25 @@ def test_keep_one(spark):
     assert sorted((r["doc_id"] for r in got.collect()), key=str) == sorted([*range(12), 300, None], key=str)
 
 
+def test_keep_one_block_edits(spark):
+    rng = random.Random(21)
+    rows, want = [], []
+    for i in range(60):
+        w = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(100, 400))]
+        x = [f"w{rng.randint(0, 10**6)}" for _ in range(len(w))]
+        n = len(w) // 7
+        copy = (w[:-n], w + x[:n], w[:30] + x[:n] + w[30:])[i % 3]
+        rows += [(i, " ".join(w), "x", "y", 0), (100 + i, " ".join(copy), "x", "y", 0)]
+        # a third left out or a half put in is no near copy
+        rows.append((200 + i, " ".join(w[: 2 * len(w) // 3] if i % 2 else w + x[: len(w) // 2]), "x", "y", 0))
+        sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in (w, copy, rows[-1][1].split())]
+        near = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+        assert near(sets[0], sets[1]) and not near(sets[0], sets[2])
+        want += [i] if near(sets[1], sets[2]) else [i, 200 + i]
+    got = covering_simhash.keep_one(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(want)
+
+
 @pytest.mark.parametrize("lacing", [1, 2, 3])
 def test_media(spark, docs, rows, lacing):
     got = matroska.features(matroska.media(docs, lacing=lacing)).collect()
