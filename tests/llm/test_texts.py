@@ -289,6 +289,20 @@ def test_keep_one_block_edits(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(want)
 
 
+def test_keep_one_equal_word_sets(spark):
+    rng = random.Random(22)
+    rows, want = [], []
+    for i in range(12):
+        words = [f"v{i}x{k}" for k in range(60)]
+        h, b = ([*words, *rng.choices(words, k=340)] for _ in range(2))
+        c = [*b[:200], b[5], *b[200:]]  # near b, far from the head h; all three have the same words
+        rows += [(100 * i + k, " ".join(t), "x", "y", 0) for k, t in enumerate((h, b, c))]
+        want += [100 * i, 100 * i + 1]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    assert {r["n"] for r in covering_simhash.fingerprints(docs, 1, distinct=True).groupBy("fp").count().withColumnRenamed("count", "n").collect()} == {3}
+    assert sorted(r["doc_id"] for r in covering_simhash.keep_one(docs).collect()) == want
+
+
 @pytest.mark.parametrize("lacing", [1, 2, 3])
 def test_media(spark, docs, rows, lacing):
     got = matroska.features(matroska.media(docs, lacing=lacing)).collect()
