@@ -70,8 +70,12 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
 
 
 def masks(places: int, radius: int = RADIUS) -> list[int]:
-    """For each table the places it keeps, as bits 0 to `places` - 1; place i has vector 1 + i mod (2**(radius+1) - 1)."""
+    """For each table the places it keeps, as bits 0 to `places` - 1; place i has vector 1 + i mod (2**(radius+1) - 1).
+
+    Where places are too few for these to use every bit, unit vectors come first: they span all, so no table is empty."""
     vectors = [1 + i % ((1 << radius + 1) - 1) for i in range(places)]
+    if places < 1 << radius:
+        vectors = sorted(range(1, 1 << radius + 1), key=lambda v: (v.bit_count() > 1, v))[:places]
     return [sum(1 << i for i, a in enumerate(vectors) if (a & v).bit_count() & 1) for v in range(1, 1 << radius + 1)]
 
 

@@ -236,6 +236,22 @@ def test_covering_guarantee():
         assert all(any(not m & d for m in deeper[k]) for k in level)
 
 
+def test_covering_guarantee_of_the_pipeline():
+    from itertools import combinations
+
+    first = covering_simhash.tables(0, 4)
+    assert len(first) == 31
+    for m in first:
+        for n in covering_simhash.tables(m, 4):
+            assert len(covering_simhash.tables(n, 4)) == 31, "no table is lost"
+    for kept in (0, first[0], first[15], *covering_simhash.tables(first[0], 4)[::10], *covering_simhash.tables(first[15], 4)[::10]):
+        free = [p for p in range(64) if not kept >> p & 1]
+        masks = np.array(covering_simhash.tables(kept, 4), np.uint64)
+        some = combinations(free, 4) if len(free) <= 20 else (random.Random(k).sample(free, 4) for k in range(3000))
+        d = np.array([sum(1 << p for p in c) for c in some], np.uint64)
+        assert ((masks & d[:, None]) == 0).any(1).all()
+
+
 def test_clean_removes_intermediate_folders(spark):
     import os
 
