@@ -31,6 +31,11 @@ def _words(text):
     return F.filter(F.split(text, r"[ \t-\r]+"), lambda w: w != "")
 
 
+def _plain(text):
+    """Lower case, without the punctuation at the edges of words."""
+    return F.regexp_replace(F.lower(text), r"(?<![^ \t-\r])[^\p{L}\p{M}\p{N} \t-\r]+|[^\p{L}\p{M}\p{N} \t-\r]+(?![^ \t-\r])", "")
+
+
 def _shingle_strings(words, n: int):
     """The distinct shingles as strings; words hold no white space, so joining by spaces is one to one.
 
@@ -85,6 +90,11 @@ def search(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, word
 
 
 def keep_uncontaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without the documents that hold an item; all columns stay."""
-    lost = stored(search(docs, items, threshold, words, id_col, text_col).select(F.col("doc_id").alias("_lost")).distinct(), "leaks")
+    """`docs` without the documents that hold an item; all columns stay.
+
+    An item is held if `search` finds it in the words as they are, or in lower case without punctuation at their edges."""
+    found = search(docs, items, threshold, words, id_col, text_col)
+    plain = lambda df, i, t: df.select(F.col(i), _plain(F.col(t).cast("string")).alias(t))
+    found = found.select("doc_id").union(search(plain(docs, id_col, text_col), plain(items, "item_id", "text"), threshold, words, id_col, text_col).select("doc_id"))
+    lost = stored(found.select(F.col("doc_id").alias("_lost")).distinct(), "leaks")
     return docs.join(lost.hint("shuffle_hash"), F.col(id_col) == F.col("_lost"), "left_anti")

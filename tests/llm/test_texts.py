@@ -192,6 +192,13 @@ def test_decontamination(spark):
     assert decontaminate.search(df.limit(0), it).count() == 0 and decontaminate.search(df, it.limit(0)).count() == 0
 
 
+def test_decontamination_in_capitals(spark):
+    item = "The quick, brown fox (so they say) jumps over one lazy dog's tail today."
+    docs = [(1, f"before {item.upper()} after"), (2, "x y z " + item.replace(",", "").replace("(", "").replace(")", "") + " z"), (3, "the quick red fox jumps over no dog at all today"), (4, f"x {item} y")]
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(0, item), (1, "...")], "item_id long, text string")
+    assert {r["doc_id"] for r in decontaminate.keep_uncontaminated(df, it).collect()} == {3}
+
+
 def test_simhash(spark, docs, rows):
     def fp(t):
         w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(b"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
