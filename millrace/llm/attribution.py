@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import default_path, encoder
+from .tokens import encoder
 
 OUT = "doc_id long, field string, section int, start long, end long, n_tokens double, n_crossing long"
 
@@ -55,13 +55,13 @@ def attribute(docs: DataFrame, id_col: str = "doc_id", fields: Sequence[str] = (
     """A row for each section that is not empty: doc_id, field, section (from 0 in its document), start, end, n_tokens, n_crossing."""
     if rule not in ("first", "majority", "split"):
         raise ValueError(rule)
-    path, cut = tokenizer or default_path(), re.compile(boundary.encode())
+    cut = re.compile(boundary.encode())
     names = [f"_f{i}" for i in range(len(fields))]
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), *[F.coalesce(F.col(f).cast("string"), F.lit("")).alias(n) for f, n in zip(fields, names)])
     source = source.withColumn("text", F.concat(*names)).select("doc_id", "text", *[F.octet_length(n).alias(n) for n in names])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(tokenizer)
         for whole in batches:
             for i in range(0, whole.num_rows, 512):
                 batch = whole.slice(i, 512)

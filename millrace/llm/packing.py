@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, texts
-from .tokens import default_path, encoder
+from .tokens import encoder
 
 CAPACITY = 2048
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, share int, row long"
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], path: str | None, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     enc, share, row = encoder(path), TaskContext.get().partitionId(), 0
@@ -163,8 +163,7 @@ def _closing_pair(sizes: list[int], left: dict[int, int], need: dict[int, int],
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    path = tokenizer or default_path()
-    made = stored(texts(docs, id_col, text_col).mapInArrow(lambda it: _pieces(it, path, capacity, end_id), PIECES), "pieces")
+    made = stored(texts(docs, id_col, text_col).mapInArrow(lambda it: _pieces(it, tokenizer, capacity, end_id), PIECES), "pieces")
     # Counts by (share, length): at most `capacity` a share, summed to numbers that offset each share.
     counts = made.groupBy("length", "share").agg(F.count(F.lit(1)).alias("n"))
     counts = stored(counts, "piece-counts")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import input_bytes, scratch, stored, texts
-from .tokens import default_path, encoder
+from .tokens import encoder
 
 BLOCK, PERCENTILE, MAGIC = 256, 75, b"PFR1"
 #: Ids in memory at a time, in the writer and in the reader.
@@ -201,7 +201,7 @@ def write(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, id_col
     the range bounds that every task gets."""
     from pyarrow import fs
 
-    spark, path = docs.sparkSession, tokenizer or default_path()
+    spark = docs.sparkSession
     source = texts(docs, id_col, text_col)
     folder = scratch(spark, "token-files")
     # Range bounds come from the id column alone; the encoder runs once and only ids are shuffled.
@@ -209,7 +209,7 @@ def write(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, id_col
     bounds = sorted(set(source.where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) or []))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(tokenizer)
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
@@ -217,7 +217,7 @@ def write(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, id_col
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(enc.encode(part.column("text")), pa.binary()), pa.array(np.searchsorted(bounds, ids, "right").astype(np.int32))], ["doc_id", "ids", "file"])
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dtype, out, file = encoder(path).dtype, None, None
+        dtype, out, file = encoder(tokenizer).dtype, None, None
         where, root = fs.FileSystem.from_uri(folder)
         where.create_dir(root, recursive=True)
         for batch in batches:

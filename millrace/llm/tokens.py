@@ -3,9 +3,10 @@
 Such a tokenizer cuts a text into pre-tokens before it merges bytes, and none of them crosses the place before a space
 or a line feed that stands alone between other characters, or the place between a letter or digit and a final run of
 ASCII punctuation. Pieces between such places therefore have the ids that they have within the whole text, so each
-distinct piece is encoded by the library once and looked up after that, by a 64-bit hash of its bytes (a worker
-remembers about a million pieces, so that two of them share a hash is as good as impossible). A text that is not of
-this simple form is cut at lone spaces only, or encoded whole if it holds a special token's text.
+distinct piece is encoded by the library once and looked up after that: a hash finds it, and its bytes are compared with
+those of the piece found. Texts in which two pieces share a hash, or a piece shares it with another that is known, go to
+the library whole. So do texts that hold a special token's text; others that are not of the simple form are cut at lone
+spaces only. A text of more than LONG_TEXT bytes is taken in parts, cut before lone spaces where it has some.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ ODD = "[\t\r\x0b\x0c\x1c-\x1f\x85\xa0  -     　]|[ \n][ \n]|^[ \n
 LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 #: Pieces that a worker remembers; it forgets them all when there are more.
 MEMORY = 1_000_000
+#: Bytes from which on a text is encoded in parts, and the least size of a part.
+LONG_TEXT, PART = 1 << 22, 1 << 20
 
 _ALNUM, _PUNCT = np.zeros(256, bool), np.zeros(256, bool)
 _ALNUM[[b for b in range(128) if chr(b).isalnum()]] = True
@@ -94,6 +97,8 @@ class Encoder:
         self.count = 0
         self.many = self.latest = (np.empty(0, np.uint64), np.empty(0, np.int64))
         self.pool, self.at, self.used = np.empty(1 << 16, self.dtype), np.zeros(1 << 14, np.int64), 0
+        # Its bytes are text[text_at[i] : text_at[i + 1]]; after the last are eight spare ones at least.
+        self.text, self.text_at = np.zeros(1 << 16, np.uint8), np.zeros(1 << 14, np.int64)
 
     def _find(self, keys: np.ndarray) -> np.ndarray:
         """The pieces of sorted hashes, -1 for one that is not known."""
@@ -135,6 +140,13 @@ class Encoder:
             self.pool = np.concatenate([self.pool, np.empty_like(self.pool)])
         while n + len(new) + 1 > len(self.at):
             self.at = np.concatenate([self.at, np.empty_like(self.at)])
+            self.text_at = np.concatenate([self.text_at, np.empty_like(self.text_at)])
+        raw = np.frombuffer(b"".join(new), np.uint8)
+        text_ends = self.text_at[n] + np.cumsum([len(p) for p in new])
+        while text_ends[-1] + 8 > len(self.text):
+            self.text = np.concatenate([self.text, np.zeros_like(self.text)])
+        self.text[self.text_at[n] : text_ends[-1]] = raw
+        self.text_at[n + 1 : n + 1 + len(new)] = text_ends
         self.pool[self.used : self.used + len(ids)] = ids
         self.at[n + 1 : n + 1 + len(new)] = self.used + np.cumsum(sizes)
         self.used += len(ids)
@@ -148,7 +160,8 @@ class Encoder:
     def _simple(self, data: np.ndarray, starts: np.ndarray) -> list[bytes]:
         """Ids of texts of the simple form, not empty, that lie one after the other."""
         s, e, spaced = pieces(data, starts)
-        h = W.mix(W.spans(W.prefix(W.BYTES[data]), s, e) + (e - s).astype(np.uint64) * np.uint64(2) + spaced)
+        # The lowest bit says whether a space belongs before the piece, so pieces of one hash agree in that.
+        h = self._hash(data, s, e) << np.uint64(1) | spaced.astype(np.uint64)
         order = np.argsort(h)
         k = h[order]
         first = np.ones(len(k), bool)
@@ -157,12 +170,20 @@ class Encoder:
         which[order] = np.cumsum(first) - 1
         at = order[first]
         keys = k[first]
+        v, head = W.loads(data), at[which]
+        if not W.equal_spans(data, s, e, data, s[head], e[head], v, v).all():
+            return self._whole(data, starts)
         found = self._find(keys)
         new = np.flatnonzero(found < 0)
+        if len(new) and self.count + len(new) > self.memory:
+            self._forget()
+            found[:], new = -1, np.arange(len(keys))
+        old = np.flatnonzero(found >= 0)
+        if len(old):
+            f, stored = found[old], np.ndarray(len(self.text) - 7, "<u8", self.text, strides=(1,))
+            if not W.equal_spans(data, s[at[old]], e[at[old]], self.text, self.text_at[f], self.text_at[f + 1], v, stored).all():
+                return self._whole(data, starts)
         if len(new):
-            if self.count + len(new) > self.memory:
-                self._forget()
-                new = np.arange(len(keys))
             raw, lot = data.tobytes(), at[new]
             parts = [raw[a:b] for a, b in zip(s[lot].tolist(), e[lot].tolist())]
             found[new] = self._learn(keys[new], parts, spaced[lot].tolist())
@@ -174,6 +195,13 @@ class Encoder:
         cuts = np.concatenate([[0], ends])[np.searchsorted(s, starts)] * width
         return [ids[x:y] for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
 
+    _hash = staticmethod(W.span_hashes)
+
+    def _whole(self, data: np.ndarray, starts: np.ndarray) -> list[bytes]:
+        """Ids of texts that lie one after the other, by the library alone."""
+        raw = data.tobytes()
+        return [np.array(self.tokenizer.encode(raw[a:b].decode(), add_special_tokens=False).ids, self.dtype).tobytes() for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
+
     def _odd(self, text: str) -> bytes:
         parts = LONE_SPACE.split(text)
         made = self.tokenizer.encode_batch_fast([parts[0], *(" " + p for p in parts[1:])], add_special_tokens=False)
@@ -206,7 +234,7 @@ class Encoder:
 
     def _fill(self, out: list[bytes], which: list[int], held: list[np.ndarray]) -> None:
         data = np.concatenate(held)
-        if len(which) == 1 and len(data) > 1 << 22:
+        if len(which) == 1 and len(data) > LONG_TEXT:
             out[which[0]] = self._long(data)
             return
         made = self._simple(data, np.concatenate([[0], np.cumsum([len(x) for x in held])]))
@@ -218,8 +246,8 @@ class Encoder:
         ids are then dropped."""
         cuts, out = [0], []
         gaps = np.flatnonzero(data == 32)
-        while len(data) - cuts[-1] > 1 << 21:
-            at = np.searchsorted(gaps, cuts[-1] + (1 << 20))
+        while len(data) - cuts[-1] > 2 * PART:
+            at = np.searchsorted(gaps, cuts[-1] + PART)
             if at == len(gaps):
                 break
             cuts.append(int(gaps[at]))
@@ -232,9 +260,9 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """The encoder of this worker process, kept from task to task."""
-    return Encoder(path)
+def encoder(path: str | None = None) -> Encoder:
+    """The encoder of this worker process, kept from task to task. Without a path the default one, where the worker has it."""
+    return Encoder(path or default_path())
 
 
 def default_path() -> str:

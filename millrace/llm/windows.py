@@ -1,18 +1,26 @@
 """Fixed-length windows over sequences: hashes, and the minimizer that a window has wherever its content occurs.
 
-Hashes are polynomials modulo 2**64 over random element values, from prefix sums, then mixed. The minimizer of a window
-is the place of its gram with the least hash, the last of equals; equal windows have it at the same place, so grouping
-minimizers' grams brings equal windows together with one gram for about every (w + 1) / 2 elements.
+Hashes of grams are polynomials modulo 2**64 over random element values, from prefix sums, then mixed. They only say where
+to look: over an odd base such polynomials collide by construction from some hundred elements on, so grams are short and
+whoever calls two things equal compares them. Words and other long runs of bytes are hashed eight bytes at a time
+(`span_hashes`) and compared likewise (`equal_spans`). The minimizer of a window is the place of its gram with the least
+hash, the last of equals; equal windows have it at the same place, so grouping minimizers' grams brings equal windows
+together with one gram for about every (w + 1) / 2 elements.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(BASE, -1, 1 << 64)
 #: Fixed random odd values, one for each byte.
 BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Bytes from which on a span is hashed and compared by itself; masks of the first 0 to 8 bytes of a number.
+LONG = 512
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 SPACE = np.zeros(256, bool)
 SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -87,8 +95,50 @@ def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return a, b, np.searchsorted(starts, a, "right") - 1
 
 
+def loads(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, zeros beyond the end. A view if `data` ends with eight spare ones."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def _steps(sizes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(which spans are longer than `at`, masks of their next eight bytes, at), for spans up to LONG."""
+    live, at = np.flatnonzero((sizes > 0) & (sizes <= LONG)), 0
+    while len(live):
+        yield live, MASKS[np.minimum(sizes[live] - at, 8)], at
+        at += 8
+        live = live[sizes[live] > at]
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = 0) -> np.ndarray:
+    """A hash of the bytes of each span, eight of them at a time; long spans by XXH3."""
+    import xxhash
+
+    sizes, v = ends - starts, loads(data)
+    h = mix(sizes.astype(np.uint64), key ^ 0x5851F42D4C957F2D)
+    for live, mask, at in _steps(sizes):
+        h[live] = mix(h[live] ^ (v[starts[live] + at] & mask))
+    for i in np.flatnonzero(sizes > LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]], key)
+    return h
+
+
+def equal_spans(x: np.ndarray, a: np.ndarray, b: np.ndarray, y: np.ndarray, c: np.ndarray, d: np.ndarray, vx: np.ndarray | None = None, vy: np.ndarray | None = None) -> np.ndarray:
+    """Whether the bytes x[a:b] are y[c:d], span by span; vx and vy are their `loads`, if there are some already."""
+    vx, vy = loads(x) if vx is None else vx, loads(y) if vy is None else vy
+    sizes = b - a
+    out = sizes == d - c
+    for live, mask, at in _steps(np.where(out, sizes, 0)):
+        differ = (vx[a[live] + at] ^ vy[c[live] + at]) & mask != 0
+        out[live[differ]] = False
+    for i in np.flatnonzero(out & (sizes > LONG)).tolist():
+        out[i] = np.array_equal(x[a[i] : b[i]], y[c[i] : d[i]])
+    return out
+
+
 def word_hashes(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return mix(spans(prefix(BYTES[data]), a, b) + (b - a).astype(np.uint64))
+    return span_hashes(data, a, b, 71)
 
 
 def runs(flags: np.ndarray, *changes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -36,6 +36,45 @@ def test_pieces_encode_as_whole_texts(tok):
     assert e.encode(pa.array(texts), group=500) == [np.array(tok(t)[:-1], np.uint16).tobytes() for t in texts]
 
 
+def _twins(n):
+    """Two words of n letters (a power of two) whose polynomials modulo 2**64 over any odd base are equal from 1024 on."""
+    one = [i.bit_count() & 1 for i in range(n)]
+    return "".join("ab"[x] for x in one), "".join("ba"[x] for x in one)
+
+
+def test_pieces_of_equal_hash(tok):
+    texts = [f"{a} x {b}" for n in (1024, 4096) for a, b in (_twins(n), _twins(n)[::-1])] + [t or "" for t in TEXTS]
+    want = [np.array(tok(t)[:-1], np.uint16).tobytes() for t in texts]
+    e = Encoder(default_path())
+    assert e.encode(pa.array(texts)) == want
+    assert [e.encode(pa.array([t]))[0] for t in texts] == want
+    e = Encoder(default_path())
+    e._hash = lambda data, s, e: (e - s).astype(np.uint64)  # every two pieces of one length share a hash
+    assert e.encode(pa.array(texts)) == want
+    assert [e.encode(pa.array([t]))[0] for t in texts] == want
+
+
+def test_twins_in_the_operators(spark, tok):
+    rows = [(2 * i + k, t) for i, n in enumerate((1024, 4096)) for k, t in enumerate(_twins(n))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    _check_pack(packing.pack(docs).collect(), rows, tok, 2048)
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in patched_frames.read(patched_frames.write(docs)).collect()}
+    assert got == {i: (len(tok(t)), zlib.crc32(np.array(tok(t), "<u4").tobytes())) for i, t in rows}
+    got = {r["doc_id"]: r["n_tokens"] for r in attribution.attribute(docs).collect()}
+    assert got == {i: len(tok(t)) - 1 for i, t in rows}
+
+
+def test_very_long_texts(tok):
+    rng = random.Random(6)
+    words = ["alpha", "beta,", "(gamma)", "d'elta", "é漢", "x" * 40, "1234.5"]
+    long = " ".join(rng.choice(words) for _ in range(700_000))
+    assert len(long) > 1 << 22
+    bare = "ab" * 1_100_000 + "c d"  # hardly a place to cut
+    e = Encoder(default_path())
+    for t in (long, long[: (1 << 22) + 10] + " ", bare):
+        assert e.encode(pa.array([t]))[0] == np.array(tok(t)[:-1], np.uint16).tobytes()
+
+
 def _check_pack(got, rows, tok, capacity):
     want = Counter()
     for i, t, *_ in rows:
