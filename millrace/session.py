@@ -41,13 +41,23 @@ def ship(spark: SparkSession) -> None:
     context._millrace_shipped = True
 
 
+#: Folders of local sessions without spark.checkpoint.dir, by application.
+_local: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; where that is unset, as in tests, below a temporary one."""
+    """A new folder below spark.checkpoint.dir, which driver and executors share.
+
+    A local session, whose driver and executors are one process, may do without the setting; a cluster may not."""
     import tempfile
     import uuid
 
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _local:
+            _local[app] = "file://" + tempfile.mkdtemp(prefix="millrace-")
+        base = _local[app]
     return f"{base.rstrip('/')}/millrace/{name}-{uuid.uuid4().hex[:12]}"
