@@ -2,8 +2,8 @@
 
 1. A byte string of WINDOW bytes is known by its minimizer, a gram of GRAM bytes; grams that several documents have are
    found by an exchange of hashes (`exchange.repeated`). Around each such gram a document's context, the bytes of all
-   windows with that minimizer, goes to the gram's shard, once for equal contexts of a chunk. Contexts outside shared
-   grams hold no window that another document has.
+   windows with that minimizer, goes to the gram's shard, once for equal contexts of a chunk (`contexts`). Contexts
+   outside shared grams hold no window that another document has.
 2. In a shard equal contexts are one string with its least document. Strings that share a gram and half of what a
    window has besides it with another string go into blocks; each block's suffixes are sorted and give its transform.
 3. The blocks' transforms are merged by refining their interleave (Holt and McMillan): a round orders all rows by one
@@ -17,15 +17,18 @@ hold; equal windows always meet in one shard.
 
 Whole copies of earlier texts are known by their digest and are not taken apart.
 
+Hashes only say where to look: whole copies are known by SHA-256, contexts are compared byte by byte, and the transforms
+find equal windows symbol by symbol.
+
 Defined cases: a null text is empty; a null id is the smallest; repeated rows of one id are one document: what is
-removed from one is removed at that place from each; texts shorter than a window stay whole; an empty table gives no
-rows; other columns are ignored.
+removed from one is removed at that place from each, and of different texts with one id neither is the earlier one, so
+windows of one stay in the other; texts shorter than a window stay whole, very long texts are taken whole, a chunk by
+themselves; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-import struct
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -35,16 +38,17 @@ from pyspark.sql import functions as F
 
 from . import windows as W
 from .common import Chunk, chunks, shards, stored, texts
-from .exchange import noted, shard_of
+from .contexts import cut_runs, flags, judged, starts_and_counts, with_runs
+from .exchange import HOT, expand, noted, shard_of, squeeze
 
 WINDOW, GRAM = 50, 16
 NULL_ID = np.iinfo(np.int64).min
-#: Bytes of strings in a block, and in one merge, whose arrays then fit a core's cache; strings of one gram are never parted.
+#: Bytes of strings in a block, and in one merge, whose arrays then fit a core's cache; strings of one gram in a shard are never parted.
 BLOCK_BYTES, MERGE_BYTES = 1 << 15, 1 << 17
 CONTEXTS = "doc_id long, text binary, n_bytes long, kept_sha256 string, n_removed long, n_spans long, own binary, shard int, packed binary"
 ASKS = ("shard", "packed")
-#: A packed row: count, then by entry owner, place, offset of the gram and size, then all bytes; compressed.
-HEAD = struct.Struct("<IQ")
+#: Columns of a packed row: owner, place, offset of the gram and size of each context.
+COLUMNS = ("<i8", "<i8", "<i4", "<i4")
 
 
 def transform(strings: Sequence[bytes], depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,48 +165,29 @@ class Anchors:
         return np.flatnonzero(used)
 
 
-def _pack(owner: np.ndarray, place: np.ndarray, offset: np.ndarray, size: np.ndarray, text: bytes) -> bytes:
-    """Owners and places as differences, which compress well: both mostly ascend."""
-    columns = [np.diff(owner, prepend=0).astype("<i8"), np.diff(place, prepend=0).astype("<i8"), offset.astype("<i4"), size.astype("<i4")]
-    raw = b"".join([np.ascontiguousarray(c.view(np.uint8).reshape(len(owner), -1).T).tobytes() for c in columns]) + text
-    return HEAD.pack(len(owner), len(raw)) + pa.compress(raw, "zstd", asbytes=True)
-
-
-def _unpack(packed: pa.Buffer) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
-    n, size = HEAD.unpack_from(packed)
-    raw = pa.decompress(packed.slice(HEAD.size), size, "zstd", asbytes=True)
-    column = lambda at, kind: np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * kind.itemsize, at * n).reshape(-1, n).T).view(kind)[:, 0]
-    long, short = np.dtype("<i8"), np.dtype("<i4")
-    return np.cumsum(column(0, long)), np.cumsum(column(8, long)), column(16, short), column(20, short).astype(np.int64), raw[24 * n :]
-
-
 def _contexts(batches: Iterator[pa.RecordBatch], n_shards: int, window: int, gram: int) -> Iterator[pa.RecordBatch]:
     for c in chunks(batches, limit=1 << 20):
         x = Anchors(c, window, gram)
         ids, copied = c.ids(), np.array(c.column("copied").to_pylist(), bool)
-        confirmed = np.unique(c.column("hs").flatten().to_numpy(zero_copy_only=False).astype(np.int64)).view(np.uint64)
         at = x.places()
-        shared = np.zeros(len(x.grams), bool)
-        shared[at[np.isin(x.grams[at], confirmed)]] = True
-        live = x.valid & shared[x.minimizer]
+        live = x.valid & flags(c, "hs", x.grams, at)[x.minimizer]
         for d in np.flatnonzero(copied).tolist():
             live[c.starts[d] : c.starts[d + 1]] = False
-        s, e = W.runs(live, x.minimizer)
+        s, e, key = cut_runs(live, x.minimizer, x.grams, x.sums, flags(c, "hot", x.grams, at), window, gram)
         doc = np.searchsorted(c.starts, s, "right") - 1
         owner, place, size = ids[doc], s - c.starts[doc], e - s + window - 1
-        key = W.mix(W.spans(x.sums, s, s + size) + size.astype(np.uint64))
-        order = np.lexsort((place, owner, key))
-        k, o = key[order], owner[order]
-        new = np.ones(len(k), bool)
-        new[1:] = k[1:] != k[:-1]
-        head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-        later = np.zeros(len(k), bool)
-        later[order] = o != o[head]  # a smaller document of this chunk has the same context
+        raw = c.data.tobytes()
+        # The first context of each content, by id, stands for those of larger ids; a repeated row is not sent again.
+        later, again, known = np.zeros(len(s), bool), np.zeros(len(s), bool), {}
+        for i in np.lexsort((place, owner)).tolist():
+            j = known.setdefault(raw[s[i] : s[i] + size[i]], i)
+            later[i] = owner[j] != owner[i]
+            again[i] = j != i and owner[j] == owner[i] and place[j] == place[i]
+        del known
         pending = np.zeros(c.n, bool)
         pending[doc] = True
         cols = {name: [] for name in ("doc_id", "text", "n_bytes", "kept_sha256", "n_removed", "n_spans", "own", *ASKS)}
         own = np.searchsorted(doc, np.arange(c.n + 1)).tolist()
-        raw = c.data.tobytes()
         for d in range(c.n):
             text = raw[c.starts[d] : c.starts[d + 1]]
             gone = bool(copied[d]) and len(text) >= window
@@ -215,14 +200,13 @@ def _contexts(batches: Iterator[pa.RecordBatch], n_shards: int, window: int, gra
             cols["kept_sha256"].append(None if pending[d] else hashlib.sha256(b"" if gone else text).hexdigest())
             cols["n_removed"].append(None if pending[d] else len(text) * gone)
             cols["n_spans"].append(None if pending[d] else int(gone))
-        anchor = x.grams[x.minimizer[s]] if len(s) else np.empty(0, np.uint64)
-        shard = shard_of(anchor, n_shards)
-        send = np.flatnonzero(~later)
+        shard = shard_of(key, n_shards)
+        send = np.flatnonzero(~later & ~again)
         send = send[np.argsort(shard[send], kind="stable")]
         for part in np.split(send, np.flatnonzero(np.diff(shard[send])) + 1) if len(send) else ():
             cols["shard"].append(int(shard[part[0]]))
             text = b"".join([raw[i : i + n] for i, n in zip(s[part].tolist(), size[part].tolist())])
-            cols["packed"].append(_pack(owner[part], place[part], (x.minimizer[s] - s)[part], size[part], text))
+            cols["packed"].append(squeeze(owner[part], place[part], (x.minimizer[s[part]] - s[part]).astype("<i4"), size[part].astype("<i4"), tail=text))
         m = len(cols["shard"])
         kinds = {"kept_sha256": pa.string(), "shard": pa.int32()} | dict.fromkeys(("doc_id", "n_bytes", "n_removed", "n_spans"), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array([None] * c.n + v if name in ASKS else v + [None] * m, kinds.get(name, pa.binary())) for name, v in cols.items()], list(cols))
@@ -248,11 +232,11 @@ def _overlapping(strings: list[bytes], offsets: np.ndarray, window: int, gram: i
     return out
 
 
-def _judge(table: pa.Table, window: int, gram: int) -> pa.Table:
-    """Removed windows of a shard's contexts, as (start, count) runs by document."""
-    rows = [_unpack(x.as_buffer()) for x in table.column("packed")]
-    owner, place, offset, size = (np.concatenate([r[k] for r in rows]) for k in range(4))
-    raw = b"".join([r[4] for r in rows])
+def _judge(packed: list[pa.Buffer], window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, count) of the removed windows in the contexts of a shard, a row for each run."""
+    rows = [expand(p, *COLUMNS) for p in packed]
+    owner, place, offset, size = (np.concatenate([r[0][k] for r in rows]) for k in range(4))
+    raw = b"".join([r[1] for r in rows])
     del rows
     ends = np.cumsum(size, dtype=np.int64)
     known: dict[tuple[int, bytes], int] = {}
@@ -284,21 +268,14 @@ def _judge(table: pa.Table, window: int, gram: int) -> pa.Table:
     begin = np.cumsum(count) - count
     inner = np.arange(len(entry)) - np.repeat(begin, count)
     a, b = W.runs(first[base[which[entry]] + inner] < owner[entry], entry)
-    who = np.concatenate([owner[late], owner[entry[a]]])
-    run = np.stack([np.concatenate([place[late], place[entry[a]] + inner[a]]), np.concatenate([windows[which[late]], b - a])], 1).astype("<i8")
-    order = np.argsort(who, kind="stable")
-    who, run = who[order], run[order]
-    cuts = np.flatnonzero(np.diff(who)) + 1
-    parts = np.split(run, cuts) if len(who) else []
-    return pa.table({"doc_id": pa.array(who[np.concatenate([[0], cuts]).astype(int)] if len(who) else [], pa.int64()), "runs": pa.array([p.tobytes() for p in parts], pa.binary())})
+    return np.concatenate([owner[late], owner[entry[a]]]), np.concatenate([place[late], place[entry[a]] + inner[a]]), np.concatenate([windows[which[late]], b - a])
 
 
 def _finish(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         removed, spans, digests = [], [], []
-        for text, own, more in zip(*(batch.column(c).to_pylist() for c in ("text", "own", "runs"))):
-            data = np.frombuffer(text, np.uint8)
-            r = np.frombuffer(b"".join([own, *(more or [])]), "<i8").reshape(-1, 2)
+        for text, r in zip(batch.column("text"), starts_and_counts(batch.column("own"), batch.column("runs"))):
+            data = np.frombuffer(text.as_buffer(), np.uint8)
             r = r[r.sum(1) + window - 1 <= len(data)]
             gone = W.cover(len(data), r[:, 0], r.sum(1) + window - 1)
             removed.append(int(gone.sum()))
@@ -307,7 +284,7 @@ def _finish(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digests, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", per_shard: int = 8 << 20, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of the bytes that stay."""
     source = texts(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(int(NULL_ID))))
 
@@ -316,12 +293,10 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str =
         at = x.places()
         return np.searchsorted(c.starts, at, "right") - 1, x.grams[at]
 
-    n = shards(source, 8 << 20)
-    found = stored(noted(source, ask, False).mapInArrow(lambda it: _contexts(it, n, window, gram), CONTEXTS), "contexts")
-    asked = found.where("shard is not null").select(*ASKS)
-    later = asked.groupBy("shard").applyInArrow(lambda t: _judge(t, window, gram), "doc_id long, runs binary").groupBy("doc_id").agg(F.collect_list("runs").alias("runs"))
-    later = stored(later, "removed-runs").withColumnRenamed("doc_id", "_id")
+    n = shards(source, per_shard)
+    found = stored(noted(source, ask, False, hot).mapInArrow(lambda it: _contexts(it, n, window, gram), CONTEXTS), "contexts")
+    runs = judged(found.where("shard is not null").select(*ASKS), n, lambda rows: _judge(rows, window, gram), "removed-runs")
     plain = found.where("shard is null and text is null").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
-    waiting = found.where("shard is null and text is not null").select("doc_id", "n_bytes", "text", "own").join(later.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left")
-    done = waiting.select("doc_id", "n_bytes", "text", "own", "runs").mapInArrow(lambda it: _finish(it, window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    waiting = with_runs(found.where("shard is null and text is not null").select("doc_id", "n_bytes", "text", "own"), runs)
+    done = waiting.mapInArrow(lambda it: _finish(it, window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     return plain.unionByName(done).withColumn("doc_id", F.when(F.col("doc_id") != int(NULL_ID), F.col("doc_id")))

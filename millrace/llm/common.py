@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
@@ -12,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 #: Bytes of text that one NumPy pass works on; a longer document is a chunk of its own.
 CHUNK_BYTES = 1 << 21
 
@@ -25,15 +25,26 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """Column names like these that `docs` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n)
+        out.append(n)
+    return out
+
+
+def text_digest(column):
+    """The SHA-256 of a text, a null text being empty."""
+    return F.unhex(F.sha2(F.coalesce(column.cast("string"), F.lit("")), 256))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
-
-    Where the setting is absent (tests on one machine) a temporary folder is set for the session first."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/millrace/{name}-{uuid.uuid4().hex[:12]}"
+    """A new folder below spark.checkpoint.dir, which `clean` deletes."""
+    path = shared_folder(spark, name)
     _made.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
 
@@ -42,16 +53,27 @@ def scratch(spark: SparkSession, name: str) -> str:
 _made: dict[str, list[str]] = {}
 
 
-def clean(spark: SparkSession) -> int:
-    """Deletes the intermediate folders of this application, once no result that reads them is needed any more."""
+def _delete(spark: SparkSession, paths: list[str]) -> None:
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    paths = _made.pop(spark.sparkContext.applicationId, [])
     for p in paths:
         where = jvm.org.apache.hadoop.fs.Path(p)
         where.getFileSystem(conf).delete(where, True)
+
+
+def clean(spark: SparkSession) -> int:
+    """Deletes the intermediate folders of this application, once no result that reads them is needed any more."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    _delete(spark, paths)
     return len(paths)
 
 
+def release(*frames: DataFrame) -> None:
+    """Deletes tables that `stored` made, once all that was made of them is stored itself."""
+    for df in frames:
+        _delete(df.sparkSession, [df.stored_at])
+        _made[df.sparkSession.sparkContext.applicationId].remove(df.stored_at)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows, written once to the shared folder: later uses read them, and no executor's loss undoes them.
 
@@ -64,19 +86,30 @@ def stored(df: DataFrame, name: str) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(setting, before)
-    return spark.read.parquet(path)
+    out = spark.read.parquet(path)
+    out.stored_at = path
+    return out
 
 
 def input_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the bytes that a plan reads; for files, their size. 0 where it has none."""
+    """Catalyst's estimate of the bytes that a plan reads; for files, their size. Where it has none, the bytes of the
+    string columns, which are counted."""
     n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return n if n < 1 << 56 else 0
+    if n < 1 << 56:
+        return n
+    sizes = [F.sum(F.octet_length(c)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    return sum(x or 0 for x in df.agg(*sizes).first()) if sizes else 0
 
 
 def shards(df: DataFrame, per_shard: int = 24 << 20) -> int:
     """How many shards keep each near a constant size, however large the input is."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, min(1 << 20, -(-input_bytes(df) // per_shard)))
+    return max(least, -(-input_bytes(df) // per_shard))
+
+
+def by_shard(df: DataFrame, n: int) -> DataFrame:
+    """The rows dealt out by their column `shard`, 0 to n - 1: one partition each, so that no task gets two by chance."""
+    return df.repartitionById(n, F.col("shard"))
 
 
 class Chunk(NamedTuple):

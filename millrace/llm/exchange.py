@@ -7,6 +7,7 @@ repeat at once, is asked once for all the chunk's documents, and so costs the sa
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,10 +15,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Chunk, chunks, shards, stored
+from .common import Chunk, by_shard, chunks, shards, stored, text_digest
 from .windows import mix
 
 ASK = "shard int, hashes binary, owners binary, known_hashes binary, known_owners binary"
+#: Times a gram is asked for (once by a chunk of documents, twice if it repeats there) from which on it is hot.
+HOT = 128
+#: Head of a packed row: entries, bytes before compression.
+HEAD = struct.Struct("<IQ")
+
+
+def squeeze(*columns: np.ndarray, tail: bytes = b"") -> bytes:
+    """Columns of one length and further bytes, compressed. Eight-byte integers go as differences, which are small where
+    they mostly ascend; the bytes of a column are laid out by their weight."""
+    n, parts = len(columns[0]), []
+    for c in columns:
+        c = np.diff(c, prepend=c.dtype.type(0)) if c.dtype.kind == "i" and c.itemsize == 8 else np.ascontiguousarray(c)
+        parts.append(np.ascontiguousarray(c.view(np.uint8).reshape(n, -1).T).tobytes())
+    raw = b"".join([*parts, tail])
+    return HEAD.pack(n, len(raw)) + pa.compress(raw, "zstd", asbytes=True)
+
+
+def expand(packed: pa.Buffer, *kinds: str) -> tuple[list[np.ndarray], bytes]:
+    """What `squeeze` was given, the columns being of these types."""
+    n, size = HEAD.unpack_from(packed)
+    raw = pa.decompress(packed.slice(HEAD.size), size, "zstd", asbytes=True)
+    out, at = [], 0
+    for kind in map(np.dtype, kinds):
+        c = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(-1, n).T).view(kind)[:, 0]
+        out.append(np.cumsum(c) if kind.kind == "i" and kind.itemsize == 8 else c)
+        at += n * kind.itemsize
+    return out, raw[at:]
 
 
 def shard_of(hashes: np.ndarray, n: int) -> np.ndarray:
@@ -26,15 +54,16 @@ def shard_of(hashes: np.ndarray, n: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
 
 
-def _dealt(h: np.ndarray, which: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def dealt(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """(places by shard, where each shard starts)."""
-    shard = shard_of(h[which], n)
+    shard = shard_of(h, n)
     order = np.argsort(shard, kind="stable")
-    return which[order], np.searchsorted(shard[order], np.arange(n + 1))
+    return order, np.searchsorted(shard[order], np.arange(n + 1))
 
 
-def repeated(docs: DataFrame, grams: Callable[[Chunk], tuple[np.ndarray, np.ndarray]], within: bool) -> DataFrame:
-    """(doc_id, h): the grams of each document that repeat. `grams` gives (document's place, hash) of a chunk.
+def repeated(docs: DataFrame, grams: Callable[[Chunk], tuple[np.ndarray, np.ndarray]], within: bool, hot: int = HOT) -> DataFrame:
+    """(doc_id, h, hot): the grams of each document that repeat, and whether more than `hot` asked for it. `grams` gives
+    (document's place, hash) of a chunk.
 
     A gram repeats if two documents have it, or if `within` and one has it twice."""
     n = shards(docs)
@@ -57,9 +86,12 @@ def repeated(docs: DataFrame, grams: Callable[[Chunk], tuple[np.ndarray, np.ndar
             first = ~same | other
             local = known[group]
             send = np.flatnonzero(~same)  # one document stands for all, marked if the repeat is known already
-            send, cuts = _dealt(h, send, n)
+            place, cuts = dealt(h[send], n)
+            send = send[place]
             owner = ids[doc[send]]
-            tell, at_known = _dealt(h, np.flatnonzero(first & local), n)
+            tell = np.flatnonzero(first & local)
+            place, at_known = dealt(h[tell], n)
+            tell = tell[place]
             flag = local[send]
             hs, os, kh, ko = h[send], owner, h[tell], ids[doc[tell]]
             rows = []
@@ -70,39 +102,45 @@ def repeated(docs: DataFrame, grams: Callable[[Chunk], tuple[np.ndarray, np.ndar
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], ["shard", "hashes", "owners", "known_hashes", "known_owners"])
 
-    def answer(table: pa.Table) -> pa.Table:
-        h, o, kh, ko = (np.concatenate([np.frombuffer(x.as_buffer(), np.uint64 if "hash" in c else np.int64) for x in table.column(c)]) for c in ("hashes", "owners", "known_hashes", "known_owners"))
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        h, o, kh, ko = (np.concatenate([np.frombuffer(x.as_buffer(), np.uint64 if "hash" in c else np.int64) for b in held for x in b.column(c)]) for c in ("hashes", "owners", "known_hashes", "known_owners"))
         order = np.argsort(h, kind="stable")
         s = h[order]
-        twice = np.zeros(len(s), bool)
-        eq = s[1:] == s[:-1]
-        twice[1:] |= eq
-        twice[:-1] |= eq
-        hit = order[twice]
+        cuts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1], [True]])) if len(s) else np.zeros(1, np.int64)
+        asks = np.diff(cuts)
+        hit = order[np.repeat(asks > 1, asks)]
+        many = np.append(s[cuts[:-1][asks > hot]], ~np.uint64(0))
         h, o = np.concatenate([h[hit], kh]), np.concatenate([o[hit], ko])
         once = np.lexsort((o, h))
-        if len(once):
-            a, b = h[once], o[once]
-            once = once[np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])]
-        return pa.table({"doc_id": o[once], "h": h[once].view(np.int64)})
+        h, o = h[once], o[once]
+        new = np.ones(len(h), bool)
+        new[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
+        h, o = h[new], o[new]
+        for i in range(0, len(h), 1 << 16):
+            part = h[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(o[i : i + (1 << 16)]), pa.array(part.view(np.int64)), pa.array(many[np.searchsorted(many, part)] == part)], ["doc_id", "h", "hot"])
 
-    asked = docs.mapInArrow(ask, ASK)
-    return asked.groupBy("shard").applyInArrow(answer, "doc_id long, h long")
+    return by_shard(docs.mapInArrow(ask, ASK), n).mapInArrow(answer, "doc_id long, h long, hot boolean")
 
 
 def copies(docs: DataFrame) -> DataFrame:
     """(doc_id, digest): the documents whose whole text is that of a document with a smaller id."""
-    seen = docs.select("doc_id", F.unhex(F.md5("text")).alias("digest"))
+    seen = docs.select("doc_id", text_digest(F.col("text")).alias("digest"))
     groups = stored(seen.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("digest", "least"), "copied-texts")
     return seen.join(groups, "digest").where("doc_id > least").select("doc_id", "digest")
 
 
-def noted(docs: DataFrame, grams: Callable[[Chunk], tuple[np.ndarray, np.ndarray]], within: bool) -> DataFrame:
-    """doc_id, text, hs (repeated grams or null) and copied (whether the whole text is a copy of an earlier one).
+def noted(docs: DataFrame, grams: Callable[[Chunk], tuple[np.ndarray, np.ndarray]], within: bool, hot: int = HOT) -> DataFrame:
+    """doc_id, text, hs (repeated grams or null), hot (the hot ones of them) and copied (whether the whole text is a copy
+    of an earlier one).
 
     Null ids must have been replaced. The texts are dealt out once, by id."""
-    a = repeated(docs, grams, within).select("doc_id", "h", F.lit(None).cast("binary").alias("digest"))
-    b = copies(docs).select("doc_id", F.lit(None).cast("long").alias("h"), "digest")
-    notes = stored(a.unionByName(b).groupBy("doc_id").agg(F.collect_list("h").alias("hs"), F.collect_set("digest").alias("digests")), "notes").withColumnRenamed("doc_id", "_id")
+    nothing = F.lit(None).cast("binary").alias("digest")
+    a = repeated(docs, grams, within, hot).select("doc_id", "h", F.when(F.col("hot"), F.col("h")).alias("hot"), nothing)
+    b = copies(docs).select("doc_id", F.lit(None).cast("long").alias("h"), F.lit(None).cast("long").alias("hot"), "digest")
+    notes = stored(a.unionByName(b).groupBy("doc_id").agg(F.collect_list("h").alias("hs"), F.collect_list("hot").alias("hot"), F.collect_set("digest").alias("digests")), "notes").withColumnRenamed("doc_id", "_id")
     joined = docs.join(notes.hint("shuffle_hash"), F.col("doc_id") == F.col("_id"), "left")
-    return joined.select("doc_id", "text", "hs", F.coalesce(F.array_contains("digests", F.unhex(F.md5("text"))), F.lit(False)).alias("copied"))
+    return joined.select("doc_id", "text", "hs", "hot", F.coalesce(F.array_contains("digests", text_digest(F.col("text"))), F.lit(False)).alias("copied"))

@@ -83,9 +83,9 @@ def minimizers(order: np.ndarray, w: int, block: int = 1 << 22) -> np.ndarray:
     return out
 
 
-def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, document) of each word: maximal runs without ASCII white space, cut at documents' ends."""
-    inside = ~SPACE[data]
+def words(data: np.ndarray, starts: np.ndarray, space: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, document) of each word: maximal runs without `space`, ASCII white space, cut at documents' ends."""
+    inside = ~space[data]
     before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
     before[1:], after[:-1] = inside[:-1], inside[1:]
     edge = starts[1:-1]
