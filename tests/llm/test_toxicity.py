@@ -75,3 +75,81 @@ def test_without_examples(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r["score"] for r in T.score(docs, T.fit(docs, none)).collect()] == [0, 0]
     assert T.score(docs.limit(0), T.fit(docs, none)).count() == 0
+
+
+def test_blocks_that_are_skipped_change_nothing():
+    rng = random.Random(14)
+    rows = _index(rng, 900, 40)
+    terms, weigh = np.arange(40, dtype=np.uint64), np.array([rng.random() ** 4 for _ in range(40)])
+    index = T.build(rows, terms, weigh)
+    assert index.dense.shape[1] > 10 and len(index.rare_value) == 0
+    few = T.build([(i, y, [t for t in p if t < 20 or i < 90], [c for t, c in zip(p, x) if t < 20 or i < 90]) for i, y, p, x in rows], terms, weigh)
+    assert few.dense.shape[1] and len(few.rare_value)
+    for ix in (index, few):
+        full = np.zeros((len(ix.toxic), 40))
+        full[ix.example, ix.term] = ix.value
+        for _ in range(40):
+            p = np.array(sorted(rng.sample(range(40), rng.randint(1, 9))))
+            c = np.array([rng.randint(1, 4) for _ in p])
+            w = (1 + np.log(c)) * ix.weight[p]
+            cos = full[:, p] @ (w / np.sqrt((w * w).sum()))
+            want = np.lexsort((np.arange(len(cos)), -np.round(cos, 9)))[: T.K]
+            want = want[cos[want] > 0]
+            best, sims = ix.nearest(p, c)
+            assert best.tolist() == want.tolist()
+            np.testing.assert_allclose(sims, cos[want], atol=1e-9)
+
+
+def test_isotonic():
+    rng = np.random.default_rng(3)
+    x, w = rng.random(300), rng.integers(1, 4, 300).astype(float)
+    y = (rng.random(300) < x).astype(float)
+    at, value = T.isotonic(x, y, w)
+    assert (np.diff(at) > 0).all() and (np.diff(value) > 0).all()
+    # the value of a place is the greatest of the least means of the ranges around it
+    order = np.argsort(x, kind="stable")
+    best = [max(min(np.average(y[order][a:b], weights=w[order][a:b]) for b in range(i + 1, len(x) + 1)) for a in range(i + 1)) for i in range(0, len(x), 37)]
+    assert all(min(abs(b - v) for v in value) < 1e-9 for b in best)
+
+
+def _noisy(n, seed):
+    """Texts of a topic each; a toxic one has one to three of 40 rude words, a clean one rarely has one; labels are noisy."""
+    rng = random.Random(seed)
+    rude = [f"rude{k}" for k in range(40)]
+    rows, labels, truth = [], [], {}
+    for i in range(n):
+        topic = rng.randint(0, 20)
+        words = [f"t{topic}w{rng.randint(0, 60)}" if rng.random() < 0.7 else f"c{rng.randint(0, 400)}" for _ in range(rng.randint(20, 200))]
+        toxic = rng.random() < 0.15
+        for _ in range(rng.randint(1, 3) if toxic else rng.random() < 0.01):
+            words.insert(rng.randint(0, len(words)), rng.choice(rude))
+        rows.append((i, " ".join(words)))
+        truth[i] = int(toxic)
+        labels.append((i, int(toxic) if rng.random() > 0.01 else int(not toxic)))
+    return rows, labels, truth
+
+
+def test_held_out_ranking_recall_and_calibration(spark):
+    rows, labels, truth = _noisy(3000, 5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in T.score(docs, T.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))).collect()}
+    held = [i for i in truth if zlib.crc32(str(i).encode()) % 5 == 0]
+    ones, zeros = ([got[i]["score"] for i in held if truth[i] == y] for y in (1, 0))
+    auc = sum((a > b) + 0.5 * (a == b) for a in ones for b in zeros) / len(ones) / len(zeros)
+    assert auc >= 0.97
+    assert sum(a >= 0.5 for a in ones) >= 0.9 * len(ones) and sum(b >= 0.5 for b in zeros) <= 0.02 * len(zeros)
+    for low, high in ((0, 0.1), (0.1, 0.9), (0.9, 1.01)):
+        some = [(got[i]["score"], truth[i]) for i in held if low <= got[i]["score"] < high]
+        if len(some) > 20:
+            assert abs(sum(s for s, _ in some) - sum(y for _, y in some)) / len(some) < 0.08
+    assert all(r["evidence"] for r in got.values())
+    # no example votes for its own text
+    assert all(i not in got[i]["evidence"] for i in got)
+
+
+def test_a_sample_of_examples_keeps_the_scale(spark):
+    """With fewer clean examples than labelled rows, scores still follow the share of toxic rows among all."""
+    rows, labels, truth = _noisy(2500, 6)
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = [r["score"] for r in T.score(docs, T.fit(docs, known, examples=250)).collect()]
+    assert abs(sum(got) / len(got) - sum(truth.values()) / len(truth)) < 0.04
