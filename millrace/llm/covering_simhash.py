@@ -6,13 +6,14 @@ all their vectors are even, so two fingerprints that differ there only agree on
 within the radius meets in some table, and no other recall argument is needed.
 
 A bucket's members are compared inside the bucket, and only a spanning forest of its links leaves it. A bucket larger
-than LARGE is dealt out again, by the same masks over the places that its table left free; after three levels only four
-places are free, so such a bucket has a few members whatever the input. Components follow from the links by
+than LARGE is dealt out again, by the same masks over the places that its table left free; after three levels only eight
+places are free, so such a bucket has at most 256 members whatever the input. Components follow from the links by
 rounds of joins.
 
 Defined cases: a null text is empty and has fingerprint 0, as any text without words; null ids are kept and count as
-the smallest; repeated rows have equal fingerprints and so one component; an empty table gives no rows; other columns
-are ignored.
+the smallest; repeated rows have equal fingerprints and so one component; very long texts are hashed whole, 65,536
+shingles at a time; a bit that exactly half of the shingles set is 0; an empty table gives no rows; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import prefix_join
-from .common import chunks, stored, texts
+from .common import chunks, release, stored, text_digest, texts
 from .windows import mix
 
 RADIUS, LARGE = 3, 512
@@ -35,6 +36,12 @@ RADIUS, LARGE = 3, 512
 def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", distinct: bool = False, count: int = 1) -> DataFrame:
     """doc_id, fp (64 bits as a signed long) of all shingles, or of the distinct ones; further fingerprints fp1, fp2, ...
     are of other hashes and independent of it."""
+    return _signed_texts(texts(docs, id_col, text_col), shingle, distinct, count)
+
+
+def _signed_texts(source: DataFrame, shingle: int, distinct: bool, count: int) -> DataFrame:
+    """The fingerprints in the place of the column text; other columns stay."""
+    carried = [c for c in source.columns if c != "text"]
     names = ["fp", *(f"fp{k}" for k in range(1, count))]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,9 +71,10 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
                         h = mix(hashes, 61 + k) if k else hashes
                         ones[k] += np.unpackbits(h.view(np.uint8).reshape(m, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
                 out[:, i] = np.packbits(2 * ones > n, axis=1, bitorder="little").view(np.uint64)[:, 0]
-            yield pa.RecordBatch.from_arrays([c.column("doc_id"), *(pa.array(x.view(np.int64)) for x in out)], ["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([*map(c.column, carried), *(pa.array(x.view(np.int64)) for x in out)], [*carried, *names])
 
-    return texts(docs, id_col, text_col).mapInArrow(sign, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    schema = source.select(*carried, *[F.lit(0).cast("long").alias(n) for n in names]).schema
+    return source.mapInArrow(sign, schema)
 
 
 def masks(places: int, radius: int = RADIUS) -> list[int]:
@@ -186,47 +194,62 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, id_
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _verified(source: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(a, b): the pairs x, y of ids whose texts share `similarity` of their distinct shingles."""
+def _verified(source: DataFrame, unique: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b), stored: the pairs x, y of nodes whose texts share `similarity` of their distinct shingles."""
     from .decontaminate import _shingle_hashes, _words
 
-    nodes = stored(pairs.select(F.col("x").alias("_n")).union(pairs.select("y")).distinct(), "nodes")
-    sets = source.join(nodes.hint("shuffle_hash"), F.col("doc_id") == F.col("_n")).select("doc_id", _words(F.lower("text")).alias("w")).select("doc_id", F.array_distinct(_shingle_hashes("w", words)).alias("s"))
-    sets = stored(sets, "shingle-sets")
-    side = lambda n: sets.select(F.col("doc_id").alias(n), F.col("s").alias(f"s{n}"))
+    ends = pairs.select(F.col("x").alias("_n")).union(pairs.select("y")).distinct()
+    nodes = stored(unique.join(ends, F.col("node") == F.col("_n")).select("node", F.col("doc_id").alias("_i"), F.col("digest").alias("_g")), "nodes")
+    sets = source.join(nodes.hint("shuffle_hash"), (F.col("doc_id") == F.col("_i")) & (F.col("digest") == F.col("_g"))).select("node", _words(F.lower("text")).alias("w")).select("node", F.array_distinct(_shingle_hashes("w", words)).alias("s"))
+    sets = stored(sets.groupBy("node").agg(F.first("s").alias("s")), "shingle-sets")  # a repeated row is one text
+    side = lambda n: sets.select(F.col("node").alias(n), F.col("s").alias(f"s{n}"))
     both = pairs.join(side("x"), "x").join(side("y"), "y").withColumn("n", F.size(F.array_intersect("sx", "sy")))
-    return both.where(F.col("n") >= similarity * (F.size("sx") + F.size("sy") - F.col("n")) - 1e-9).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    out = stored(both.where(F.col("n") >= similarity * (F.size("sx") + F.size("sy") - F.col("n")) - 1e-9).select(F.col("x").alias("a"), F.col("y").alias("b")), "near-pairs")
+    release(nodes, sets)
+    return out
 
 
-def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 4, count: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without all but the least id of each group of near copies; all columns stay.
-
-    Near copies share `similarity` of their distinct shingles of `words` words (Jaccard), and copies of them are near too.
-    Candidates come first from `count` fingerprints of the distinct words, of which an edit changes one and not `words`:
-    links between fingerprints within `radius` bits, and each text's to the first of its own fingerprint. These join most
-    copies by few comparisons. Then every pair that they leave apart and that can reach the threshold is compared, by the
-    exact prefixes of `prefix_join`. A link of either kind counts if the exact similarity of the two texts reaches the threshold."""
-    source = texts(docs, id_col, text_col).where("doc_id is not null")
-    signed = fingerprints(source, 1, distinct=True, count=count)
-    names = [c for c in signed.columns if c != "doc_id"]
-    digests = source.select(F.col("doc_id").alias("_i"), F.unhex(F.md5("text")).alias("digest"))
-    signed = stored(signed.join(digests, F.col("doc_id") == F.col("_i")).select("doc_id", "digest", *names).distinct(), "signed")
-    unique = stored(signed.groupBy("digest", *names).agg(F.min("doc_id").alias("doc_id")), "unique-texts")
+def near_pairs(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 4, count: int = 3, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, texts, links). rows: doc_id and digest of each row with an id; texts: digest, least doc_id and node of each
+    different text; links: pairs (a, b) of nodes with that similarity of their distinct shingles (Jaccard), lower-cased.
+
+    The links join what all pairs at the threshold would join, though not each such pair is among them. Candidates come
+    first from `count` fingerprints of the distinct words, of which an edit changes one and not `words`: links between
+    fingerprints within `radius` bits, and each text's to the first of its own fingerprint. These join most copies by few
+    comparisons. Then every pair that they leave apart and that can reach the threshold is compared, by the exact prefixes
+    of `prefix_join`. So whatever the fingerprints miss or their reduction drops is found."""
+    source = texts(docs, id_col, text_col).where("doc_id is not null").withColumn("digest", text_digest(F.col("text")))
+    names = ["fp", *(f"fp{k}" for k in range(1, count))]
+    signed = stored(_signed_texts(source, 1, True, count).distinct(), "signed")
+    unique = stored(signed.groupBy("digest", *names).agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.monotonically_increasing_id()), "unique-texts")
     edges = None
     for fp in names:
-        heads = stored(unique.groupBy(F.col(fp).alias("fp")).agg(F.min("doc_id").alias("head")), "heads")
+        heads = stored(unique.groupBy(F.col(fp).alias("fp")).agg(F.min("node").alias("head")), "heads")
         pairs = stored(links(heads.select("fp"), radius), "pairs")
         across = pairs.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b").select("x", "y")
-        inside = unique.select(F.col(fp).alias("fp"), "doc_id").join(heads, "fp").where("doc_id <> head").select(F.col("head").alias("x"), F.col("doc_id").alias("y"))
+        inside = unique.select(F.col(fp).alias("fp"), "node").join(heads, "fp").where("node <> head").select(F.col("head").alias("x"), F.col("node").alias("y"))
         found = across.unionByName(inside)
         edges = found if edges is None else edges.unionByName(found)
     edges = stored(edges.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct(), "candidate-pairs")
-    real = stored(_verified(source, edges, words, similarity), "near-pairs")
-    # What the fingerprints have joined needs no further comparison; all other pairs that can reach the threshold do.
-    sketched = prefix_join.sketch(source.withColumn("text", F.lower("text")), unique, words, similarity)
-    more = stored(prefix_join.candidates(sketched, stored(components(real), "near-labels"), similarity), "prefix-pairs")
-    labels = stored(components(real.unionByName(_verified(source, more, words, similarity))), "labels")
-    group = unique.join(labels, F.col("doc_id") == F.col("node"), "left").select("digest", F.coalesce("label", "doc_id").alias("kept"))
-    group = stored(group.groupBy("digest").agg(F.min("kept").alias("kept")), "groups")
-    lost = stored(signed.join(group, "digest").where("doc_id <> kept").select(F.col("doc_id").alias("_lost")).distinct(), "near-copies")
-    return docs.join(lost.hint("shuffle_hash"), F.col(id_col) == F.col("_lost"), "left_anti")
+    real = _verified(source, unique, edges, words, similarity)
+    labels = stored(components(real), "near-labels")
+    nodes = unique.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("doc_id", "digest", "node", F.coalesce("label", "node").alias("label"))
+    lower = source.withColumn("text", F.lower("text"))
+    more = stored(prefix_join.candidates(lower, stored(nodes, "labelled"), words, similarity), "prefix-pairs")
+    return signed.select("doc_id", "digest"), unique.select("digest", "doc_id", "node"), real.unionByName(_verified(source, unique, more, words, similarity))
+
+
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 4, count: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` without all but the least id of each group of near copies (`near_pairs`, and copies of copies); all columns stay.
+
+    Each row is judged by its own text: of rows with one id and different texts one may stay and the other go, the
+    smaller digest being the first. Equal rows are one document and stay or go together. Rows with a null id are outside:
+    they stay, and nothing goes for their sake. Texts without words are copies of each other."""
+    signed, unique, edges = near_pairs(docs, words, similarity, radius, count, id_col, text_col)
+    labels = stored(components(edges), "labels")
+    group = stored(unique.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("doc_id", "digest", F.coalesce("label", "node").alias("label")), "grouped")
+    first = group.groupBy("label").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
+    kept = stored(group.join(first, "label").select("digest", F.col("first.doc_id").alias("first_id"), F.col("first.digest").alias("first_digest")), "groups")
+    lost = stored(signed.join(kept, "digest").where("doc_id <> first_id or digest <> first_digest").select(F.col("doc_id").alias("lost_id"), F.col("digest").alias("lost_digest")).distinct(), "near-copies")
+    same = (docs[id_col].cast("long") == lost["lost_id"]) & (text_digest(docs[text_col]) == lost["lost_digest"])
+    return docs.join(lost.hint("shuffle_hash"), same, "left_anti")

@@ -9,8 +9,9 @@ has no false negatives. Documents probe all their shingles' hashes against the s
 verified by exact containment of the shingles themselves.
 
 Words are cut at white space, unchanged. Defined cases: a null text is empty; a text of fewer words than a shingle is
-one shingle of all its words, and one without words has none and is in no pair; null ids are kept in no pair; repeated
-rows of one id count as one; an empty table gives no rows; other columns are ignored.
+one shingle of all its words, and one without words has none and is in no pair; null ids are kept in no pair; rows of one
+id count as one, which holds what any of them holds; very long texts are searched whole; a containment of exactly the
+threshold counts; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import stored, text_digest
 
 WORDS, THRESHOLD = 5, 0.8
 #: Sketch rows up to which they are sent to every executor (16 bytes each); more are joined by a shuffle.
@@ -92,9 +93,23 @@ def search(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, word
 def keep_uncontaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` without the documents that hold an item; all columns stay.
 
-    An item is held if `search` finds it in the words as they are, or in lower case without punctuation at their edges."""
-    found = search(docs, items, threshold, words, id_col, text_col)
+    An item is held if `search` finds it in the words as they are, or in lower case without punctuation at their edges.
+    Each row is judged by its own text, also where rows with different texts have one id. Rows with a null id are outside
+    the search and stay."""
     plain = lambda df, i, t: df.select(F.col(i), _plain(F.col(t).cast("string")).alias(t))
-    found = found.select("doc_id").union(search(plain(docs, id_col, text_col), plain(items, "item_id", "text"), threshold, words, id_col, text_col).select("doc_id"))
-    lost = stored(found.select(F.col("doc_id").alias("_lost")).distinct(), "leaks")
-    return docs.join(lost.hint("shuffle_hash"), F.col(id_col) == F.col("_lost"), "left_anti")
+
+    def holders(rows: DataFrame, key: str, text: str) -> DataFrame:
+        raw = search(rows, items, threshold, words, key, text)
+        return raw.select("doc_id").union(search(plain(rows, key, text), plain(items, "item_id", "text"), threshold, words, key, text).select("doc_id")).distinct()
+
+    found = stored(holders(docs, id_col, text_col).withColumnRenamed("doc_id", "found"), "leaking-ids")
+    signed = docs.select(docs[id_col].cast("long").alias("lost_id"), text_digest(docs[text_col]).alias("lost_digest"))
+    lost = stored(signed.join(found, F.col("lost_id") == F.col("found"), "left_semi").distinct(), "leaks")
+    several = stored(lost.groupBy("lost_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("lost_id").alias("several")), "several-texts")
+    if not several.isEmpty():
+        again = docs.select(docs[id_col].cast("long").alias("i"), text_digest(docs[text_col]).alias("g"), docs[text_col].cast("string").alias("t")).join(several, F.col("i") == F.col("several"), "left_semi").dropDuplicates(["i", "g"])
+        again = stored(again.withColumn("k", F.monotonically_increasing_id()), "texts-of-one-id")
+        kept = again.join(holders(again, "k", "t"), F.col("k") == F.col("doc_id"), "left_anti").select("i", "g")
+        lost = stored(lost.join(kept, (F.col("lost_id") == F.col("i")) & (F.col("lost_digest") == F.col("g")), "left_anti"), "leaks")
+    same = (docs[id_col].cast("long") == lost["lost_id"]) & (text_digest(docs[text_col]) == lost["lost_digest"])
+    return docs.join(lost.hint("shuffle_hash"), same, "left_anti")

@@ -20,60 +20,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import windows as W
-from .common import chunks, stored
+from .common import Chunk, by_shard, chunks, shards
+from .exchange import dealt, expand, squeeze
 
 #: Texts under a shingle from which it goes to the end of the order, slots of the order's table, times it is refined.
 HOT, RANKS, ROUNDS = 32, 1 << 22, 2
 
 
-def _shingles(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
-    """Ids and sorted distinct hashes of the texts' shingles; fewer words than `words` are one, no words are one too."""
-    for c in chunks(batches, limit=1 << 18):  # small: the tables of powers stay in each worker
+def _shingles(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[Chunk, list[np.ndarray]]]:
+    """Chunks with the sorted distinct hashes of their texts' shingles; fewer words than `words` are one, no words are one too."""
+    for c in chunks(batches, limit=1 << 19):
         a, b, doc = W.words(c.data, c.starts)
         sums = W.prefix(W.word_hashes(c.data, a, b))
         grams = W.mix(W.grams(sums, words), 31)
         first = np.searchsorted(doc, np.arange(c.n + 1))
         few = W.mix(W.spans(sums, first[:-1], first[1:]), 32)
-        sets = [np.unique(grams[s : e - words + 1]) if e - s >= words else few[i : i + 1] for i, (s, e) in enumerate(zip(first[:-1].tolist(), first[1:].tolist()))]
-        yield c.column("doc_id"), sets
+        yield c, [np.unique(grams[s : e - words + 1]) if e - s >= words else few[i : i + 1] for i, (s, e) in enumerate(zip(first[:-1].tolist(), first[1:].tolist()))]
 
 
-def prefixes(source: DataFrame, words: int, similarity: float, ranks: np.ndarray) -> DataFrame:
-    """doc_id, n (distinct shingles), hs (the first of them that the threshold asks for, in order)."""
+def _prefix(s: np.ndarray, ranks: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set that the threshold asks for, in order."""
+    p = len(s) - math.ceil(len(s) * similarity - 1e-9) + 1
+    rank = ranks[s & np.uint64(RANKS - 1)]
+    return s[np.argsort(rank, kind="stable")[:p]] if rank.any() else s[:p]
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ids, sets in _shingles(batches, words):
-            kept = []
-            for s in sets:
-                p = len(s) - math.ceil(len(s) * similarity - 1e-9) + 1
-                rank = ranks[s & np.uint64(RANKS - 1)]
-                kept.append(s[np.argsort(rank, kind="stable")[:p]] if rank.any() else s[:p])
-            ends = np.cumsum([0, *map(len, kept)])
-            flat = np.concatenate(kept).view(np.int64)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(list(map(len, sets)), pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["doc_id", "n", "hs"])
 
-    return source.mapInArrow(emit, "doc_id long, n int, hs array<long>")
+def _frequent(source: DataFrame, words: int, similarity: float, ranks: np.ndarray, hot: int, n: int) -> DataFrame:
+    """(slot, c): by slot of the order's table the most texts, over `hot`, that have one of its shingles in their prefix."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c, sets in _shingles(batches, words):
+            h, seen = np.unique(np.concatenate([_prefix(s, ranks, similarity) for s in sets]), return_counts=True)
+            place, cuts = dealt(h, n)
+            rows = [(s, squeeze(h[p], seen[p].astype("<u4"))) for s in np.flatnonzero(np.diff(cuts)).tolist() for p in (place[cuts[s] : cuts[s + 1]],)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "packed"])
 
-def sketch(source: DataFrame, ids: DataFrame, words: int, similarity: float, hot: int = HOT, rounds: int = ROUNDS) -> DataFrame:
-    """(h, doc_id, n, at): the texts under each shingle that two or more have in their prefix, `at` its place in the order."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [expand(x.as_buffer(), "<u8", "<u4")[0] for b in batches for x in b.column("packed")]
+        if rows:
+            h, which = np.unique(np.concatenate([r[0] for r in rows]), return_inverse=True)
+            total = np.bincount(which, weights=np.concatenate([r[1] for r in rows])).astype(np.int64)
+            some = np.flatnonzero(total > hot)
+            yield pa.RecordBatch.from_arrays([pa.array((h[some] & np.uint64(RANKS - 1)).astype(np.int64)), pa.array(total[some])], ["slot", "c"])
+
+    return by_shard(source.mapInArrow(count, "shard int, packed binary"), n).mapInArrow(add, "slot long, c long").groupBy("slot").agg(F.max("c").alias("c"))
+
+
+def order(source: DataFrame, words: int, similarity: float, n: int, hot: int = HOT, rounds: int = ROUNDS) -> np.ndarray:
+    """The order's table: for each slot the logarithm of its most frequent shingle's texts, 0 for none over `hot`."""
     ranks = np.zeros(RANKS, np.uint8)
-    for k in range(rounds + 1):
-        made = prefixes(source, words, similarity, ranks).join(ids.select(F.col("doc_id").alias("_u")).hint("shuffle_hash"), F.col("doc_id") == F.col("_u"), "left_semi")
-        made = stored(made, f"prefixes-{k}")
-        counts = stored(made.select(F.explode("hs").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), f"shingle-counts-{k}")
-        if k == rounds:
-            break
-        slots = counts.where(F.col("c") > hot).groupBy(F.col("h").bitwiseAND(F.lit(RANKS - 1)).alias("slot")).agg(F.max("c").alias("c"))
-        seen = slots.toArrow()  # at most RANKS rows
+    for _ in range(rounds):
+        seen = _frequent(source, words, similarity, ranks, hot, n).toArrow()  # at most RANKS rows
         at, rank = seen["slot"].to_numpy(), np.ceil(np.log2(seen["c"].to_numpy().astype(np.float64))).astype(np.uint8)
         if not (rank > ranks[at]).any():
             break
         ranks = ranks.copy()  # the plans made so far hold the former
         ranks[at] = np.maximum(ranks[at], rank)
-    # Posexplode gives the place in the order.
-    each = made.select("doc_id", "n", F.posexplode("hs").alias("at", "h"))
-    return stored(each.join(counts.select(F.col("h").alias("_h")).hint("merge"), F.col("h") == F.col("_h")).select("h", "doc_id", "n", "at"), "sketch")
+    return ranks
 
 
 def _pairs(ids, n, at, label, similarity: float, block: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -96,22 +99,71 @@ def _pairs(ids, n, at, label, similarity: float, block: int = 1 << 17) -> Iterat
         yield ids[x[i]], ids[y[j]]
 
 
-def candidates(sketched: DataFrame, labels: DataFrame, similarity: float) -> DataFrame:
-    """(x, y), x < y: pairs that can reach the threshold and whose labels (node, label; else the id) differ."""
-    known = sketched.join(labels.select(F.col("node").alias("_n"), "label"), F.col("doc_id") == F.col("_n"), "left").select("h", "doc_id", "n", "at", F.coalesce("label", "doc_id").alias("label"))
-    member = F.struct("doc_id", "n", "at", "label")
-    buckets = known.groupBy("h").agg(F.collect_list(member).alias("m"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("m")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            m = batch.column("m")
-            ends = np.cumsum([0, *map(len, m)])
-            flat = m.flatten()
-            ids, n, at, label = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(4))
-            for s, e in zip(ends[:-1].tolist(), ends[1:].tolist()):
-                found = list(_pairs(ids[s:e], n[s:e], at[s:e], label[s:e], similarity))
-                for x, y in found:
-                    if len(x):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["x", "y"])
-
-    return buckets.mapInArrow(compare, "x long, y long").distinct()
+def _compare(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of a shard's postings, each once."""
+    rows = [expand(x.as_buffer(), "<u4", "<i8", "<i8", "<i4", "<i4")[0] for b in batches for x in b.column("packed")]
+    if not rows:
+        return
+    h, node, label, n, at = (np.concatenate(x) for x in zip(*rows))
+    o = np.argsort(h, kind="stable")
+    h, node, label, n, at = h[o], node[o], label[o], n[o].astype(np.int64), at[o].astype(np.int64)
+    cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
+    sizes = np.diff(cuts)
+    x, y, held = [], [], 0
+    two = cuts[:-1][sizes == 2]  # most
+    small, large = np.minimum(n[two], n[two + 1]), np.maximum(n[two], n[two + 1])
+    need = np.ceil((small + large) * (similarity / (1 + similarity)) - 1e-9)
+    two = two[(label[two] != label[two + 1]) & (large <= small / similarity + 1e-9) & (np.minimum(n[two] - at[two], n[two + 1] - at[two + 1]) >= need)]
+    x.append(node[two]), y.append(node[two + 1])
+    more = np.flatnonzero(sizes > 2)
+    more = more[np.maximum.reduceat(label, cuts[:-1])[more] != np.minimum.reduceat(label, cuts[:-1])[more]] if len(more) else more
+    for s, e in zip(cuts[more].tolist(), cuts[more + 1].tolist()):
+        for a, b in _pairs(node[s:e], n[s:e], at[s:e], label[s:e], similarity):
+            x.append(a), y.append(b)
+            held += len(a)
+        if held > 1 << 20:
+            x, y = _once(x, y)
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
+            x, y, held = [], [], 0
+    if x:
+        x, y = _once(x, y)
+        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
+
+
+def _once(x: list[np.ndarray], y: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    x, y = np.concatenate(x), np.concatenate(y)
+    x, y = np.minimum(x, y), np.maximum(x, y)
+    o = np.lexsort((y, x))
+    x, y = x[o], y[o]
+    first = np.ones(len(x), bool)
+    first[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    return x[first], y[first]
+
+
+def candidates(source: DataFrame, nodes: DataFrame, words: int, similarity: float, hot: int = HOT, rounds: int = ROUNDS) -> DataFrame:
+    """(x, y), x < y: pairs of nodes that can reach the threshold and whose labels differ.
+
+    `source` has doc_id, digest and text, `nodes` has doc_id, digest, node and label: the texts to compare."""
+    n = shards(source)
+    ranks = order(source, words, similarity, n, hot, rounds)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c, sets in _shingles(batches, words):
+            kept = [_prefix(s, ranks, similarity).tobytes() for s in sets]
+            yield pa.RecordBatch.from_arrays([c.column("doc_id"), c.column("digest"), pa.array(list(map(len, sets)), pa.int32()), pa.array(kept, pa.binary())], ["doc_id", "digest", "n", "hs"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for c in chunks(batches, "hs"):
+            h, sizes = c.data.view(np.uint64), np.diff(c.starts) // 8
+            at = np.arange(len(h)) - np.repeat(c.starts[:-1] // 8, sizes)
+            node, label, m = (np.repeat(c.column(k).to_numpy(), sizes) for k in ("node", "label", "n"))
+            place, cuts = dealt(h, n)
+            # Within a shard of bounded size 32 bits tell shingles apart but for a few, whose pairs are compared for nothing.
+            low = (h >> np.uint64(20)).astype("<u4")
+            rows = [(s, squeeze(low[p], node[p], label[p], m[p].astype("<i4"), at[p].astype("<i4"))) for s in np.flatnonzero(np.diff(cuts)).tolist() for p in (place[cuts[s] : cuts[s + 1]],)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "packed"])
+
+    made = source.mapInArrow(prefixes, "doc_id long, digest binary, n int, hs binary")
+    nodes = nodes.select(F.col("doc_id").alias("_i"), F.col("digest").alias("_g"), "node", "label")
+    known = made.join(nodes.hint("shuffle_hash"), (F.col("doc_id") == F.col("_i")) & (F.col("digest") == F.col("_g"))).select("node", "label", "n", "hs")
+    return by_shard(known.mapInArrow(deal, "shard int, packed binary"), n).mapInArrow(lambda it: _compare(it, similarity), "x long, y long").distinct()

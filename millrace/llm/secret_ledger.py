@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, stored, texts
+from .common import scratch, stored, text_digest, texts, unused
 
 #: kind, pattern, group whose length counts, least length. Kinds in the order in which ties are listed.
 RULES = (
@@ -102,9 +102,9 @@ def redact(docs: DataFrame, ledger_path: str | None = None, id_col: str = "doc_i
 
     Spans that overlap are replaced as one."""
     findings, _ = scan_versions(docs, ledger_path, id_col, text_col)
-    found = stored(findings.where(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("_spans")), "secret-spans")
-    keyed = docs.withColumn("_blob", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
-    joined = keyed.join(found.withColumnRenamed("blob", "_blob").hint("shuffle_hash"), "_blob", "left")
+    spans_col, = unused(docs, "spans")
+    found = stored(findings.where(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias(spans_col)), "secret-spans")
+    joined = docs.join(found.hint("shuffle_hash"), text_digest(docs[text_col]) == found["blob"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -120,7 +120,7 @@ def redact(docs: DataFrame, ledger_path: str | None = None, id_col: str = "doc_i
             yield batch.set_column(at, batch.schema.field(at), text).select(names)
 
     names = docs.columns
-    return joined.select(*names, "_spans").mapInArrow(cut, docs.schema)
+    return joined.select(*[docs[n] for n in names], found[spans_col]).mapInArrow(cut, docs.schema)
 
 
 def _without(text: str, spans: list[dict], mark: str) -> str:

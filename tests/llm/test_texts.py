@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -89,6 +90,31 @@ def test_bytes(spark, docs, rows):
     assert bwt_merge.dedup(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("operator", [repeated_phrases, bwt_merge])
+def test_hot_grams_and_many_shards(docs, operator):
+    want = sorted(map(tuple, operator.dedup(docs).collect()), key=str)
+    for per_shard, hot in ((1 << 24, 1), (512, 1 << 30), (2048, 2)):
+        assert sorted(map(tuple, operator.dedup(docs, per_shard=per_shard, hot=hot).collect()), key=str) == want
+
+
+@pytest.mark.parametrize("operator", [repeated_phrases, bwt_merge])
+def test_removed_rows_do_not_depend_on_the_shards(docs, operator, monkeypatch):
+    counts = []
+    plain = operator.judged
+
+    def counted(asked, n, judge, name):
+        rows: dict = {}
+        for r in asked.collect():
+            rows.setdefault(r["shard"], []).append(pa.py_buffer(bytes(r["packed"])))
+        counts.append((n, sum(len(judge(p)[0]) for p in rows.values())))
+        return plain(asked, n, judge, name)
+
+    monkeypatch.setattr(operator, "judged", counted)
+    for per_shard in (1 << 24, 1024):
+        operator.dedup(docs, per_shard=per_shard).count()
+    assert counts[1][0] >= 16 * counts[0][0] and counts[0][1] == counts[1][1] > 0
+
+
 def test_merged_transforms():
     rng = random.Random(3)
     for _ in range(40):
@@ -101,6 +127,51 @@ def test_merged_transforms():
                 assert least[base[i] + p] == min(o for t, o in zip(strings, owners) if s[p : p + n] in t)
 
 
+def test_words_of_equal_polynomial(spark):
+    """The Thue-Morse word and its complement, which a polynomial modulo 2**64 over an odd base cannot tell apart."""
+    rows = []
+    for n in (1024, 4096):
+        a = "".join("ab"[i.bit_count() & 1] for i in range(n))
+        rows += [(len(rows) + k, " ".join(["same"] * 19 + [w])) for k, w in enumerate((a, a.translate({97: "b", 98: "a"})))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r for r in repeated_phrases.dedup(docs).collect()}
+    assert all(got[i]["n_removed"] == 0 for i, _ in rows)
+    first: dict = {}
+    for i, t in rows:
+        d = t.encode()
+        gone = bytearray(len(d))
+        for s in range(len(d) - 49):
+            if first.setdefault(d[s : s + 50], i) != i:
+                gone[s : s + 50] = b"\1" * 50
+        rows[i] = (i, t, sum(gone), hashlib.sha256(bytes(x for x, g in zip(d, gone) if not g)).hexdigest())
+    got = {r["doc_id"]: r for r in bwt_merge.dedup(docs).collect()}
+    assert [(got[i]["n_removed"], got[i]["kept_sha256"]) for i, *_ in rows] == [r[2:] for r in rows]
+
+
+def test_windows_come_from_the_automaton(monkeypatch):
+    from millrace.llm.exchange import squeeze
+
+    words = [f"w{i}" for i in range(24)]
+    passages = [b" ".join(w.encode() for w in words), b" ".join(w.encode() for w in [*words[:-1], "other"])]
+    packed = lambda phrases: [pa.py_buffer(squeeze(np.array([i]), np.array([7 * i]), np.array([len(p)], "<i4"), tail=p + b"\n".join(phrases))) for i, p in enumerate(passages)]
+    judge = lambda phrases: [c.tolist() for c in repeated_phrases._judge(packed(phrases), 20, 5)]
+    assert judge([b"w6 w7 w8 w9 w10"]) == [[1], [7], [4]]
+    assert judge([b"w1 w2 w3 w4 w5"]) == [[1], [7], [2]]  # only windows around a located phrase
+    assert judge([b"w6 w7 w8 w9 w1"]) == [[], [], []]
+    monkeypatch.setattr(repeated_phrases, "locate", lambda phrases, words: (np.empty(0, np.int64), np.empty(0, np.int64)))
+    assert judge([b"w6 w7 w8 w9 w10"]) == [[], [], []]
+
+
+def test_numbers_of_sequences():
+    rng = random.Random(12)
+    for size in (1, 2, 3, 7, 20):
+        words = np.array([rng.randint(0, 2) for _ in range(rng.choice((0, size - 1, size, 200)))], np.int64)
+        got, seen = repeated_phrases.sequences(words, size), {}
+        for i in range(len(words) - size + 1):
+            assert seen.setdefault(tuple(words[i : i + size].tolist()), int(got[i])) == got[i]
+        assert len(set(seen.values())) == len(seen)
+
+
 def test_single_transform_is_the_known_one():
     t, suffix, _ = bwt_merge.transform([b"banana"], 8)
     assert bytes(int(x) - 1 if x else 36 for x in t) == b"annb$aa"
@@ -293,6 +364,55 @@ def test_keep_one(spark):
     assert sorted((r["doc_id"] for r in got.collect()), key=str) == sorted([*range(12), 300, None], key=str)
 
 
+def test_each_row_is_judged_by_its_own_text(spark):
+    rng = random.Random(30)
+    text = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+    item, one, two = text(20), text(80), text(80)
+    rows = [(1, one), (5, one), (5, two), (5, two), (6, f"{text(9)} {item}"), (6, text(30)), (6, None), (7, item), (None, item), (8, one + " more")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, lost_id int")
+    kept = covering_simhash.keep_one(docs)
+    assert sorted(r["lost_id"] for r in kept.collect()) == [0, 2, 3, 4, 5, 6, 7, 8]
+    items = spark.createDataFrame([(0, item)], "item_id long, text string")
+    assert sorted(r["lost_id"] for r in decontaminate.keep_uncontaminated(docs, items).collect()) == [0, 1, 2, 3, 5, 6, 8, 9]
+
+
+def _jaccard(a, b):
+    x, y = ({tuple(t[k : k + 5]) for k in range(max(1, len(t) - 4))} for t in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_by_band_of_similarity(spark):
+    """Every kind of edit, every band from 0.8 on: nothing at the threshold stays, nothing below it goes."""
+    rng = random.Random(31)
+    rows, want, seen = [], [], {}
+    for i in range(240):
+        w = [f"w{rng.randint(0, 10**6)}" for _ in range(rng.randint(60, 300))]
+        share = rng.uniform(0.0, 0.24)
+        kind = ("scattered", "cut", "appended", "inserted", "moved")[i % 5]
+        n = max(1, int(len(w) * share))
+        new = [f"x{rng.randint(0, 10**6)}" for _ in range(n)]
+        c = list(w)
+        if kind == "scattered":
+            for k in rng.sample(range(len(w)), max(1, n // 5)):
+                c[k] = "edit"
+        elif kind == "cut":
+            c = w[:-n]
+        elif kind == "appended":
+            c = w + new
+        elif kind == "inserted":
+            c = w[:20] + new + w[20:]
+        else:
+            c = w[n:] + w[:n]
+        s = _jaccard(w, c)
+        rows += [(i, " ".join(w)), (1000 + i, " ".join(c).upper())]
+        want += [i] if s >= 0.8 else [i, 1000 + i]
+        if s >= 0.8:
+            seen[kind, min(19, int(s * 20))] = seen.get((kind, min(19, int(s * 20))), 0) + 1
+    assert all(sum(n for (_, b), n in seen.items() if b == band) >= 10 for band in range(16, 20))
+    got = covering_simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in got.collect()) == sorted(want)
+
+
 def test_keep_one_block_edits(spark):
     rng = random.Random(21)
     rows, want = [], []
