@@ -31,7 +31,7 @@ def squeeze(*columns: np.ndarray, tail: bytes = b"") -> bytes:
     n, parts = len(columns[0]), []
     for c in columns:
         c = np.diff(c, prepend=c.dtype.type(0)) if c.dtype.kind == "i" and c.itemsize == 8 else np.ascontiguousarray(c)
-        parts.append(np.ascontiguousarray(c.view(np.uint8).reshape(n, -1).T).tobytes())
+        parts.append(np.ascontiguousarray(c.view(np.uint8).reshape(n, c.itemsize).T).tobytes())
     raw = b"".join([*parts, tail])
     return HEAD.pack(n, len(raw)) + pa.compress(raw, "zstd", asbytes=True)
 
@@ -42,7 +42,7 @@ def expand(packed: pa.Buffer, *kinds: str) -> tuple[list[np.ndarray], bytes]:
     raw = pa.decompress(packed.slice(HEAD.size), size, "zstd", asbytes=True)
     out, at = [], 0
     for kind in map(np.dtype, kinds):
-        c = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(-1, n).T).view(kind)[:, 0]
+        c = np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * kind.itemsize, at).reshape(kind.itemsize, n).T).view(kind)[:, 0]
         out.append(np.cumsum(c) if kind.kind == "i" and kind.itemsize == 8 else c)
         at += n * kind.itemsize
     return out, raw[at:]

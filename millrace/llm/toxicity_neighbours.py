@@ -2,9 +2,10 @@
 
 Terms are words: runs of letters and digits in lower case (ASCII), other letters as they are. From the labelled rows at
 most EXAMPLES of each class are taken, those with the least hash of their id; all their words are indexed. A word's weight
-is its TF-IDF times its relevance (G / (G + SCALE))**2, where G is the likelihood ratio of its two-by-two table with the
-label. Plain TF-IDF finds texts of like topic and language, not of like tone: on sf0.1 its neighbours give an AUC of 0.84
-and a recall of 0.24 on held-out rows, relevance 0.96 and 0.91.
+is its TF-IDF times its relevance, FLOOR + (max(G - G1, 0) / (G + SCALE))**2, where G is the likelihood ratio of its
+two-by-two table with the label and G1 that of a word that a single example has, which says nothing of others. Plain
+TF-IDF finds texts of like topic and language, not of like tone: on sf0.1 its neighbours give an AUC of 0.84 and a recall
+of 0.24 on held-out rows, relevance 0.98 and 0.9.
 
 Words that few examples have (at most RARE) are postings. Of the others, whose weights are small, the index keeps the
 examples' weights in blocks with each block's largest weight. A query adds up its rare words first, then visits only the
@@ -13,7 +14,8 @@ are left out.
 
 The raw vote is the similarity-weighted share of toxic neighbours, shrunk by PRIOR votes towards the share of toxic rows.
 Scores are calibrated: each example is scored by the others, and isotonic regression of its label on its raw vote,
-weighted by how many labelled rows an example stands for, gives the steps between which scores are interpolated.
+weighted by how many labelled rows an example stands for, with one clean row of the highest vote added, gives the steps
+between which scores are interpolated.
 
 The example set is bounded (2 * EXAMPLES rows); all documents are scored, over their whole texts.
 
@@ -27,18 +29,22 @@ other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import windows as W
 from .common import Chunk, chunks, stored, texts
+from .exchange import expand, squeeze
 
-EXAMPLES, SCALE, RARE, BLOCK, K, PRIOR = 3000, 24.0, 48, 64, 15, 0.25
-#: Documents that are scored at once.
-BATCH = 256
+EXAMPLES, SCALE, FLOOR, RARE, BLOCK, K, PRIOR = 3000, 24.0, 0.02, 256, 64, 15, 0.25
+#: Documents that are scored at once, and bytes of text taken up at once: they bound a worker's arrays.
+BATCH, TAKEN = 128, 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -62,36 +68,56 @@ def text_keys(c: Chunk) -> list[bytes]:
     return [xxhash.xxh3_128_digest(c.data[a:b]) for a, b in zip(c.starts[:-1].tolist(), c.starts[1:].tolist())]
 
 
+class Layout(NamedTuple):
+    """What queries read of an index."""
+
+    blocks: int
+    column: np.ndarray  # a common word's column, -1 for a rare word
+    at: np.ndarray  # where a rare word's postings start
+    example: np.ndarray
+    value: np.ndarray
+    dense: np.ndarray  # examples x common words
+    block_max: np.ndarray  # blocks x common words
+
+
 class Index:
-    """Examples in blocks, like ones together; rare words as postings, the others as weights by block with their maxima."""
-
-    def __init__(self, terms: np.ndarray, weight: np.ndarray, term: np.ndarray, example: np.ndarray, value: np.ndarray, toxic: np.ndarray, ids: np.ndarray, base: float):
-        """term, example, value: the examples' normed weights, ordered by term and example."""
-        self.terms, self.weight, self.toxic, self.ids, self.base = terms, weight, toxic, ids, base
-        self.blocks = max(1, -(-len(toxic) // BLOCK))
-        self.term, self.example, self.value = term.astype(np.int32), example.astype(np.int32), value
-        self.steps = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
+    """Examples in blocks, like ones together; rare words as postings, the others as weights by block with their maxima.
+
+    Built and sent as counts by word and example; each worker lays it out once."""
+
+    def __init__(self, terms: np.ndarray, weight: np.ndarray, df: np.ndarray, example: np.ndarray, count: np.ndarray, toxic: np.ndarray, ids: np.ndarray, base: float):
+        """example, count: by word its df examples in order, and how often they have it."""
+        self.terms, self.weight, self.df, self.toxic, self.ids, self.base = terms, weight, df.astype(np.int32), toxic, ids, base
+        self.example, self.count = example.astype(np.uint16 if len(toxic) < 1 << 16 else np.int32), count.astype(np.uint32)
         self.own: dict[bytes, list[int]] = {}
-        self._lay_out()
-
-    def _lay_out(self) -> None:
-        df = np.bincount(self.term, minlength=len(self.terms))
-        common = df > RARE
-        self.column = np.where(common, np.cumsum(common) - 1, -1)
-        rare = ~common[self.term]
-        self.at = np.concatenate([[0], np.cumsum(np.where(common, 0, df))])
-        self.rare_example, self.rare_value = self.example[rare], self.value[rare]
-        self.dense = np.zeros((self.blocks * BLOCK, int(common.sum())))
-        self.dense[self.example[~rare], self.column[self.term[~rare]]] = self.value[~rare]
-        self.block_max = self.dense.reshape(self.blocks, BLOCK, -1).max(1)
+
+    @cached_property
+    def postings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(word, example, normed weight)."""
+        term, example = np.repeat(np.arange(len(self.terms)), self.df), self.example.astype(np.int64)
+        w = (1 + np.log(self.count)) * self.weight[term]
+        return term, example, w / np.sqrt(np.bincount(example, w * w, len(self.toxic)))[example]
+
+    @cached_property
+    def layout(self) -> Layout:
+        term, example, value = self.postings
+        blocks = max(1, -(-len(self.toxic) // BLOCK))
+        common = self.df > RARE
+        column = np.where(common, np.cumsum(common) - 1, -1)
+        rare = ~common[term]
+        dense = np.zeros((blocks * BLOCK, int(common.sum())))
+        dense[example[~rare], column[term[~rare]]] = value[~rare]
+        del self.__dict__["postings"]
+        return Layout(blocks, column, np.concatenate([[0], np.cumsum(np.where(common, 0, self.df))]), example[rare], value[rare], dense, dense.reshape(blocks, BLOCK, -1).max(1))
 
     def __getstate__(self) -> dict:
-        """Only what the layout follows from is sent to workers."""
-        return {k: v for k, v in self.__dict__.items() if k not in ("column", "at", "rare_example", "rare_value", "dense", "block_max")}
+        plain = {k: v for k, v in self.__dict__.items() if k not in ("postings", "layout", "example", "count")}
+        return plain | {"packed": squeeze(self.example.view("<u2") if self.example.itemsize == 2 else self.example, self.count)}
 
     def __setstate__(self, state: dict) -> None:
+        packed = state.pop("packed")
         self.__dict__.update(state)
-        self._lay_out()
+        (self.example, self.count), _ = expand(pa.py_buffer(packed), "<u2" if len(self.toxic) < 1 << 16 else "<i4", "<u4")
 
     def known(self, doc: np.ndarray, h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of a bag the indexed words, as places in the index."""
@@ -103,24 +129,25 @@ class Index:
 
     def _sums(self, doc: np.ndarray, term: np.ndarray, v: np.ndarray, n: int, hidden: list[list[int]], k: int) -> np.ndarray:
         """Cosines of n queries with all examples; those that cannot be among the k best may be too small."""
-        wide = self.blocks * BLOCK
-        column = self.column[term]
+        x = self.layout
+        wide = x.blocks * BLOCK
+        column = x.column[term]
         r = column < 0
-        begin, sizes = self.at[term[r]], np.diff(self.at)[term[r]]
+        begin, sizes = x.at[term[r]], self.df[term[r]]
         i = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        s = np.bincount(np.repeat(doc[r] * wide, sizes) + self.rare_example[i], np.repeat(v[r], sizes) * self.rare_value[i], n * wide).astype(float).reshape(n, wide)
+        s = np.bincount(np.repeat(doc[r] * wide, sizes) + x.example[i], np.repeat(v[r], sizes) * x.value[i], n * wide).astype(float).reshape(n, wide)
         for d, mine in enumerate(hidden):
             s[d, mine] = -1
-        if not self.dense.shape[1]:
+        if not x.dense.shape[1]:
             return s
-        q = np.zeros((n, self.dense.shape[1]))
+        q = np.zeros((n, x.dense.shape[1]))
         q[doc[~r], column[~r]] = v[~r]
         worst = np.partition(s, wide - k, axis=1)[:, wide - k] if wide > k else np.zeros(n)
-        bound = s.reshape(n, self.blocks, BLOCK).max(2) + q @ self.block_max.T
+        bound = s.reshape(n, x.blocks, BLOCK).max(2) + q @ x.block_max.T
         visit = (bound >= np.maximum(worst, 0)[:, None] - 1e-9) & (bound > 0)
         for b in np.flatnonzero(visit.any(0)).tolist():
             rows, part = np.flatnonzero(visit[:, b]), slice(b * BLOCK, (b + 1) * BLOCK)
-            s[rows, part] += q[rows] @ self.dense[part].T
+            s[rows, part] += q[rows] @ x.dense[part].T
         for d, mine in enumerate(hidden):
             s[d, mine] = -1
         return s
@@ -156,9 +183,6 @@ class Index:
         for best, sims in self.neighbours(doc, term, count, c.n, hidden):
             yield float((sims @ self.toxic[best] + PRIOR * self.base) / (sims.sum() + PRIOR)), best
 
-    def calibrated(self, raw: list[float]) -> np.ndarray:
-        return np.interp(raw, *self.steps)
-
 
 def build(rows: list[tuple], terms: np.ndarray, relevance: np.ndarray | None = None, base: float | None = None) -> Index:
     """From examples as (id, toxic, places of terms, counts)."""
@@ -181,23 +205,24 @@ def build(rows: list[tuple], terms: np.ndarray, relevance: np.ndarray | None = N
     where = np.empty(len(rows), np.int64)
     where[placed] = np.arange(len(rows))
     ok = norm[row] > 0
-    term, example, value = term[ok], where[row[ok]], (w / np.where(norm > 0, norm, 1)[row])[ok]
+    term, example, count = term[ok], where[row[ok]], count[ok]
     order = np.lexsort((example, term))
     toxic = np.array([rows[i][1] for i in placed], float)
     if base is None:
         base = float(toxic.mean()) if len(toxic) else 0.0
-    return Index(terms, weight, term[order], example[order], value[order], toxic, np.array([rows[i][0] for i in placed], np.int64), base)
+    return Index(terms, weight, np.bincount(term, minlength=len(terms)), example[order], count[order], toxic, np.array([rows[i][0] for i in placed], np.int64), base)
 
 
 def relevance(df: np.ndarray, ones: np.ndarray, n: int, n1: int) -> np.ndarray:
-    """(G / (G + SCALE))**2 of words that df of n examples have, `ones` of the n1 toxic ones."""
+    """The relevance of words that df of n examples have, `ones` of the n1 toxic ones."""
 
     def cell(seen, expected):
         return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-300) / np.maximum(expected, 1e-300)), 0.0)
 
     q = n1 / n
     g = 2 * (cell(ones, df * q) + cell(df - ones, df * (1 - q)) + cell(n1 - ones, (n - df) * q) + cell(n - n1 - df + ones, (n - df) * (1 - q)))
-    return (np.maximum(g, 0) / (np.maximum(g, 0) + SCALE)) ** 2
+    single = -2 * np.log(min(q, 1 - q)) if 0 < q < 1 else 0.0
+    return FLOOR + (np.maximum(g - single, 0) / (np.maximum(g, 0) + SCALE)) ** 2
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -216,7 +241,20 @@ def held_out(id_col) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES) -> Index:
+class Model(NamedTuple):
+    """A fitted index, which is sent once to each executor, and the steps of its calibration."""
+
+    index: Broadcast
+    steps: tuple[np.ndarray, np.ndarray]
+
+    def rate(self, c: Chunk) -> tuple[np.ndarray, list[np.ndarray]]:
+        """(scores, ids of the nearest examples) of a chunk's documents."""
+        index = self.index.value
+        found = list(index.rate(c))
+        return np.interp([raw for raw, _ in found], *self.steps), [index.ids[best] for _, best in found]
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", examples: int = EXAMPLES) -> Model:
     """The calibrated index over a bounded sample of the labelled rows that are not held out."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)").where(~held_out("doc_id"))
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -233,49 +271,50 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for c in chunks(batches):
             doc, h, count = bag(c)
             cut = np.searchsorted(doc, np.arange(c.n + 1)).tolist()
-            parts = [[v[a:b].tobytes() for a, b in zip(cut, cut[1:])] for v in (h, count.astype("<u4"))]
-            yield pa.RecordBatch.from_arrays([c.column("doc_id"), c.column("y"), pa.array(text_keys(c), pa.binary()), *(pa.array(p, pa.binary()) for p in parts)], ["doc_id", "y", "key", "words", "counts"])
+            packed = [squeeze(h[a:b], count[a:b].astype("<u4")) for a, b in zip(cut, cut[1:])]
+            yield pa.RecordBatch.from_arrays([c.column("doc_id"), c.column("y"), pa.array(text_keys(c), pa.binary()), pa.array(packed, pa.binary())], ["doc_id", "y", "key", "words"])
 
-    found = chosen.mapInArrow(vectors, "doc_id long, y int, key binary, words binary, counts binary").collect()  # bounded by the sample
+    found = chosen.mapInArrow(vectors, "doc_id long, y int, key binary, words binary").collect()  # bounded by the sample
     found.sort(key=lambda r: (r["doc_id"], r["key"]))
-    bags = [np.frombuffer(r["words"], np.uint64) for r in found]
-    terms, place = np.unique(np.concatenate(bags or [np.empty(0, np.uint64)]), return_inverse=True)
-    y = np.array([r["y"] for r in found], np.int64)
-    sizes = np.array([len(b) for b in bags], np.int64)
-    of_row = np.repeat(y, sizes) if len(y) else y
-    df, ones = np.bincount(place, minlength=len(terms)), np.bincount(place, of_row, len(terms))
-    weigh = relevance(df, ones, len(y), int(y.sum())) if len(y) else None
-    # An example stands for so many labelled rows.
-    stands = {k: labelled[k] / max(1, int((y == k).sum())) for k in labelled}
-    total = sum(labelled.values())
-    base = labelled.get(1, 0) / total if len(y) else 0.0
+    bags = [expand(pa.py_buffer(r["words"]), "<u8", "<u4")[0] for r in found]
+    keys, y = [(r["doc_id"], bytes(r["key"])) for r in found], np.array([r["y"] for r in found], np.int64)
+    del found
+    sizes = np.array([len(h) for h, _ in bags], np.int64)
+    terms, place = np.unique(np.concatenate([h for h, _ in bags] or [np.empty(0, np.uint64)]), return_inverse=True)
+    place = place.astype(np.int32)
+    df, ones = np.bincount(place, minlength=len(terms)), np.bincount(place, np.repeat(y, sizes) if len(y) else None, len(terms))
     cuts = np.concatenate([[0], np.cumsum(sizes)])
-    rows = [(r["doc_id"], r["y"], place[a:b], np.frombuffer(r["counts"], "<u4")) for r, a, b in zip(found, cuts, cuts[1:])]
-    index = build(rows, terms, weigh, base)
-    if len(set(y.tolist())) < 2:
-        return index
+    rows = [(i, int(t), place[a:b], count) for (i, _), t, a, b, (_, count) in zip(keys, y, cuts, cuts[1:], bags)]
+    total = sum(labelled.values())
+    index = build(rows, terms, relevance(df, ones, len(y), int(y.sum())) if len(y) else None, labelled.get(1, 0) / total if len(y) else 0.0)
     at = {i: e for e, i in enumerate(index.ids.tolist())}
-    for r in found:
-        index.own.setdefault(bytes(r["key"]), []).append(at[r["doc_id"]])
+    for i, key in keys:
+        index.own.setdefault(key, []).append(at[i])
+    del bags, place, rows
+    plain = Model(docs.sparkSession.sparkContext.broadcast(index), (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
+    if len(set(y.tolist())) < 2:
+        return plain
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in chunks(batches):
-            yield pa.RecordBatch.from_arrays([c.column("y"), pa.array([raw for raw, _ in index.rate(c)])], ["y", "raw"])
+        for c in chunks(batches, limit=TAKEN):
+            yield pa.RecordBatch.from_arrays([c.column("y"), pa.array(plain.rate(c)[0])], ["y", "raw"])
 
     votes = chosen.mapInArrow(vote, "y int, raw double").toArrow()  # bounded by the sample
-    y = votes["y"].to_numpy().astype(float)
-    index.steps = isotonic(votes["raw"].to_numpy(), y, np.where(y > 0, stands[1], stands[0]))
-    return index
+    label = votes["y"].to_numpy().astype(float)
+    # An example stands for so many labelled rows.
+    stands = [labelled[k] / max(1, int((y == k).sum())) for k in (0, 1)]
+    # With one clean row more, of the highest vote: few examples prove little.
+    raw, label = np.append(votes["raw"].to_numpy(), 1.0), np.append(label, 0.0)
+    return Model(plain.index, isotonic(raw, label, np.append(np.where(label[:-1] > 0, stands[1], stands[0]), 1.0)))
 
 
-def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", evidence: int = 3) -> DataFrame:
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", evidence: int = 3) -> DataFrame:
     """doc_id, score, evidence: the ids of the nearest examples."""
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for c in chunks(batches):
-            found = list(index.rate(c))
-            why = [index.ids[best[:evidence]].tolist() for _, best in found]
-            yield pa.RecordBatch.from_arrays([c.column("doc_id"), pa.array(index.calibrated([raw for raw, _ in found])), pa.array(why, pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
+        for c in chunks(batches, limit=TAKEN):
+            scores, near = model.rate(c)
+            yield pa.RecordBatch.from_arrays([c.column("doc_id"), pa.array(scores), pa.array([x[:evidence].tolist() for x in near], pa.list_(pa.int64()))], ["doc_id", "score", "evidence"])
 
     return texts(docs, id_col, text_col).mapInArrow(rate, "doc_id long, score double, evidence array<long>")
 
@@ -284,14 +323,13 @@ def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     """`docs` without the documents whose score reaches the threshold; all columns stay.
 
     Scored beside the rows themselves, so no join brings the texts together again."""
-    index = fit(docs, labels, id_col, text_col)
-    schema = docs.schema
+    model, schema = fit(docs, labels, id_col, text_col), docs.schema
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index(text_col)
             plain = batch.set_column(at, text_col, batch.column(at).fill_null(""))
-            clean = [x < threshold for c in chunks([plain], text_col) for x in index.calibrated([raw for raw, _ in index.rate(c)])]
+            clean = [x < threshold for c in chunks([plain], text_col, TAKEN) for x in model.rate(c)[0].tolist()]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
     return docs.mapInArrow(keep, schema)

@@ -77,17 +77,19 @@ def test_without_examples(spark):
     assert T.score(docs.limit(0), T.fit(docs, none)).count() == 0
 
 
-def test_blocks_that_are_skipped_change_nothing():
+def test_blocks_that_are_skipped_change_nothing(monkeypatch):
     rng = random.Random(14)
     rows = _index(rng, 900, 40)
     terms, weigh = np.arange(40, dtype=np.uint64), np.array([rng.random() ** 4 for _ in range(40)])
     index = T.build(rows, terms, weigh)
-    assert index.dense.shape[1] > 10 and len(index.rare_value) == 0
+    monkeypatch.setattr(T, "RARE", 48)
+    assert index.layout.dense.shape[1] > 10 and len(index.layout.value) == 0
     few = T.build([(i, y, [t for t in p if t < 20 or i < 90], [c for t, c in zip(p, x) if t < 20 or i < 90]) for i, y, p, x in rows], terms, weigh)
-    assert few.dense.shape[1] and len(few.rare_value)
+    assert few.layout.dense.shape[1] and len(few.layout.value)
     for ix in (index, few):
         full = np.zeros((len(ix.toxic), 40))
-        full[ix.example, ix.term] = ix.value
+        term, example, value = ix.postings
+        full[example, term] = value
         for _ in range(40):
             p = np.array(sorted(rng.sample(range(40), rng.randint(1, 9))))
             c = np.array([rng.randint(1, 4) for _ in p])
