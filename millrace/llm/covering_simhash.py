@@ -235,7 +235,7 @@ def near_pairs(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius:
     labels = stored(components(real), "near-labels")
     nodes = unique.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("doc_id", "digest", "node", F.coalesce("label", "node").alias("label"))
     lower = source.withColumn("text", F.lower("text"))
-    more = stored(prefix_join.candidates(lower, stored(nodes, "labelled"), words, similarity), "prefix-pairs")
+    more = prefix_join.candidates(lower, stored(nodes, "labelled"), words, similarity)
     return signed.select("doc_id", "digest"), unique.select("digest", "doc_id", "node"), real.unionByName(_verified(source, unique, more, words, similarity))
 
 
@@ -250,6 +250,6 @@ def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: i
     group = stored(unique.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("doc_id", "digest", F.coalesce("label", "node").alias("label")), "grouped")
     first = group.groupBy("label").agg(F.min(F.struct("doc_id", "digest")).alias("first"))
     kept = stored(group.join(first, "label").select("digest", F.col("first.doc_id").alias("first_id"), F.col("first.digest").alias("first_digest")), "groups")
-    lost = stored(signed.join(kept, "digest").where("doc_id <> first_id or digest <> first_digest").select(F.col("doc_id").alias("lost_id"), F.col("digest").alias("lost_digest")).distinct(), "near-copies")
+    lost = stored(signed.join(kept, "digest").where("doc_id <> first_id or digest <> first_digest").select(F.col("doc_id").alias("lost_id"), F.col("digest").alias("lost_digest")), "near-copies")
     same = (docs[id_col].cast("long") == lost["lost_id"]) & (text_digest(docs[text_col]) == lost["lost_digest"])
     return docs.join(lost.hint("shuffle_hash"), same, "left_anti")

@@ -7,6 +7,9 @@ many texts, by a table of RANKS slots of fixed size (a slot's shingles count as
 So a passage that many texts hold is used only where a text holds little else.
 
 Under a shingle, pairs are made of texts that no link joins yet, whose sizes and places of the shingle allow the threshold.
+Where more than SMALL texts meet, as many edited copies of one text do, a pair must also pass their bitmaps: each has a bit
+for about each shingle, the parity of the shingles that fall on it, so that two texts differ in at least as many shingles as
+their bitmaps do in bits. That is exact too, and leaves few pairs below the threshold.
 """
 
 from __future__ import annotations
@@ -20,11 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import windows as W
-from .common import Chunk, by_shard, chunks, shards
+from .common import Chunk, by_shard, chunks, release, shards, stored
 from .exchange import dealt, expand, squeeze
 
 #: Texts under a shingle from which it goes to the end of the order, slots of the order's table, times it is refined.
 HOT, RANKS, ROUNDS = 32, 1 << 22, 2
+#: Texts under a shingle up to which bitmaps are not asked for.
+SMALL = 8
 
 
 def _shingles(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[Chunk, list[np.ndarray]]]:
@@ -79,10 +84,45 @@ def order(source: DataFrame, words: int, similarity: float, n: int, hot: int = H
     return ranks
 
 
-def _pairs(ids, n, at, label, similarity: float, block: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def bitmap(shingles: np.ndarray) -> bytes:
+    """Parities of the shingles on a number of places, a power of two from 64 on and no less than their number."""
+    places = 64
+    while places < len(shingles):
+        places *= 2
+    seen = np.bincount((shingles >> np.uint64(24) & np.uint64(places - 1)).astype(np.int64), minlength=places)
+    return np.packbits(seen & 1 == 1, bitorder="little").tobytes()
+
+
+class Bitmaps:
+    """The bitmaps of a bucket's texts; one of twice the places folds to the half by parity."""
+
+    def __init__(self, bits: list[bytes]):
+        self.words = np.array([len(b) // 8 for b in bits])
+        self.rows, self.place = {}, {}
+        for w in np.unique(self.words).tolist():
+            same, twice = np.flatnonzero(self.words == w), np.flatnonzero(self.words == 2 * w)
+            full = np.frombuffer(b"".join([bits[i] for i in same.tolist()]), np.uint64).reshape(-1, w)
+            half = np.frombuffer(b"".join([bits[i] for i in twice.tolist()]), np.uint64).reshape(-1, 2, w)
+            self.rows[w] = np.concatenate([full, half[:, 0] ^ half[:, 1]])
+            self.place[w] = np.full(len(bits), -1)
+            self.place[w][np.concatenate([same, twice])] = np.arange(len(same) + len(twice))
+
+    def differ(self, x: np.ndarray, y: np.ndarray, block: int = 1 << 15) -> np.ndarray:
+        """Bits in which pairs differ; x has no more places than y, and half of them at least."""
+        out = np.zeros(len(x), np.int64)
+        for w, rows in self.rows.items():
+            mine = np.flatnonzero(self.words[x] == w)
+            for at in range(0, len(mine), max(1, block // w)):
+                some = mine[at : at + max(1, block // w)]
+                out[some] = np.bitwise_count(rows[self.place[w][x[some]]] ^ rows[self.place[w][y[some]]]).sum(1)
+        return out
+
+
+def _pairs(ids, n, at, label, similarity: float, bits: list[bytes] | None = None, block: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of a bucket that differ in label and whose overlap can reach the threshold if this shingle is their first."""
     order = np.lexsort((ids, n))
     ids, n, at, label = ids[order], n[order], at[order], label[order]
+    maps = Bitmaps([bits[i] for i in order.tolist()]) if bits else None
     # Of a larger set of m, a smaller one needs ceil(m * similarity).
     ends = np.searchsorted(n, np.floor(n / similarity + 1e-9), "right")
     rows = max(1, block // len(ids))
@@ -92,65 +132,106 @@ def _pairs(ids, n, at, label, similarity: float, block: int = 1 << 17) -> Iterat
         x = np.arange(s, e)
         if not len(y):
             continue
+        need = np.ceil((n[x][:, None] + n[y]) * (similarity / (1 + similarity)) - 1e-9)
         can = (y > x[:, None]) & (y < ends[x][:, None]) & (label[x][:, None] != label[y])
-        total = n[x][:, None] + n[y]
-        can &= np.minimum((n[x] - at[x])[:, None], n[y] - at[y]) >= np.ceil(total * (similarity / (1 + similarity)) - 1e-9)
+        can &= np.minimum((n[x] - at[x])[:, None], n[y] - at[y]) >= need
         i, j = np.nonzero(can)
+        if maps and len(i):
+            ok = maps.differ(x[i], y[j]) <= n[x[i]] + n[y[j]] - 2 * need[i, j]
+            i, j = i[ok], j[ok]
         yield ids[x[i]], ids[y[j]]
 
 
-def _compare(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of a shard's postings, each once."""
-    rows = [expand(x.as_buffer(), "<u4", "<i8", "<i8", "<i4", "<i4")[0] for b in batches for x in b.column("packed")]
+class _Emitter:
+    """Pairs, each once among some hundred thousand, however often it comes."""
+
+    def __init__(self):
+        self.x, self.y, self.held = [], [], 0
+
+    def add(self, x: np.ndarray, y: np.ndarray) -> None:
+        self.x.append(x), self.y.append(y)
+        self.held += len(x)
+
+    def take(self, least: int = 1) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if self.held < least:
+            return
+        x, y = np.concatenate(self.x), np.concatenate(self.y)
+        x, y = np.minimum(x, y), np.maximum(x, y)
+        o = np.lexsort((y, x))
+        x, y = x[o], y[o]
+        first = np.ones(len(x), bool)
+        first[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        self.x, self.y, self.held = [], [], 0
+        yield x[first], y[first]
+
+
+def _met(batches: Iterator[pa.RecordBatch], shard_bits: int, similarity: float, small: int) -> Iterator[pa.RecordBatch]:
+    """Of a shard's postings the pairs x, y under shingles of few texts; under the others the texts x at their places y, the
+    shingle being `bucket`."""
+    schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("bucket", pa.int64())])
+    shards, rows = [], []
+    for b in batches:
+        for shard, x in zip(b.column("shard").to_pylist(), b.column("packed")):
+            shards.append(shard)
+            rows.append(expand(x.as_buffer(), "<u4", "<i8", "<i8", "<i4", "<i4")[0])
     if not rows:
         return
     h, node, label, n, at = (np.concatenate(x) for x in zip(*rows))
+    h = h.astype(np.int64) << shard_bits | np.repeat(np.array(shards, np.int64), [len(r[0]) for r in rows])
     o = np.argsort(h, kind="stable")
     h, node, label, n, at = h[o], node[o], label[o], n[o].astype(np.int64), at[o].astype(np.int64)
     cuts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1], [True]]))
     sizes = np.diff(cuts)
-    x, y, held = [], [], 0
-    two = cuts[:-1][sizes == 2]  # most
-    small, large = np.minimum(n[two], n[two + 1]), np.maximum(n[two], n[two + 1])
-    need = np.ceil((small + large) * (similarity / (1 + similarity)) - 1e-9)
-    two = two[(label[two] != label[two + 1]) & (large <= small / similarity + 1e-9) & (np.minimum(n[two] - at[two], n[two + 1] - at[two + 1]) >= need)]
-    x.append(node[two]), y.append(node[two + 1])
-    more = np.flatnonzero(sizes > 2)
-    more = more[np.maximum.reduceat(label, cuts[:-1])[more] != np.minimum.reduceat(label, cuts[:-1])[more]] if len(more) else more
-    for s, e in zip(cuts[more].tolist(), cuts[more + 1].tolist()):
+    mixed = np.maximum.reduceat(label, cuts[:-1]) != np.minimum.reduceat(label, cuts[:-1])
+    out = _Emitter()
+    two = cuts[:-1][(sizes == 2) & mixed]  # most
+    low, high = np.minimum(n[two], n[two + 1]), np.maximum(n[two], n[two + 1])
+    need = np.ceil((low + high) * (similarity / (1 + similarity)) - 1e-9)
+    two = two[(high <= low / similarity + 1e-9) & (np.minimum(n[two] - at[two], n[two + 1] - at[two + 1]) >= need)]
+    out.add(node[two], node[two + 1])
+    for i in np.flatnonzero((sizes > 2) & (sizes <= small) & mixed).tolist():
+        s, e = cuts[i], cuts[i + 1]
         for a, b in _pairs(node[s:e], n[s:e], at[s:e], label[s:e], similarity):
-            x.append(a), y.append(b)
-            held += len(a)
-        if held > 1 << 20:
-            x, y = _once(x, y)
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
-            x, y, held = [], [], 0
-    if x:
-        x, y = _once(x, y)
-        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
+            out.add(a, b)
+    for x, y in out.take():
+        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.nulls(len(x), pa.int64())], schema=schema)
+    large = np.repeat((sizes > small) & mixed, sizes)
+    if large.any():
+        yield pa.RecordBatch.from_arrays([pa.array(node[large]), pa.array(at[large]), pa.array(h[large])], schema=schema)
 
 
-def _once(x: list[np.ndarray], y: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    x, y = np.concatenate(x), np.concatenate(y)
-    x, y = np.minimum(x, y), np.maximum(x, y)
-    o = np.lexsort((y, x))
-    x, y = x[o], y[o]
-    first = np.ones(len(x), bool)
-    first[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-    return x[first], y[first]
+def _compared(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Pairs under shingles of many texts."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    h, node, label, n, at = (np.concatenate([b.column(c).to_numpy().astype(np.int64) for b in held]) for c in ("bucket", "node", "label", "n", "at"))
+    bits = [x for b in held for x in b.column("bits").to_pylist()]
+    o = np.argsort(h, kind="stable")
+    cuts = np.flatnonzero(np.concatenate([[True], h[o][1:] != h[o][:-1], [True]])).tolist()
+    out = _Emitter()
+    for s, e in zip(cuts, cuts[1:]):
+        i = o[s:e]
+        for a, b in _pairs(node[i], n[i], at[i], label[i], similarity, [bits[k] for k in i.tolist()]):
+            out.add(a, b)
+        for x, y in out.take(1 << 20):
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
+    for x, y in out.take():
+        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
 
 
-def candidates(source: DataFrame, nodes: DataFrame, words: int, similarity: float, hot: int = HOT, rounds: int = ROUNDS) -> DataFrame:
-    """(x, y), x < y: pairs of nodes that can reach the threshold and whose labels differ.
+def candidates(source: DataFrame, nodes: DataFrame, words: int, similarity: float, hot: int = HOT, rounds: int = ROUNDS, small: int = SMALL) -> DataFrame:
+    """(x, y), x < y, stored: pairs of nodes that can reach the threshold and whose labels differ.
 
     `source` has doc_id, digest and text, `nodes` has doc_id, digest, node and label: the texts to compare."""
     n = shards(source)
+    shard_bits = max(1, (n - 1).bit_length())
     ranks = order(source, words, similarity, n, hot, rounds)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c, sets in _shingles(batches, words):
             kept = [_prefix(s, ranks, similarity).tobytes() for s in sets]
-            yield pa.RecordBatch.from_arrays([c.column("doc_id"), c.column("digest"), pa.array(list(map(len, sets)), pa.int32()), pa.array(kept, pa.binary())], ["doc_id", "digest", "n", "hs"])
+            yield pa.RecordBatch.from_arrays([c.column("doc_id"), c.column("digest"), pa.array(list(map(len, sets)), pa.int32()), pa.array(kept, pa.binary()), pa.array(list(map(bitmap, sets)), pa.binary())], ["doc_id", "digest", "n", "hs", "bits"])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in chunks(batches, "hs"):
@@ -163,7 +244,14 @@ def candidates(source: DataFrame, nodes: DataFrame, words: int, similarity: floa
             rows = [(s, squeeze(low[p], node[p], label[p], m[p].astype("<i4"), at[p].astype("<i4"))) for s in np.flatnonzero(np.diff(cuts)).tolist() for p in (place[cuts[s] : cuts[s + 1]],)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "packed"])
 
-    made = source.mapInArrow(prefixes, "doc_id long, digest binary, n int, hs binary")
+    made = source.mapInArrow(prefixes, "doc_id long, digest binary, n int, hs binary, bits binary")
     nodes = nodes.select(F.col("doc_id").alias("_i"), F.col("digest").alias("_g"), "node", "label")
-    known = made.join(nodes.hint("shuffle_hash"), (F.col("doc_id") == F.col("_i")) & (F.col("digest") == F.col("_g"))).select("node", "label", "n", "hs")
-    return by_shard(known.mapInArrow(deal, "shard int, packed binary"), n).mapInArrow(lambda it: _compare(it, similarity), "x long, y long").distinct()
+    sketches = stored(made.join(nodes.hint("shuffle_hash"), (F.col("doc_id") == F.col("_i")) & (F.col("digest") == F.col("_g"))).select("node", "label", "n", "hs", "bits"), "sketches")
+    met = stored(by_shard(sketches.select("node", "label", "n", "hs").mapInArrow(deal, "shard int, packed binary"), n).mapInArrow(lambda it: _met(it, shard_bits, similarity, small), "x long, y long, bucket long"), "met")
+    large = met.where("bucket is not null").select("bucket", F.col("x").alias("_n"), F.col("y").cast("int").alias("at"))
+    known = sketches.select("node", "label", "n", "bits").dropDuplicates(["node"])
+    large = large.join(known, F.col("_n") == F.col("node")).select(F.pmod(F.xxhash64("bucket"), F.lit(n)).cast("int").alias("shard"), "bucket", "node", "label", "n", "at", "bits")
+    filtered = by_shard(large, n).mapInArrow(lambda it: _compared(it, similarity), "x long, y long")
+    out = stored(met.where("bucket is null").select("x", "y").unionByName(filtered).distinct(), "prefix-pairs")
+    release(sketches, met)
+    return out
