@@ -12,7 +12,8 @@ allocated by the rule:
 Spans are in code points, ends exclusive. Sections end after each match of `boundary`; the pieces cover the document.
 
 Defined cases: a null field is empty and has no section; a document of empty fields has no row; null ids are kept;
-repeated rows are counted one by one; other columns are ignored.
+repeated rows are counted one by one; very long documents are encoded in parts and counted whole; an empty table gives no
+rows; other columns are ignored.
 """
 
 from __future__ import annotations

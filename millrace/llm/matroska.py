@@ -5,7 +5,8 @@ its track, timestamp, key flag and byte range, through Xiph, EBML and fixed-size
 it. `write` makes a file of one track of 8-bit PCM samples in clusters of laced blocks, with cues.
 
 Defined cases: a null or empty text is one frame of padding; a null blob has no packets, a damaged one those before the
-damage; repeated rows are handled one by one; an empty table gives no rows; other columns are ignored.
+damage; repeated rows are handled one by one; very long texts fill as many clusters as they need; packets of one time come
+in the order of their bytes; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations

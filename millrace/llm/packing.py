@@ -7,7 +7,9 @@ best-fit decreasing places what remains, many equal bins at a time. The pieces o
 (within shards, then by the shards' offsets), and a piece's number leads to its bin.
 
 Defined cases: a null text is empty and has only its end id; null ids are kept, as the smallest; repeated rows are
-packed one by one; an empty table gives no rows; other columns are ignored. Each piece is packed whole.
+packed one by one; very long texts are encoded in parts and cut into as many pieces as they need; pieces of one length are
+numbered by partition and place in it, and of bins equally full the one planned first is taken; an empty table gives no
+rows; other columns are ignored. Each piece is packed whole.
 """
 
 from __future__ import annotations
@@ -79,7 +81,9 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
 
     The reduction follows Martello and Toth: the bin {j} with the largest piece j dominates every other bin with j if
     not even the smallest other piece fits beside it; {j, k} does if k fills the bin, or if k is the largest that fits
-    and no two other pieces fit beside j together. Such bins are in some optimal packing and are fixed."""
+    and no two other pieces fit beside j together, or no two that fit are larger together; {j, a, b} does if three do not
+    fit, a and b are the two that fit with the largest sum, a is the largest that fits alone, and every other two that fit
+    have a smaller second piece. Such bins are in some optimal packing and are fixed."""
     out, left = Plan(capacity), {s: n for s, n in histogram.items() if n}
     sizes = sorted(left)
 
@@ -129,6 +133,15 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
             take(k, n)
             out.add(n, (s, k), True)
             continue
+        found = _dominating(sizes, left, s, room)
+        if found:
+            need = {x: ((s,) + found).count(x) for x in {s, *found}}
+            # As often as the counts that the rule saw stay as they are to it: three of each.
+            n = max(1, min((left[x] - 3) // c for x, c in need.items()))
+            for x, c in need.items():
+                take(x, n * c)
+            out.add(n, (s, *found), True)
+            continue
         # Best fit for the remainder: fill a bin around the largest piece, then use the same bin while it lasts.
         bin_, need = [s], {s: 1}
         while room >= sizes[0]:
@@ -150,6 +163,34 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
     return out
 
 
+def _dominating(sizes: list[int], left: dict[int, int], s: int, room: int) -> tuple[int, ...] | None:
+    """The one or two pieces that with the largest, s, dominate all else, where two but not three fit beside it."""
+    count = lambda x: left[x] - (x == s)
+    three = [x for x in sizes[:4] for _ in range(min(3, count(x)))][:3]
+    if len(three) == 3 and sum(three) <= room:
+        return None
+    small = [x for x in sizes[: bisect_right(sizes, room)] if count(x)]
+    # The two of the largest sum that fit, and of these the ones that lie furthest apart.
+    best, pair, i, j = -1, None, 0, len(small) - 1
+    while i <= j:
+        total = small[i] + small[j]
+        if total > room:
+            j -= 1
+            continue
+        # small[j] is the largest that fits beside small[i]
+        if (i < j or count(small[i]) > 1) and total > best:
+            best, pair = total, (small[j], small[i])
+        i += 1
+    one = small[-1]
+    if pair is None or one >= best:
+        return (one,)
+    if pair[0] != one:
+        return None
+    # Two that fit whose smaller piece is larger than pair[1]: the least two such would fit.
+    above = [x for x in small[bisect_right(small, pair[1]) :][:2] for _ in range(min(2, count(x)))][:2]
+    return pair if len(above) < 2 or sum(above) > room else None
+
+
 def _closing_pair(sizes: list[int], left: dict[int, int], need: dict[int, int], room: int) -> tuple[int, int] | None:
     """Two pieces that together fill the room exactly, if there are such."""
     for k in sizes:

@@ -12,8 +12,9 @@ order, each with its end id:
 
 so any run of ids is read from its own blocks alone.
 
-Defined cases: a null text has only its end id; null ids are kept and come first; repeated rows are stored one after
-another; an empty table gives no rows; other columns are ignored.
+Defined cases: a null text has only its end id; null ids are kept and come first; rows of one id come in the order of the
+XXH64 of their texts, so repeated rows lie one after another; very long texts are encoded in parts and stored whole; blocks
+whose widths tie take the least; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -195,26 +196,53 @@ class Reader:
                 d += 1
 
 
-def write(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", per_file: int = 64 << 20, most_files: int = 1 << 14) -> DataFrame:
+class Bounds:
+    """File numbers of rows by id and by the hash of the text: `ids` are the least ids of the files but the first.
+
+    An id that fills several files by itself is among them several times; its rows are dealt to these by their hash."""
+
+    def __init__(self, ids: list[int]):
+        self.ids, self.times = np.unique(np.array(ids, np.int64), return_counts=True)
+        self.before = np.concatenate([[0], np.cumsum(self.times)])
+
+    @property
+    def files(self) -> int:
+        return int(self.before[-1]) + 1
+
+    def file(self, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.ids):
+            return np.zeros(len(ids), np.int32)
+        at = np.searchsorted(self.ids, ids, "right")  # bounds up to the id
+        out = self.before[at]
+        mine = np.flatnonzero((at > 0) & (self.ids[np.maximum(at, 1) - 1] == ids))
+        times = self.times[at[mine] - 1]
+        # Signed hashes in their order, which is that of the rows within an id.
+        place = (hashes[mine].view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)
+        out[mine] += ((place * times.astype(np.uint64)) >> np.uint64(32)).astype(np.int64) + 1 - times
+        return out.astype(np.int32)
+
+
+def write(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", per_file: int = 64 << 20) -> DataFrame:
     """Encodes, orders by id and writes; a row for each file: path, file, docs, ids, bytes. The rows are the manifest:
-    a file that a failed or repeated task left is not in it. Writing streams, so files may be large; `most_files` bounds
-    the range bounds that every task gets."""
+    a file that a failed or repeated task left is not in it. `per_file` is in bytes of input; writing streams."""
     from pyarrow import fs
 
     spark = docs.sparkSession
-    source = texts(docs, id_col, text_col)
+    source = texts(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
     folder = scratch(spark, "token-files")
     # Range bounds come from the id column alone; the encoder runs once and only ids are shuffled.
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(most_files, -(-input_bytes(source) // per_file)))
-    bounds = sorted(set(source.where("doc_id is not null").approxQuantile("doc_id", [i / n for i in range(1, n)], 0.2 / n) or []))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(source) // per_file))
+    least = int(np.iinfo(np.int64).min)
+    cuts = F.percentile_approx(F.coalesce("doc_id", F.lit(least)), [i / n for i in range(1, n)] or [0.5], 5 * n).alias("cuts")
+    bounds = Bounds((source.agg(cuts).first()["cuts"] or []) if n > 1 else [])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
-                ids = part.column("doc_id").fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(enc.encode(part.column("text")), pa.binary()), pa.array(np.searchsorted(bounds, ids, "right").astype(np.int32))], ["doc_id", "ids", "file"])
+                file = bounds.file(part.column("doc_id").fill_null(least).to_numpy(zero_copy_only=False), part.column("h").to_numpy())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(enc.encode(part.column("text")), pa.binary()), pa.array(file)], ["doc_id", "h", "ids", "file"])
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dtype, out, file = encoder(tokenizer).dtype, None, None
@@ -230,8 +258,8 @@ def write(docs: DataFrame, tokenizer: str | None = None, end_id: int = 0, id_col
             size = out.close()
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name.rpartition('/')[2]}"]), pa.array([file], pa.int32()), pa.array([len(out.ids)], pa.int64()), pa.array([out.n], pa.int64()), pa.array([size], pa.int64())], ["path", "file", "docs", "ids", "bytes"])
 
-    encoded = source.mapInArrow(encode, "doc_id long, ids binary, file int")
-    dealt = encoded.repartitionById(len(bounds) + 1, F.col("file")).sortWithinPartitions("file", F.asc_nulls_first("doc_id"))
+    encoded = source.mapInArrow(encode, "doc_id long, h long, ids binary, file int")
+    dealt = encoded.repartitionById(bounds.files, F.col("file")).sortWithinPartitions("file", F.asc_nulls_first("doc_id"), "h")
     return stored(dealt.mapInArrow(save, "path string, file int, docs long, ids long, bytes long"), "token-manifest")
 
 

@@ -4,8 +4,9 @@ Every version of every document is addressed by the SHA-256 of its text. The led
 (blob, rule version) that was ever scanned, findings or none; a run scans only pairs that the ledger lacks, appends
 them, and joins the findings back to every path that holds the blob.
 
-Defined cases: a null text is the empty blob; null ids are kept and match each other; repeated rows and copies share
-one scan and each get its findings; an empty table gives no rows; other columns are ignored.
+Defined cases: a null text is the empty blob; null ids are kept and match each other; copies share one scan and each get
+its findings; a row that is repeated is scanned each time, and the ledger has it once; spans that start together are listed
+by the order of the rules; very long texts are scanned whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -58,30 +59,32 @@ def _scan(batches: Iterator[pa.RecordBatch], rules, sieve) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([batch.column("blob"), pa.array(spans, pa.list_(item))], ["blob", "spans"])
 
 
-def scan_versions(versions: DataFrame, ledger_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", rules=RULES, sieve: str | None = SIEVE) -> tuple[DataFrame, DataFrame]:
-    """(findings, ledger). findings: a row for each row of `versions` with its blob and its spans, perhaps none.
-
-    `ledger_path` names a ledger to continue, made on its first use; without one the run starts afresh. `sieve` must
-    match whatever `rules` find; None switches it off."""
+def scan_unseen(versions: DataFrame, ledger_path: str, id_col: str = "doc_id", text_col: str = "text", rules=RULES, sieve: str | None = SIEVE) -> DataFrame:
+    """Scans the blobs of `versions` that the ledger has not seen under these rules, appends them and gives the ledger."""
     spark, version = versions.sparkSession, rule_version(rules)
-    path = ledger_path or scratch(spark, "secret-ledger")
     docs = texts(versions, id_col, text_col).withColumn("blob", F.unhex(F.sha2("text", 256)))
-    paths = docs.select("doc_id", "blob")
     # The narrow side of the join is hashed, so that texts are dealt out once and never sorted.
-    unseen = paths.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
-    if _exists(spark, path):
-        seen = spark.read.schema(LEDGER).parquet(path).where(F.col("rule_version") == version)
+    unseen = docs.groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
+    if _exists(spark, ledger_path):
+        seen = spark.read.schema(LEDGER).parquet(ledger_path).where(F.col("rule_version") == version)
         unseen = unseen.join(seen.select("blob"), "blob", "left_anti")
     unseen = unseen.select(F.col("blob").alias("b"), F.col("doc_id").alias("d"))
     todo = docs.join(unseen.hint("shuffle_hash"), (F.col("blob") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("blob", "text")
     scanned = todo.mapInArrow(lambda it: _scan(it, rules, sieve), f"blob binary, spans {SPANS}")
-    # The same row twice is scanned twice at most; the ledger has it once.
     fresh = scanned.groupBy("blob").agg(F.first("spans").alias("spans"))
-    fresh.select("blob", F.lit(version).alias("rule_version"), "spans").write.mode("append").parquet(path)
-    ledger = spark.read.schema(LEDGER).parquet(path)
-    found = ledger.where((F.col("rule_version") == version) & (F.size("spans") > 0)).select("blob", "spans")
-    out = paths.join(found, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.expr(f"cast(array() as {SPANS})")).alias("spans"))
-    return out, ledger
+    fresh.select("blob", F.lit(version).alias("rule_version"), "spans").write.mode("append").parquet(ledger_path)
+    return spark.read.schema(LEDGER).parquet(ledger_path)
+
+
+def scan_versions(versions: DataFrame, ledger_path: str | None = None, id_col: str = "doc_id", text_col: str = "text", rules=RULES, sieve: str | None = SIEVE) -> tuple[DataFrame, DataFrame]:
+    """(findings, ledger). findings: a row for each row of `versions` with its blob and its spans, perhaps none.
+
+    `ledger_path` names a ledger to continue, made on its first use; without one the run starts afresh. `sieve` must
+    match whatever `rules` find; None switches it off."""
+    ledger = scan_unseen(versions, ledger_path or scratch(versions.sparkSession, "secret-ledger"), id_col, text_col, rules, sieve)
+    paths = texts(versions, id_col, text_col).select("doc_id", F.unhex(F.sha2("text", 256)).alias("blob"))
+    found = ledger.where((F.col("rule_version") == rule_version(rules)) & (F.size("spans") > 0)).select("blob", "spans")
+    return paths.join(found, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.expr(f"cast(array() as {SPANS})")).alias("spans")), ledger
 
 
 def _exists(spark, path: str) -> bool:
@@ -102,9 +105,12 @@ def redact(docs: DataFrame, ledger_path: str | None = None, id_col: str = "doc_i
 
     Spans that overlap are replaced as one."""
     findings, _ = scan_versions(docs, ledger_path, id_col, text_col)
-    spans_col, = unused(docs, "spans")
-    found = stored(findings.where(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias(spans_col)), "secret-spans")
-    joined = docs.join(found.hint("shuffle_hash"), text_digest(docs[text_col]) == found["blob"], "left")
+    (spans_col,) = unused(docs, "spans")
+    # By digest and id, so that the copies of one text are dealt out.
+    found = findings.where(F.size("spans") > 0).groupBy("blob", F.col("doc_id").alias("of_id")).agg(F.first("spans").alias(spans_col))
+    found = stored(found, "secret-spans")
+    same = (text_digest(docs[text_col]) == found["blob"]) & docs[id_col].cast("long").eqNullSafe(found["of_id"])
+    joined = docs.join(found.hint("shuffle_hash"), same, "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

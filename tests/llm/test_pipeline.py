@@ -86,3 +86,22 @@ def test_clashing_columns(spark, tmp_path):
         out = stage(spark, docs, folder)
         assert out.columns == docs.columns and out.count() > 0, name
     assert corpus_pipeline.STAGES[4][1](spark, docs, folder).count() == 4
+
+
+def test_names_that_the_stages_use_themselves(spark, tmp_path):
+    folder = str(tmp_path)
+    spark.createDataFrame([(k, 1, 0) for k in range(8)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    item = "one two three four five six seven"
+    spark.createDataFrame([(0, item, 0, 0, 0)], "item_id long, text string, doc_id int, h int, n int").write.parquet(f"{folder}/benchmark.parquet")
+    extra = "_blob _spans _lost lost_id lost_digest spans_ blob spans of_id found several i g k t a b x y s node digest first_id _i _id _n _d _g copied hs hot own runs start count file ids share row length piece".split()
+    rows = [(0, "plain words alone here"), (1, f"a b {item} c"), (2, "password=abcdefgh12345678 is here"), (3, "plain words alone here"), (4, None)]
+    docs = spark.createDataFrame([(*r, *(["v"] * len(extra))) for r in rows], "doc_id long, text string, " + ", ".join(f"{c} string" for c in extra))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        docs_out = stage(spark, docs, folder)
+        assert docs_out.columns == docs.columns, name
+        kept = {r["doc_id"]: r for r in docs_out.collect()}
+        assert all(r[c] == "v" for r in kept.values() for c in extra), name
+        assert set(kept) == {"near_dedup": {0, 1, 2, 4}, "decontamination": {0, 2, 3, 4}}.get(name, {0, 1, 2, 3, 4}), name
+        if name == "secrets":
+            assert kept[2]["text"] == "[secret] is here" and kept[4]["text"] is None
+    assert {r["doc_id"] for r in corpus_pipeline.STAGES[4][1](spark, docs, folder).collect()} == {0, 1, 2, 3, 4}

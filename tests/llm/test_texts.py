@@ -212,6 +212,68 @@ def test_secrets(spark, tmp_path):
     assert secret_ledger.scan_versions(docs.limit(0))[0].count() == 0
 
 
+def _by_hand(t):
+    """The base spans by the words of the contract, a character at a time where it says what a run is."""
+    out = []
+    for m in re.finditer(r"[0-9a-f]+", t):
+        if len(m[0]) >= 16:
+            out.append((m.start(), 2, f"hex:{m.start()}:{m.end()}"))
+    at = 0
+    while (at := t.find("AKIA", at)) >= 0:
+        end = at + 4
+        while end < len(t) and t[end] in "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789":
+            end += 1
+        if end - at > 4:
+            if end - at >= 18:
+                out.append((at, 1, f"access:{at}:{end}"))
+            at = end
+        else:
+            at += 1
+    at = 0
+    lower = "".join(c.lower() if c.isascii() else c for c in t)
+    while at < len(t):
+        word = next((w for w in ("password", "passwd", "secret", "token", "api_key", "apikey") if lower.startswith(w, at)), None)
+        end = at + len(word or "")
+        if word:
+            end += end < len(t) and t[end] in "\"'"
+            while end < len(t) and t[end] == " ":
+                end += 1
+            if end < len(t) and t[end] in ":=":
+                end += 1
+                while end < len(t) and t[end] == " ":
+                    end += 1
+                end += end < len(t) and t[end] in "\"'"
+                begin = end
+                while end < len(t) and t[end].isascii() and (t[end].isalnum() or t[end] in "+/_.=-"):
+                    end += 1
+                if end > begin:
+                    if end - begin >= 12:
+                        out.append((at, 0, f"assign:{at}:{end}"))
+                    at = end
+                    continue
+        at += 1
+    return ",".join(x for _, _, x in sorted(out))
+
+
+def test_spans_by_hand():
+    rng = random.Random(41)
+    alphabet = ["password", "PassWD", "secret", "api", "_", "key", "=", ":", " ", "  ", "\n", '"', "'", "AKIA", "AKI", "A1Z", "deadbeef", "0f", "x", "é", "tokEN", "abcdefghijkl", "-", "ſecret", "\u212Aey"]
+    texts = [t or "" for t in TEXTS] + ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(6000)]
+    found = [",".join(f"{k}:{a}:{b}" for k, a, b in secret_ledger.find(t)) for t in texts]
+    assert found == [_by_hand(t) for t in texts] and sum(map(bool, found)) > 300
+
+
+def test_second_delivery_scans_only_what_is_new(spark, tmp_path):
+    docs = spark.createDataFrame([(i, t, f"s{i % 3}") for i, t in enumerate(TEXTS * 3)], "doc_id long, text string, source string")
+    path = f"file://{tmp_path}/ledger"
+    first = secret_ledger.scan_unseen(docs.where("source = 's0'"), path)
+    before = {bytes(r["blob"]) for r in first.collect()}
+    found, ledger = secret_ledger.scan_versions(docs, path)
+    rows = [bytes(r["blob"]) for r in ledger.collect()]
+    assert len(rows) == len(set(rows)) == len({t or "" for t in TEXTS}) > len(before) > 0
+    assert sorted((r["doc_id"], r["spans"]) for r in secret_ledger.digest(found).collect()) == [(i, _by_hand(t or "")) for i, t in enumerate(TEXTS * 3)]
+
+
 def test_sieve_misses_nothing():
     rng = random.Random(1)
     alphabet = ["password", "API", "_", "key", "=", ":", " ", '"', "AKIA", "A1", "deadbeef", "0f", "x", "é", "tokEN", "abcdefghijkl"]
@@ -413,6 +475,50 @@ def test_near_copies_by_band_of_similarity(spark):
     assert sorted(r["doc_id"] for r in got.collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("small", [0, 8, 1000])
+def test_large_group_of_edited_copies(spark, small, monkeypatch):
+    """Copies of two texts with ever more edits, some near each other only by way of a third."""
+    from millrace.llm import prefix_join
+
+    monkeypatch.setattr(prefix_join.candidates, "__defaults__", (2, 2, small))
+    rng = random.Random(32)
+    rows = []
+    for base in ([f"w{rng.randint(0, 10**6)}" for _ in range(150)], [f"w{rng.randint(0, 10**6)}" for _ in range(60)]):
+        for _ in range(90):
+            c = list(base)
+            for k in rng.sample(range(len(c)), rng.randint(0, 9)):
+                c[k] = f"e{rng.randint(0, 10**6)}"
+            rows.append((len(rows), " ".join(c)))
+    sets = [t.split() for _, t in rows]
+    label = list(range(len(rows)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if _jaccard(sets[i], sets[j]) >= 0.8 - 1e-9:
+                a, b = root(i), root(j)
+                label[max(a, b)] = min(a, b)
+    kept = {r["doc_id"] for r in covering_simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {i for i in label if root(i) == i} and 10 < len(kept) < 150
+
+
+def test_bitmaps_bound_the_difference():
+    from millrace.llm import prefix_join
+
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64)) for n in (1, 3, 63, 64, 65, 90, 128, 129, 300)]
+    sets += [np.unique(np.concatenate([s[: len(s) * 9 // 10 + 1], rng.integers(0, 1 << 62, len(s) // 12 + 1, dtype=np.uint64)])) for s in sets]
+    maps = prefix_join.Bitmaps([prefix_join.bitmap(s) for s in sets])
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            if len(a) <= len(b) <= 1.25 * len(a):
+                assert maps.differ(np.array([i]), np.array([j]))[0] <= len(np.setxor1d(a, b))
+
+
 def test_keep_one_block_edits(spark):
     rng = random.Random(21)
     rows, want = [], []

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from millrace.llm import attribution, packing, patched_frames
+from millrace.llm import attribution, matroska, packing, patched_frames
 from millrace.llm.tokens import Encoder, default_path
 
 TEXTS = [None, "", "a", "two words", " lead", "trail ", "tab\there", "line\nline\n\nx", "é ñ 漢字 漢", "<|endoftext|> a", "long " * 3000, "wörd, then. " * 900, "two words", "x" * 5000, "\n", "a  b"]
@@ -145,6 +145,34 @@ def test_plan_uses_each_piece_once_and_few_bins():
             assert p.bins == _best(sizes, capacity)
 
 
+def test_reduction_by_sets_of_three(monkeypatch):
+    log = []
+    plain = packing.Plan.add
+    monkeypatch.setattr(packing.Plan, "add", lambda self, times, lengths, fixed=False: (log.append((times, lengths, fixed)), plain(self, times, lengths, fixed))[1])
+    rng = random.Random(33)
+    alone = three = 0
+    for _ in range(1500):
+        capacity, low = rng.choice((20, 50, 100)), rng.choice((0.12, 0.2, 0.26))
+        sizes = sorted((rng.randint(max(1, int(low * capacity)), int(0.7 * capacity)) for _ in range(rng.randint(3, 9))), reverse=True)
+        log.clear()
+        p, best = packing.plan(Counter(sizes), capacity), _best(sizes, capacity)
+        assert p.bins <= best + 1
+        if p.fixed == p.bins:
+            alone += 1
+            assert p.bins == best
+        # Whatever is fixed before best fit begins leaves an optimal packing of the rest.
+        rest, n = Counter(sizes), 0
+        for times, lengths, fixed in log:
+            if not fixed:
+                break
+            three += times * (len(lengths) == 3)
+            for _ in range(times):
+                rest -= Counter(lengths)
+                n += 1
+            assert n + (_best(sorted(rest.elements(), reverse=True), capacity) if rest else 0) == best
+    assert alone > 700 and three > 30, (alone, three)
+
+
 class _File(io.BytesIO):
     def size(self):
         return len(self.getvalue())
@@ -185,6 +213,103 @@ def test_files(spark, docs, tok):
     assert patched_frames.read(patched_frames.write(df.limit(0))).count() == 0
 
 
+def test_bounds():
+    b = patched_frames.Bounds([3, 7, 7, 7, 9])
+    assert b.files == 6
+    h = np.array([-(1 << 63), -1, 0, (1 << 63) - 1])
+    assert b.file(np.full(4, 2), h).tolist() == [0] * 4 and b.file(np.full(4, 3), h).tolist() == [1] * 4
+    assert b.file(np.full(4, 7), h).tolist() == [2, 3, 3, 4]
+    assert b.file(np.full(4, 8), h).tolist() == [4] * 4 and b.file(np.full(4, 9), h).tolist() == [5] * 4
+    assert patched_frames.Bounds([]).file(np.array([1, 2]), h[:2]).tolist() == [0, 0]
+    # whatever the ids, files ascend with (id, hash)
+    rng = np.random.default_rng(8)
+    for _ in range(50):
+        ids, hashes = rng.integers(-3, 4, 200), rng.integers(-(1 << 63), (1 << 63) - 1, 200)
+        bounds = patched_frames.Bounds(rng.choice(ids, rng.integers(0, 12)).tolist())
+        order = np.lexsort((hashes, ids))
+        file = bounds.file(ids, hashes)
+        assert (np.diff(file[order]) >= 0).all() and 0 <= file.min() and file.max() < bounds.files
+
+
+def test_files_of_one_hot_id(spark, tok):
+    """Most rows have no id: they fill several files, in the order of their texts' hashes."""
+    import xxhash
+
+    rng = random.Random(9)
+    rows = [(None if k % 3 else k - (1 << 60), " ".join(f"w{rng.randint(0, 99)}" for _ in range(rng.randint(0, 60)))) for k in range(900)]
+    rows += [(5, "one text"), (5, "another text"), (5, "one text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    manifest = patched_frames.write(df, per_file=1 << 12)
+    files = [r["docs"] for r in manifest.orderBy("file").collect()]
+    assert len(files) > 8 and max(files) < 300
+    signed = lambda t: (x := xxhash.xxh64_intdigest(t, seed=42)) - (x >> 63 << 64)
+    want, at = [], 0
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, signed(r[1]))):
+        ids = tok(t)
+        want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert sorted(map(tuple, patched_frames.read(manifest).collect()), key=lambda r: r[1]) == want
+
+
+def _sections(tok, text, ends, rule):
+    """Tokens by section, from the bytes of each token as the library spells them."""
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(default_path())
+    n = len(text.encode())
+    section = [sum(b >= e for e in ends) for b in range(n)]
+    out, at = [0.0] * len(ends), 0
+    for i in t.encode(text, add_special_tokens=False).ids:
+        mine = section[at : at + len(t.id_to_token(i))]
+        at += len(mine)
+        if rule == "first":
+            out[mine[0]] += 1
+        elif rule == "majority":
+            out[max(sorted(set(mine)), key=mine.count)] += 1
+        else:
+            for s in mine:
+                out[s] += 1 / len(mine)
+    assert at == n
+    return out
+
+
+@pytest.mark.parametrize("rule", ["first", "majority", "split"])
+def test_attribution_by_section(spark, tok, rule):
+    import re
+
+    rng = random.Random(12)
+    rows = []
+    for i in range(60):
+        a, b = ("".join(rng.choice(["word", " ", "\n", ".", "é漢", "inging", "  ", "123"]) for _ in range(rng.randint(0, 40))) for _ in range(2))
+        rows.append((i, a or None, b))
+    df = spark.createDataFrame(rows, "doc_id long, text string, title string")
+    got = defaultdict(dict)
+    for r in attribution.attribute(df, fields=("title", "text"), boundary="[\n.]|12", rule=rule).collect():
+        got[r["doc_id"]][r["section"]] = (r["field"], r["start"], r["end"], r["n_tokens"])
+    crossed = 0
+    for i, text, title in rows:
+        whole = (title + (text or "")).encode()
+        # A boundary is matched in the whole document; fields end sections too.
+        ends = sorted({m.end() for m in re.finditer(rb"[\n.]|12", whole)} | {len(title.encode()), len(whole)} - {0})
+        ends = [e for e in ends if e]
+        counts = _sections(tok, whole.decode(), ends, rule) if whole else []
+        assert sorted(got[i]) == list(range(len(ends)))
+        for s, (begin, end) in enumerate(zip([0, *ends], ends)):
+            field, a, b, n = got[i][s]
+            assert (a, b) == (len(whole[:begin].decode()), len(whole[:end].decode()))
+            assert field == ("title" if begin < len(title.encode()) else "text")
+            assert n == pytest.approx(counts[s])
+            crossed += n != int(n)
+    assert (crossed > 0) == (rule == "split")
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string")
+    assert attribution.attribute(none).count() == 0
+    assert matroska.media_features(none).count() == 0 and matroska.media(none).count() == 0
+    assert matroska.packets(spark.createDataFrame([], "id long, media binary"), "id", "media").count() == 0
+
+
 @pytest.mark.parametrize("rule", ["first", "majority", "split"])
 def test_attribution(spark, docs, tok, rule):
     from tokenizers import Tokenizer
