@@ -13,8 +13,9 @@ from ..sources.sinks import drain
 PERSON = "id long, name string, email string, credit_card string, city string, state string, date_time long, extra string"
 AUCTION = "id long, item_name string, description string, initial_bid long, reserve long, date_time long, expires long, seller long, category long, extra string"
 BID = "auction long, bidder long, price long, channel string, url string, date_time long, extra string"
-#: q3's states and category, the rate of q1 and the window of q3.
+# Fixed values of the public benchmark: q3's states and category, the rate of q1 and the window of q3.
 STATES, CATEGORY, RATE, WINDOW = ("OR", "ID", "CA"), 10, 0.91, "10 seconds"
+# Fixed values of the public benchmark: the generator's cities and their states.
 _CITIES = ("Phoenix", "Los Angeles", "San Francisco", "Boise", "Portland", "Bend", "Redmond", "Seattle", "Kent", "Cheyenne")
 _STATES = ("AZ", "CA", "CA", "ID", "OR", "OR", "WA", "WA", "WA", "WY")
 BASE_MS = 1_700_000_000_000
@@ -24,6 +25,17 @@ def _pick(values: Sequence[str], n):
     return F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(n, F.lit(len(values))) + 1).cast("int"))
 
 
+#: The salts of the generator's columns, and the prime and factor of its hash.
+SALTS = {c: 1_000_003 * (i + 1) for i, c in enumerate("abcknprsvw")}
+PRIME, FACTOR = (1 << 31) - 1, 48_271
+
+
+def number(column, salt: str):
+    """The square of a linear function of the row number, modulo a prime: as easily said in SQL."""
+    x = (F.col(column) * FACTOR + SALTS[salt]) % PRIME
+    return (x * x) % PRIME
+
+
 def counts(events: int, bids: int = 46, auctions: int = 3, persons: int = 1) -> dict[str, int]:
     """Events of each kind, in proportion."""
     total = bids + auctions + persons
@@ -33,7 +45,7 @@ def counts(events: int, bids: int = 46, auctions: int = 3, persons: int = 1) ->
 def generate(spark: SparkSession, events: int, bids: int = 46, auctions: int = 3, persons: int = 1, per_second: int = 10_000) -> dict[str, DataFrame]:
     """Tables person, auction and bid, from hashes of the row number: the same on any number of executors."""
     n = counts(events, bids, auctions, persons)
-    h = lambda salt: F.abs(F.xxhash64("id", F.lit(salt)) % 1_000_000_007)
+    h = lambda salt: number("id", salt)
     people, items = F.lit(max(1, n["person"])), F.lit(max(1, n["auction"]))
 
     def at(kind: str):
@@ -46,6 +58,19 @@ def generate(spark: SparkSession, events: int, bids: int = 46, auctions: int = 3
     return {"person": person, "auction": auction, "bid": bid}
 
 
+def sql(events: int, bids: int = 46, auctions: int = 3, persons: int = 1, per_second: int = 10_000) -> str:
+    """The columns that q1 and q3 read of the tables that `generate` makes, as common table expressions."""
+    n = counts(events, bids, auctions, persons)
+    h = lambda salt: f"(((id * {FACTOR} + {SALTS[salt]}) % {PRIME}) * ((id * {FACTOR} + {SALTS[salt]}) % {PRIME}) % {PRIME})"
+    at = lambda kind: f"{BASE_MS} + CAST(floor(id * 1000::DOUBLE * {events} / {max(1, n[kind]) * per_second}) AS BIGINT) AS date_time"
+    pick = lambda values, salt: f"[{', '.join(repr(v) for v in values)}][{h(salt)} % {len(values)} + 1]"
+    rows = lambda kind: f"FROM range({n[kind]}) AS r(id)"
+    people, items = max(1, n["person"]), max(1, n["auction"])
+    return f"""person AS (SELECT id, 'person ' || substr(md5(id || 'n'), 1, 16) AS name, {pick(_CITIES, "s")} AS city, {pick(_STATES, "s")} AS state, {at("person")} {rows("person")}),
+  auction AS (SELECT id, {h("w")} % {people} AS seller, {h("k")} % 5 + 10 AS category, {at("auction")} {rows("auction")}),
+  bid AS (SELECT {h("a")} % {items} AS auction, {h("p")} % {people} AS bidder, {h("v")} % 100000 + 1 AS price, {at("bid")} {rows("bid")})"""
+
+
 def read(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
     """Header-less CSV as `save` writes it."""
     return {n: spark.read.schema(s).csv(f"{folder}/{n}", header=False) for n, s in (("person", PERSON), ("auction", AUCTION), ("bid", BID))}
