@@ -17,10 +17,19 @@ def load_model(path: str, returns: str = "array<float>", output: int = 0) -> Cal
         import numpy as np
         import onnxruntime
 
-        session = onnxruntime.InferenceSession(path)
+        options = onnxruntime.SessionOptions()
+        options.intra_op_num_threads = options.inter_op_num_threads = 1  # a task has one core
+        session = onnxruntime.InferenceSession(path, options)
         name = session.get_inputs()[0].name
         for x in batches:
             made = session.run(None, {name: np.stack([np.asarray(v, np.float32) for v in x])})[output]
             yield pd.Series(list(made) if returns.startswith("array") else made.reshape(-1))
 
     return predict
+
+
+class Model:
+    """A model whose `predict` a program may call."""
+
+    def __init__(self, path: str, returns: str = "array<float>", output: int = 0):
+        self.predict = load_model(path, returns, output)

@@ -21,21 +21,19 @@ from ..functions import collections as C
 from ..functions import scalar, text, time
 from ..operators import windows
 from ..operators.aggregators import NAMED, Aggregator
+from . import imperative
+from .imperative import Fault
 from .syntax import parse
 
 
-class Fault(ValueError):
-    pass
-
-
 class Closure:
-    def __init__(self, params: list[str], body: tuple, scope: dict):
-        self.params, self.body, self.scope = params, body, scope
+    def __init__(self, params: list[str], body: tuple, scope: dict, returns: str | None = None):
+        self.params, self.body, self.scope, self.returns = params, body, scope, returns
 
 
 class Planner:
-    def __init__(self, tables: dict[str, DataFrame], functions: dict[str, Callable] | None = None, aggregators: dict[str, Aggregator] | None = None, sinks: dict[str, Callable] | None = None):
-        self.tables, self.functions = dict(tables), dict(functions or {})
+    def __init__(self, tables: dict[str, DataFrame], functions: dict[str, Callable] | None = None, aggregators: dict[str, Aggregator] | None = None, sinks: dict[str, Callable] | None = None, objects: dict | None = None):
+        self.tables, self.functions, self.objects = dict(tables), dict(functions or {}), dict(objects or {})
         self.aggregators, self.sinks = NAMED | (aggregators or {}), dict(sinks or {})
         self.globals: dict = {}
 
@@ -51,13 +49,13 @@ class Planner:
         if kind == "time":
             return F.lit(datetime.fromisoformat(e[1]).replace(tzinfo=timezone.utc))
         if kind == "name":
-            for known in (scope, self.globals, self.tables, self.aggregators):
+            for known in (scope, self.globals, self.tables, self.aggregators, self.objects):
                 if e[1] in known:
                     v = known[e[1]]
                     return self.value(v, {}) if isinstance(v, tuple) else v
             raise Fault(f"unknown name {e[1]}")
         if kind == "fun":
-            return Closure(e[1], e[2], dict(scope))
+            return Closure(e[1], e[2], dict(scope), e[3] if len(e) > 3 else None)
         if kind == "query":
             return self.query(e[1], scope)
         if kind == "binary":
@@ -132,6 +130,8 @@ class Planner:
         return default if out is None else out.otherwise(default)
 
     def apply(self, f, *args):
+        if isinstance(f, Closure) and imperative.imperative(f.body):
+            return imperative.as_column(("fun", f.params, f.body, f.returns), self.globals)(*args)
         if isinstance(f, Closure):
             return self.value(f.body, f.scope | dict(zip(f.params, args, strict=True)))
         return f(*args)
@@ -157,6 +157,8 @@ class Planner:
 
     def method(self, v, name: str, args: list[tuple], scope: dict):
         vals = [self.value(x, scope) for x in args]
+        if not isinstance(v, Column) and hasattr(v, name):
+            return getattr(v, name)(*vals)
         known: dict[str, Callable] = {
             "len": lambda: F.size(v), "length": lambda: F.length(v), "map": lambda f: F.transform(v, lambda x: self.apply(f, x)),
             "filter": lambda f: F.filter(v, lambda x: self.apply(f, x)), "sort": lambda: F.array_sort(v), "push": lambda x: C.push(v, x),
@@ -192,7 +194,7 @@ class Planner:
         if pattern[0] == "name":
             return scope | {pattern[1]: F.col(name)}
         for field, inner in pattern[1]:
-            scope = scope | {inner[1]: F.col(name)[field]} if inner[0] == "name" else self.bind(df, inner, f"{name}.{field}", scope)
+            scope = scope | {inner[1]: F.get(F.col(name), F.lit(field)) if isinstance(field, int) else F.col(name)[field]} if inner[0] == "name" else self.bind(df, inner, f"{name}.{field}", scope)
         return scope
 
     def as_variable(self, df: DataFrame, name: str) -> DataFrame:
@@ -243,9 +245,14 @@ class Planner:
                 other = self.value(clause[1], scope)
                 df = df.select(*names).unionByName(self.as_variable(other, names[0]))
             elif kind == "order":
-                if clause[3] is not None:  # by a comparator; the whole collection is one array
-                    raise Fault("order by comparator applies to arrays: use sort methods")
                 key = self.value(clause[1], scope)
+                if clause[3] is not None:  # a function's key, or a comparator: the collection is then one sorted array
+                    cmp = self.value(clause[3], scope)
+                    if isinstance(cmp, Closure) and len(cmp.params) == 2:
+                        df = self.compared(df, names, clause[1], cmp, clause[2])
+                        order = [F.col("_place").asc()]
+                        continue
+                    key = self.apply(cmp, key)
                 order = [key.desc() if clause[2] else key.asc()]
                 df = df.orderBy(*order)
             elif kind == "compute":
@@ -274,6 +281,15 @@ class Planner:
                 return df.where(~bad).select(v["ok"].alias("value")), df.where(bad).select(v["error"].alias("value"))
         return df.select(rolled) if rolled and names == [rolled] else self.result(df, names)
 
+    def compared(self, df: DataFrame, names: list[str], key: tuple, cmp: Closure, desc: bool) -> DataFrame:
+        """The rows in a comparator's order, which no range of keys follows: one array, sorted in one task, so that it must
+        fit there."""
+        row = lambda x: {n: x[n] for n in names}
+        value = lambda x: self.value(key, cmp.scope | row(x))
+        sign = lambda a, b: F.signum(self.apply(cmp, value(a), value(b)).cast("double")).cast("int") * (-1 if desc else 1)
+        rows = df.agg(F.collect_list(F.struct(*names)).alias("_rows")).select(F.posexplode(F.array_sort("_rows", sign)).alias("_place", "_row"))
+        return rows.select("_place", *[F.col("_row")[n].alias(n) for n in names]).orderBy("_place")
+
     def result(self, df: DataFrame, names: list[str]) -> DataFrame:
         if len(names) == 1:
             c = df.schema[names[0]].dataType
@@ -371,10 +387,17 @@ class Planner:
         return self.sinks[name](df, *[x[1] for _, x in e[2]] if e[0] == "call" else [])
 
 
-def run(query: str, tables: dict[str, DataFrame], functions: dict[str, Callable] | None = None, aggregators: dict[str, Aggregator] | None = None, sinks: dict[str, Callable] | None = None):
-    """The DataFrame of a program's final expression (a Column for a scalar one, what the sink gives after `into`)."""
-    planner = Planner(tables, functions, aggregators, sinks)
+def run(query: str, tables: dict[str, DataFrame], functions: dict[str, Callable] | None = None, aggregators: dict[str, Aggregator] | None = None, sinks: dict[str, Callable] | None = None, objects: dict | None = None):
+    """The DataFrame of a program's final expression (a Column for a scalar one, what the sink gives after `into`).
+
+    `objects` are values whose methods the program may call, such as models. Definitions with statements are evaluated
+    while planning; a final expression with statements gives its value."""
+    planner = Planner(tables, functions, aggregators, sinks, objects)
     defs, body = parse(query)
     for name, e in defs:
+        if e[0] != "fun" and imperative.imperative(e):
+            e = ("lit", imperative.evaluate(e, imperative.Scope(planner.globals)))
         planner.globals[name] = e
+    if imperative.imperative(body):
+        return imperative.evaluate(body, imperative.Scope(planner.globals))
     return planner.value(body, {})

@@ -144,3 +144,69 @@ def test_matrix_and_images(spark):
     px = lambda x: np.frombuffer(x["data"], np.uint8).reshape(x["height"], x["width"], 3)
     assert (px(r["c"]) == a[1:3, 1:3]).all() and (px(r["s"]) == a[::2, ::2]).all() and (px(r["b"]) == a).all() and (px(r["m"]) == a[1:3, 2:4]).all()
     assert (px(r["d"])[0] == 9).all() and (px(r["d"])[1, 1] == a[1, 1]).all() and bytes(r["p"]).startswith(b"P6 6 4 255\n")
+
+
+def test_loops(t):
+    assert run("var n = 0; val y = loop { n = n + 3; if n > 10 { break n; } }; y", t) is not None
+    made = _values(run("var n = 0; val y = loop { n = n + 3; if n > 10 { break n * 2; } }; val a = [y]; from x in a select x", t))
+    assert made == [24]
+    assert run("var n = 1; while n < 100 { n = n * 7; }", t) is None
+    fib = "def fib(k: i64): i64 { var a = 0; var b = 1; for i in 0..k { val c = a + b; a = b; b = c; } a }"
+    assert _values(run(f"{fib} val v = [0, 1, 7, 20]; from x in v select fib(x)", t)) == [0, 1, 13, 6765]
+    odd = "def odd_sum(v: Vec[i64]): i64 { var s = 0; for x in v { if x % 2 == 0 { continue; } if x > 9 { return s; } s = s + x; } s }"
+    assert _values(run(f"{odd} val v = [[1, 2, 3], [5, 11, 7], []]; from x in v select odd_sum(x)", t)) == [4, 5, 0]
+    steps = "def steps(x: i64): i32 { var n = x; var k = 0; while n != 1 { n = if n % 2 == 0 { n div2 } else { 3 * n + 1 }; k = k + 1; } k }".replace("n div2", "half(n)")
+    assert _values(run(f"def half(x) = floor(x / 2); {steps} val v = [1, 6, 27]; from x in v select steps(x)", t)) == [0, 8, 111]
+    with pytest.raises(Fault):
+        run("def f(x) { var y = x; y } from x in kv select f(x.k)", t)
+    for bad in ("def f(x): i64 { var y 2; y } 1", "def f(x): i64 { x x } 1", "loop { break"):
+        with pytest.raises(SyntaxFault):
+            parse(bad)
+
+
+def test_order_with_a_function(t):
+    assert _values(run("val a = [3,-5,1,4]; from x in a order x with fun(y) = y * y", t)) == [1, 3, 4, -5]
+    assert _values(run("val a = [3,-5,1,4]; from x in a order x with fun(p, q) = q - p", t)) == [4, 3, 1, -5]
+    assert _values(run("val b = [{k:2,v:9},{k:1,v:5},{k:3,v:7}]; from x in b order x.v with fun(p, q) = p - q desc", t)) == [(2, 9), (3, 7), (1, 5)]
+
+
+def _field(number: int, value) -> bytes:
+    """A protobuf field: an integer, or bytes with their length."""
+    vint = lambda n: bytes([n & 127 | 128]) + vint(n >> 7) if n > 127 else bytes([n])
+    if isinstance(value, int):
+        return vint(number << 3) + vint(value)
+    value = value.encode() if isinstance(value, str) else value
+    return vint(number << 3 | 2) + vint(len(value)) + value
+
+
+def _linear_model(weights) -> bytes:
+    """An ONNX model that multiplies rows of features by a column of weights."""
+    shape = lambda *d: b"".join(_field(1, _field(1, x) if isinstance(x, int) else _field(2, x)) for x in d)
+    typed = lambda name, *d: _field(1, name) + _field(2, _field(1, _field(1, 1) + _field(2, shape(*d))))
+    node = _field(1, "x") + _field(1, "w") + _field(2, "y") + _field(4, "MatMul")
+    tensor = _field(1, len(weights)) + _field(1, 1) + _field(2, 1) + _field(8, "w") + _field(9, np.array(weights, "<f4").tobytes())
+    graph = _field(1, node) + _field(2, "g") + _field(5, tensor) + _field(11, typed("x", "n", len(weights))) + _field(12, typed("y", "n", 1))
+    return _field(1, 8) + _field(7, graph) + _field(8, _field(1, "") + _field(2, 13))
+
+
+def test_delivery_price(spark, tmp_path):
+    """A stream's elements beside two static tables, features by lambdas, and a model's prediction."""
+    from millrace.functions.models import Model
+
+    path = tmp_path / "price.onnx"
+    path.write_bytes(_linear_model([2.0, 0.5, 10.0]))
+    at = lambda d: dt.datetime(2023, 5, d)
+    parcels = spark.createDataFrame([(7, [(1.5, "a"), (2.5, "b")], at(4), 1, 2), (8, [], at(5), 1, 2), (9, [(1.0, "c")], at(6), 2, 1)], "id long, items array<struct<mass:double,name:string>>, t timestamp, src_id long, dst_id long")
+    places = spark.createDataFrame([(1, 0.0, 0.0), (2, 3.0, 4.0)], "id long, lon double, lat double")
+    apart = lambda a, b: F.sqrt((a["lon"] - b["lon"]) ** 2 + (a["lat"] - b["lat"]) ** 2)
+    got = run(
+        """from r: Parcel in parcels
+        where fun(p) = p.items.len() > 0
+        join a0 in places on a0.id == r.src_id
+        join a1 in places on a1.id == r.dst_id
+        val features = [r.items.sum_by(_.mass), f32(r.t.day()), distance(a0, a1)]
+        val [price] = prices.predict(features)
+        select {id: r.id, price: price}""",
+        {"parcels": parcels, "places": places}, {"distance": apart}, objects={"prices": Model(str(path))},
+    )
+    assert sorted(map(tuple, got.collect())) == [(7, 2 * 4.0 + 2 + 50), (9, 2 * 1.0 + 3 + 50)]
