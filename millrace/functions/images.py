@@ -110,3 +110,38 @@ def to_ppm(image: Column) -> Column:
     """The bytes of a portable pixmap (three channels) or graymap (one)."""
     head = F.concat(F.when(image["channels"] == 1, "P5 ").otherwise("P6 "), image["width"].cast("string"), F.lit(" "), image["height"].cast("string"), F.lit(" 255\n"))
     return F.concat(F.encode(head, "UTF-8"), image["data"])
+
+
+def into_matrix_rgba(image: Column) -> Column:
+    """Four channels a pixel: one channel is taken three times, a missing alpha is 255."""
+
+    @F.pandas_udf("array<double>")
+    def values(x: pd.DataFrame) -> pd.Series:
+        out = []
+        for r in x.to_dict("records"):
+            a = _array(r).astype(float)
+            a = np.repeat(a, 3, axis=2) if a.shape[2] == 1 else a
+            a = a if a.shape[2] == 4 else np.concatenate([a, np.full((*a.shape[:2], 1), 255.0)], axis=2)
+            out.append(a.reshape(-1))
+        return pd.Series(out)
+
+    return F.struct(F.array(image["height"], image["width"], F.lit(4)).alias("shape"), values(image).alias("data"))
+
+
+def save(images: DataFrame, folder: str, name: str = "name", image: str = "image") -> DataFrame:
+    """Writes each image as a pixmap file below a folder that all executors reach; path and bytes of each."""
+
+    def write(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        where, root = fs.FileSystem.from_uri(folder)
+        where.create_dir(root, recursive=True)
+        for b in batches:
+            names, data = b.column("name").to_pylist(), b.column("data").to_pylist()
+            for n, raw in zip(names, data):
+                with where.open_output_stream(f"{root}/{n}.ppm") as f:
+                    f.write(raw)
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder.rstrip('/')}/{n}.ppm" for n in names]), pa.array([len(d) for d in data], pa.int64())], ["path", "bytes"])
+
+    return images.select(F.col(name).cast("string").alias("name"), to_ppm(F.col(image)).alias("data")).mapInArrow(write, "path string, bytes long")

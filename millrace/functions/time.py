@@ -89,3 +89,19 @@ def subtract(t: Column, d: Column) -> Column:
 def scale(t: Column, factor: Column) -> Column:
     """A time's distance from the epoch, multiplied."""
     return F.timestamp_micros((F.unix_micros(t) * factor).cast("long"))
+
+
+#: Microseconds of the units that durations are made from and taken in; nanoseconds are a thousandth.
+_IN = {"weeks": UNITS["w"], "days": UNITS["d"], "hours": UNITS["h"], "minutes": UNITS["m"], "seconds": UNITS["s"], "milliseconds": UNITS["ms"], "microseconds": UNITS["us"]}
+
+
+def duration_of(n: Column, unit: str) -> Column:
+    """A duration of n of a unit by name, such as minutes; nanoseconds are rounded down to microseconds."""
+    us = F.floor(n / 1000) if unit == "nanoseconds" else n * _IN[unit]
+    return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (us.cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)"))
+
+
+def duration_in(d: Column, unit: str) -> Column:
+    """The whole number of a unit in a duration, towards zero."""
+    us = duration_micros(d)
+    return us * 1000 if unit == "nanoseconds" else F.call_function("div", us, F.lit(_IN[unit]))

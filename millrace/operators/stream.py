@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import joins, windows
-from .aggregators import Aggregator
+from .aggregators import Aggregator, folded
 
 Columns = dict[str, Column]
 
@@ -91,6 +91,8 @@ class Stream:
 
     def aggregate(self, **results: tuple[Aggregator, Column]) -> DataFrame:
         t = F.col(self.time) if self.time in self.df.columns else None
+        if t is not None and self.keys and not self.df.isStreaming and all(a.monoid for a, _ in results.values()):
+            return folded(self.df, [F.col(k) for k in self.keys], results, t)
         made = [a.over(v, t).alias(n) for n, (a, v) in results.items()]
         return self.df.groupBy(*self.keys).agg(*made) if self.keys else self.df.agg(*made)
 

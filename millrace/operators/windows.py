@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .aggregators import Aggregator
+from .aggregators import Aggregator, folded
 
 
 @dataclass(frozen=True)
@@ -61,6 +61,9 @@ Assigner = Tumbling | Sliding | Session | Counting | Moving
 def aggregate(df: DataFrame, assigner: Assigner, aggregators: dict[str, tuple[Aggregator, Column]], keys: list[str] = (), time: str = "_t", tiebreak: list[str] = ()) -> DataFrame:
     """One row for each key and window: keys, `start`, `end` (count windows: `window`, `size`), results by name."""
     keys = list(keys)
+    if isinstance(assigner, Tumbling | Sliding) and not df.isStreaming and all(a.monoid for a, _ in aggregators.values()):
+        out = folded(df, [*keys, assigner.column(F.col(time)).alias("_w")], aggregators, F.col(time))
+        return out.select(*keys, F.col("_w.start").alias("start"), F.col("_w.end").alias("end"), *aggregators)
     if isinstance(assigner, Tumbling | Sliding | Session):
         made = [a.over(v, F.col(time)).alias(n) for n, (a, v) in aggregators.items()]
         out = df.groupBy(*keys, assigner.column(F.col(time)).alias("_w")).agg(*made)

@@ -18,6 +18,8 @@ from ..streaming import stateful
 from . import comprehension, nexmark
 
 QUERIES, ORACLES = {}, {}
+#: The day of an event, in SQL.
+_DAY = "epoch_us(ts) // 86400000000"
 
 
 class Tables:
@@ -258,6 +260,23 @@ def agg_incremental(t):
     return _events(t).keyby(user_id=F.col("user_id")).aggregate(mean=(mean, _cents("value")))
 
 
+@query(f"SELECT user_id, make_timestamp({_DAY} * 86400000000) AS start, string_agg(event_id, '-' ORDER BY ts, event_id) AS ids FROM events GROUP BY user_id, {_DAY}")
+def window_custom_monoid(t):
+    """A monoid that does not commute: ids in event-time order, folded part by part."""
+    joined = A.incremental(lambda x: x, lambda a, b: F.concat(a, F.lit("-"), b))
+    e = Stream(t("events").select("event_id", F.col("ts").alias("_t"), "user_id")).keyby(user_id=F.col("user_id"))
+    return _naive(e.window(windows.Tumbling("1 day"), ids=(joined, F.col("event_id").cast("string"))).df.drop("end"))
+
+
+@query("SELECT event_type, string_agg(event_id, '-' ORDER BY ts, event_id) AS ids, max(value) AS hi FROM events GROUP BY event_type")
+def agg_hot_keys(t):
+    """Few keys with very many values each: no task holds a key's values, only a state for each minute."""
+    joined = A.incremental(lambda x: F.struct(x["id"].alias("ids"), x["v"].alias("hi")), lambda a, b: F.struct(F.concat(a["ids"], F.lit("-"), b["ids"]).alias("ids"), F.greatest(a["hi"], b["hi"]).alias("hi")))
+    e = _events(t).keyby(event_type=F.col("event_type"))
+    out = e.aggregate(x=(joined, F.struct(F.col("event_id").cast("string").alias("id"), F.col("value").alias("v"))))
+    return out.select("event_type", "x.ids", "x.hi")
+
+
 @query("SELECT user_id, median(value) AS median FROM events GROUP BY user_id")
 def agg_holistic_median(t):
     return _events(t).keyby(user_id=F.col("user_id")).aggregate(median=(A.median, F.col("value")))
@@ -303,7 +322,6 @@ def roll_average(t):
 
 
 # ---- windows ----
-_DAY = "epoch_us(ts) // 86400000000"
 
 
 @query(f"SELECT user_id, make_timestamp({_DAY} * 86400000000) AS start, make_timestamp(({_DAY} + 1) * 86400000000) AS \"end\", count(*) AS n, sum(CAST(round(value * 100) AS BIGINT))::BIGINT AS cents FROM events GROUP BY ALL")
@@ -611,3 +629,61 @@ _comprehend("order_roll", "SELECT sum(n_regionkey) OVER (ORDER BY n_nationkey RO
 _comprehend("union", "SELECT n_regionkey AS k FROM nation UNION ALL SELECT n_regionkey FROM nation", "from n in nation union nation select {k: n.n_regionkey}", "nation")
 _comprehend("with_if", "SELECT n_nationkey AS k, CASE WHEN n_nationkey * 2 > 10 THEN 'big' ELSE 'small' END AS size FROM nation", 'def double(x) = x * 2; from n in nation with y = double(n.n_nationkey) select {k: n.n_nationkey, size: if y > 10 { "big" } else { "small" }}', "nation")
 _comprehend("match", "SELECT n_nationkey AS k, CASE WHEN n_regionkey IN (0, 1) THEN 'a' WHEN n_regionkey = 2 THEN 'b' ELSE 'c' END AS part FROM nation", 'from n in nation select {k: n.n_nationkey, part: match n.n_regionkey { 0 | 1 => "a", 2 => "b", _ => "c" }}', "nation")
+_comprehend("join_window", "SELECT a.event_id AS a, b.event_id AS b FROM events a JOIN events b ON a.user_id = b.user_id AND epoch_us(a.ts) // 86400000000 = epoch_us(b.ts) // 86400000000 WHERE a.event_type = 'click' AND b.event_type = 'purchase'", 'from a in events join b in events on a.user_id == b.user_id window 1d on a.ts, b.ts where a.event_type == "click" and b.event_type == "purchase" select {a: a.event_id, b: b.event_id}', "events")
+_comprehend("loops", "SELECT n_nationkey AS k, ((n_nationkey + 1) // 2) * ((n_nationkey + 1) // 2) AS odds FROM nation", "def odds(n: i64): i64 { var s = 0; for i in 1..=n { if i % 2 == 0 { continue; } s = s + i; } s } from n in nation select {k: n.n_nationkey, odds: odds(n.n_nationkey)}", "nation")
+_comprehend("append", "SELECT o_orderkey AS id, o_orderstatus || '-' || o_orderpriority AS tag FROM orders", 'from o in orders select {id: o.o_orderkey, tag: o.o_orderstatus ++ "-" ++ o.o_orderpriority}', "orders")
+_comprehend("order_comparator", "SELECT n_nationkey AS k, n_name AS name FROM nation", "from n in nation order n.n_regionkey with fun(a, b) = b - a select {k: n.n_nationkey, name: n.n_name}", "nation")
+
+
+@query("SELECT o_orderkey AS id, o_totalprice AS price FROM orders WHERE o_totalprice > 200000")
+def comprehension_into(t):
+    from ..session import shared_folder
+
+    path = shared_folder(t.spark, "into")
+    keep = lambda df: sinks.run(sinks.sink(df, sinks.FileOut(path), readers.Json()))
+    comprehension.run("from o in orders where o.o_totalprice > 200000.0 select {id: o.o_orderkey, price: o.o_totalprice} into keep", {"orders": t("orders")}, sinks={"keep": keep})
+    return readers.source(t.spark, readers.File(path), readers.Json(), "id long, price double")
+
+
+# ---- unions and time ----
+@query("SELECT k, count(*) AS n FROM (SELECT user_id AS k FROM events WHERE event_type = 'click' UNION ALL SELECT user_id FROM events WHERE value > 50) GROUP BY k")
+def keyed_merge(t):
+    e = _events(t).keyby(k=F.col("user_id"))
+    both = e.filter(F.col("event_type") == "click").merge(e.filter(F.col("value") > 50))
+    return both.aggregate(n=(A.count, F.lit(1)))
+
+
+@query("SELECT event_id FROM events WHERE event_type = 'click' UNION ALL SELECT event_id FROM events WHERE event_type = 'purchase'")
+def dataflow_merge(t):
+    """Two dataflows run as one, into one folder."""
+    from ..session import shared_folder
+
+    path = shared_folder(t.spark, "merged")
+    flows = [sinks.sink(t("events").where(F.col("event_type") == k).select("event_id"), sinks.FileOut(path), readers.Json()) for k in ("click", "purchase")]
+    sinks.run(sinks.merge(*flows))
+    return readers.source(t.spark, readers.File(path), readers.Json(), "event_id long")
+
+
+@query("SELECT event_id, true AS stamped FROM events")
+def ingestion_time(t):
+    return eventtime.ingestion(t("events")).select("event_id", (F.col("_t") > F.timestamp_seconds(F.lit(0))).alias("stamped"))
+
+
+@query(f"""SELECT user_id, make_timestamp({_DAY} * 86400000000) AS start, count(*) AS n FROM (SELECT user_id, ts FROM events WHERE event_type = 'click' UNION ALL SELECT user_id, ts FROM events WHERE event_type = 'purchase')
+GROUP BY user_id, {_DAY} HAVING make_timestamp(({_DAY} + 1) * 86400000000) <= (SELECT min(m) FROM (SELECT max(ts) - INTERVAL 3 DAY AS m FROM events WHERE event_type IN ('click', 'purchase') GROUP BY event_type))""")
+def stream_least_watermark(t):
+    """Of two streams' watermarks the least counts."""
+    a, b = (t.live("events").where(F.col("event_type") == k).select("event_id", F.col("ts").cast("timestamp").alias("_t"), "user_id").withWatermark("_t", "3 days") for k in ("click", "purchase"))
+    return _naive(t.settle(Stream(a).merge(Stream(b)).keyby(user_id=F.col("user_id")).window(windows.Tumbling("1 day"), n=(A.count, F.lit(1))).df).drop("end"))
+
+
+@query("SELECT user_id, epoch_us(ts) // 1000 + 3600000 AS at FROM events WHERE epoch_us(ts) // 1000 + 3600000 <= (SELECT max(epoch_us(ts)) // 1000 - 259200000 FROM events) GROUP BY ALL")
+def stream_timers(t):
+    """A timer an hour after each event, as far as the watermark comes."""
+    return t.settle(stateful.after(_live(t), ["user_id"], "_t", 3_600_000, "at long", lambda key, at: (at,)))
+
+
+@query("SELECT event_id, (epoch_us(ts) - 1640995200000000) // 60000000 AS minutes, (epoch_us(ts) - 1640995200000000) // 86400000000 AS days, (epoch_us(ts) - 1640995200000000) // 1000 AS ms, event_id * 60 AS d FROM events")
+def duration_functions(t):
+    since = F.col("ts").cast("timestamp") - F.timestamp_seconds(F.lit(1_640_995_200))
+    return t("events").select("event_id", *[time.duration_in(since, u).alias(n) for u, n in (("minutes", "minutes"), ("days", "days"), ("milliseconds", "ms"))], time.duration_in(time.duration_of(F.col("event_id"), "minutes"), "seconds").alias("d"))

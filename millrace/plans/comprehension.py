@@ -149,6 +149,8 @@ class Planner:
             return self.functions[name](*vals)
         if name in scalar.MATH:
             return scalar.MATH[name](*vals)
+        if name == "typeof":
+            return F.typeof(*vals)
         if name in ("i8", "i16", "i32", "i64", "f32", "f64", "u8", "u16", "u32"):
             from ..types import checked
 
@@ -302,7 +304,7 @@ class Planner:
             raise Fault("a join's window needs `on` with both times")
         us = {"microseconds": 1, "milliseconds": 10**3, "seconds": 10**6, "minutes": 6 * 10**7, "hours": 36 * 10**8, "days": 864 * 10**8, "weeks": 6048 * 10**8}
         size, unit = self._interval(w if w[0] == "dur" else w[2][0][1]).split()
-        a, b = (time.div_floor(self.value(t, scope), int(size) * us[unit]) for t in times)
+        a, b = (time.div_floor(self.value(t, scope).cast("timestamp"), int(size) * us[unit]) for t in times)
         return a == b
 
     def aggregate(self, clause: tuple, scope: dict, names: list[str], at: Column | None) -> Column:

@@ -85,12 +85,26 @@ def _send(host: str, port: int) -> Callable:
     return send
 
 
+#: Bytes of lines in one HTTP request, about.
+POST_BYTES = 1 << 20
+
+
 def _post(url: str) -> Callable:
     def post(rows) -> None:
         from urllib.request import Request, urlopen
 
-        if body := "".join(r["value"] + "\n" for r in rows).encode():
-            urlopen(Request(url, body, {"Content-Type": "text/plain"})).close()
+        def request(lines: list[bytes]) -> None:
+            if lines:
+                urlopen(Request(url, b"".join(lines), {"Content-Type": "text/plain"})).close()
+
+        held, size = [], 0
+        for r in rows:
+            held.append((r["value"] + "\n").encode())
+            size += len(held[-1])
+            if size >= POST_BYTES:
+                request(held)
+                held, size = [], 0
+        request(held)
 
     return post
 

@@ -104,7 +104,7 @@ class _Timer(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for t in _batch(rows, self.names)[self.time].tolist():
-            self.handle.registerTimer(int(t.timestamp() * 1000) + self.after_ms)
+            self.handle.registerTimer(t.value // 1_000_000 + self.after_ms)
         yield pd.DataFrame([], columns=self.columns)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
