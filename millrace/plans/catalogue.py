@@ -677,6 +677,18 @@ def stream_least_watermark(t):
     return _naive(t.settle(Stream(a).merge(Stream(b)).keyby(user_id=F.col("user_id")).window(windows.Tumbling("1 day"), n=(A.count, F.lit(1))).df).drop("end"))
 
 
+@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n, event_id - coalesce(lag(event_id) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id), 0) AS gap FROM events")
+def stream_keyed_state(t):
+    """Of each user's events, by their type: how many there were, and how far the last one's number lies back."""
+
+    def step(state, row):
+        n, last = state[(row["event_type"],)]
+        state[(row["event_type"],)] = (n + 1, row["event_id"])
+        return [(row["event_id"], n + 1, row["event_id"] - last)]
+
+    return t.settle(stateful.keyed(_live(t), ["user_id"], ["_t", "event_id"], "event_type string", "n long, last long", (0, 0), "event_id long, n long, gap long", step))
+
+
 @query("SELECT user_id, epoch_us(ts) // 1000 + 3600000 AS at FROM events WHERE epoch_us(ts) // 1000 + 3600000 <= (SELECT max(epoch_us(ts)) // 1000 - 259200000 FROM events) GROUP BY ALL")
 def stream_timers(t):
     """A timer an hour after each event, as far as the watermark comes."""

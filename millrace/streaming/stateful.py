@@ -50,6 +50,59 @@ def scan(df: DataFrame, keys: list[str], order: list[str], state: str, init: tup
     return df.groupBy(*keys).transformWithStateInPandas(statefulProcessor=p, outputStructType=schema, outputMode="Append", timeMode="None")
 
 
+class Cells:
+    """`state[key]` of one grouping key: cells by an inner key, each `default` until it is set."""
+
+    def __init__(self, held, default: tuple):
+        self.held, self.default, self.seen, self.changed = held, default, {}, set()
+
+    def __getitem__(self, key: tuple) -> tuple:
+        if key not in self.seen:
+            self.seen[key] = tuple(self.held.getValue(key)) if self.held.containsKey(key) else self.default
+        return self.seen[key]
+
+    def __setitem__(self, key: tuple, value: tuple) -> None:
+        self.seen[key] = value
+        self.changed.add(key)
+
+    def __delitem__(self, key: tuple) -> None:
+        self[key] = self.default
+
+    def store(self) -> None:
+        for key in self.changed:
+            if self.seen[key] != self.default:
+                self.held.updateValue(key, self.seen[key])
+            elif self.held.containsKey(key):
+                self.held.removeKey(key)
+
+
+class _Keyed(StatefulProcessor):
+    def __init__(self, names: list[str], cell_key: str, cell: str, default: tuple, step: Callable, order: list[str], columns: list[str]):
+        self.names, self.cell_key, self.cell, self.default = names, cell_key, cell, default
+        self.step, self.order, self.columns = step, order, columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.held = handle.getMapState("cells", self.cell_key, self.cell)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        cells, out = Cells(self.held, self.default), []
+        for r in _batch(rows, self.names).sort_values(self.order, kind="stable").to_dict("records"):
+            out += [(*key, *made) for made in self.step(cells, r)]
+        cells.store()
+        yield pd.DataFrame(out, columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+def keyed(df: DataFrame, keys: list[str], order: list[str], cell_key: str, cell: str, default: tuple, output: str, step: Callable[[Cells, dict], list[tuple]]) -> DataFrame:
+    """A processor with `state[key]`: for each row `step(state, row)` reads and sets cells and gives rows of `output`, which
+    come with the keys. `cell_key` and `cell` are the schemas of the inner keys and of the cells; both are tuples."""
+    schema = StructType([*[df.schema[k] for k in keys], *_parse_datatype_string(output).fields])
+    p = _Keyed(df.columns, cell_key, cell, default, step, order, schema.fieldNames())
+    return df.groupBy(*keys).transformWithStateInPandas(statefulProcessor=p, outputStructType=schema, outputMode="Append", timeMode="None")
+
+
 class _Counted(StatefulProcessor):
     def __init__(self, names: list[str], length: int, step: int, value: str, kind: str, compute: Callable, order: list[str], columns: list[str]):
         self.names, self.length, self.step, self.value, self.kind = names, length, step, value, kind
