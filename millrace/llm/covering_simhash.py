@@ -209,7 +209,7 @@ def _verified(source: DataFrame, unique: DataFrame, pairs: DataFrame, words: int
     return out
 
 
-def near_pairs(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 4, count: int = 3, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+def near_pairs(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 4, count: int = 3, id_col: str = "doc_id", text_col: str = "text", frequent: int = prefix_join.HOT, small: int = prefix_join.SMALL) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, texts, links). rows: doc_id and digest of each row with an id; texts: digest, least doc_id and node of each
     different text; links: pairs (a, b) of nodes with that similarity of their distinct shingles (Jaccard), lower-cased.
 
@@ -235,17 +235,17 @@ def near_pairs(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius:
     labels = stored(components(real), "near-labels")
     nodes = unique.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("doc_id", "digest", "node", F.coalesce("label", "node").alias("label"))
     lower = source.withColumn("text", F.lower("text"))
-    more = prefix_join.candidates(lower, stored(nodes, "labelled"), words, similarity)
+    more = prefix_join.candidates(lower, stored(nodes, "labelled"), words, similarity, frequent, small=small)
     return signed.select("doc_id", "digest"), unique.select("digest", "doc_id", "node"), real.unionByName(_verified(source, unique, more, words, similarity))
 
 
-def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 4, count: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 4, count: int = 3, id_col: str = "doc_id", text_col: str = "text", frequent: int = prefix_join.HOT, small: int = prefix_join.SMALL) -> DataFrame:
     """`docs` without all but the least id of each group of near copies (`near_pairs`, and copies of copies); all columns stay.
 
     Each row is judged by its own text: of rows with one id and different texts one may stay and the other go, the
     smaller digest being the first. Equal rows are one document and stay or go together. Rows with a null id are outside:
     they stay, and nothing goes for their sake. Texts without words are copies of each other."""
-    signed, unique, edges = near_pairs(docs, words, similarity, radius, count, id_col, text_col)
+    signed, unique, edges = near_pairs(docs, words, similarity, radius, count, id_col, text_col, frequent, small)
     labels = stored(components(edges), "labels")
     group = stored(unique.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("doc_id", "digest", F.coalesce("label", "node").alias("label")), "grouped")
     first = group.groupBy("label").agg(F.min(F.struct("doc_id", "digest")).alias("first"))

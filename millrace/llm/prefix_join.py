@@ -28,8 +28,9 @@ from .exchange import dealt, expand, squeeze
 
 #: Texts under a shingle from which it goes to the end of the order, slots of the order's table, times it is refined.
 HOT, RANKS, ROUNDS = 32, 1 << 22, 2
-#: Texts under a shingle up to which bitmaps are not asked for.
-SMALL = 8
+#: Texts under a shingle up to which bitmaps are not asked for, and from which they are compared in several tasks: block
+#: against block of this many.
+SMALL, PART = 8, 1024
 
 
 def _shingles(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[Chunk, list[np.ndarray]]]:
@@ -118,9 +119,11 @@ class Bitmaps:
         return out
 
 
-def _pairs(ids, n, at, label, similarity: float, bits: list[bytes] | None = None, block: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a bucket that differ in label and whose overlap can reach the threshold if this shingle is their first."""
+def _pairs(ids, n, at, label, similarity: float, bits: list[bytes] | None = None, side: np.ndarray | None = None, block: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a bucket that differ in label and whose overlap can reach the threshold if this shingle is their first. Of a
+    cell with two sides only pairs across."""
     order = np.lexsort((ids, n))
+    across = side[order] if side is not None and side.any() else None
     ids, n, at, label = ids[order], n[order], at[order], label[order]
     maps = Bitmaps([bits[i] for i in order.tolist()]) if bits else None
     # Of a larger set of m, a smaller one needs ceil(m * similarity).
@@ -136,6 +139,9 @@ def _pairs(ids, n, at, label, similarity: float, bits: list[bytes] | None = None
         can = (y > x[:, None]) & (y < ends[x][:, None]) & (label[x][:, None] != label[y])
         can &= np.minimum((n[x] - at[x])[:, None], n[y] - at[y]) >= need
         i, j = np.nonzero(can)
+        if across is not None:
+            apart = across[x[i]] != across[y[j]]
+            i, j = i[apart], j[apart]
         if maps and len(i):
             ok = maps.differ(x[i], y[j]) <= n[x[i]] + n[y[j]] - 2 * need[i, j]
             i, j = i[ok], j[ok]
@@ -167,8 +173,9 @@ class _Emitter:
 
 def _met(batches: Iterator[pa.RecordBatch], shard_bits: int, similarity: float, small: int) -> Iterator[pa.RecordBatch]:
     """Of a shard's postings the pairs x, y under shingles of few texts; under the others the texts x at their places y, the
-    shingle being `bucket`."""
-    schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("bucket", pa.int64())])
+    shingle being `bucket`. A bucket of several blocks has a cell for each pair of them, on whose sides they stand."""
+    schema = pa.schema([("x", pa.int64()), ("y", pa.int64()), ("bucket", pa.int64()), ("cell", pa.int32()), ("side", pa.int8())])
+    nothing = lambda n: [pa.nulls(n, f.type) for f in schema][2:]
     shards, rows = [], []
     for b in batches:
         for shard, x in zip(b.column("shard").to_pylist(), b.column("packed")):
@@ -194,10 +201,18 @@ def _met(batches: Iterator[pa.RecordBatch], shard_bits: int, similarity: float,
         for a, b in _pairs(node[s:e], n[s:e], at[s:e], label[s:e], similarity):
             out.add(a, b)
     for x, y in out.take():
-        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.nulls(len(x), pa.int64())], schema=schema)
-    large = np.repeat((sizes > small) & mixed, sizes)
-    if large.any():
-        yield pa.RecordBatch.from_arrays([pa.array(node[large]), pa.array(at[large]), pa.array(h[large])], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), *nothing(len(x))], schema=schema)
+    whole = np.flatnonzero(np.repeat((sizes > small) & (sizes <= PART) & mixed, sizes))
+    if len(whole):
+        yield pa.RecordBatch.from_arrays([pa.array(node[whole]), pa.array(at[whole]), pa.array(h[whole]), *(pa.array(np.zeros(len(whole), k)) for k in (np.int32, np.int8))], schema=schema)
+    for i in np.flatnonzero((sizes > max(small, PART)) & mixed).tolist():
+        blocks = -(-sizes[i] // PART)
+        members = np.arange(cuts[i], cuts[i + 1])
+        own = np.arange(len(members)) % blocks
+        for other in range(blocks):
+            # Each block beside each: the lower one is the cell's first side.
+            cell, side = np.minimum(own, other) * blocks + np.maximum(own, other), (own > other).astype(np.int8)
+            yield pa.RecordBatch.from_arrays([pa.array(node[members]), pa.array(at[members]), pa.array(h[members]), pa.array(cell.astype(np.int32)), pa.array(side)], schema=schema)
 
 
 def _compared(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
@@ -205,14 +220,14 @@ def _compared(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[
     held = [b for b in batches if b.num_rows]
     if not held:
         return
-    h, node, label, n, at = (np.concatenate([b.column(c).to_numpy().astype(np.int64) for b in held]) for c in ("bucket", "node", "label", "n", "at"))
+    h, cell, side, node, label, n, at = (np.concatenate([b.column(c).to_numpy().astype(np.int64) for b in held]) for c in ("bucket", "cell", "side", "node", "label", "n", "at"))
     bits = [x for b in held for x in b.column("bits").to_pylist()]
-    o = np.argsort(h, kind="stable")
-    cuts = np.flatnonzero(np.concatenate([[True], h[o][1:] != h[o][:-1], [True]])).tolist()
+    o = np.lexsort((cell, h))
+    cuts = np.flatnonzero(np.concatenate([[True], (h[o][1:] != h[o][:-1]) | (cell[o][1:] != cell[o][:-1]), [True]])).tolist()
     out = _Emitter()
     for s, e in zip(cuts, cuts[1:]):
         i = o[s:e]
-        for a, b in _pairs(node[i], n[i], at[i], label[i], similarity, [bits[k] for k in i.tolist()]):
+        for a, b in _pairs(node[i], n[i], at[i], label[i], similarity, [bits[k] for k in i.tolist()], side[i]):
             out.add(a, b)
         for x, y in out.take(1 << 20):
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
@@ -247,10 +262,10 @@ def candidates(source: DataFrame, nodes: DataFrame, words: int, similarity: floa
     made = source.mapInArrow(prefixes, "doc_id long, digest binary, n int, hs binary, bits binary")
     nodes = nodes.select(F.col("doc_id").alias("_i"), F.col("digest").alias("_g"), "node", "label")
     sketches = stored(made.join(nodes.hint("shuffle_hash"), (F.col("doc_id") == F.col("_i")) & (F.col("digest") == F.col("_g"))).select("node", "label", "n", "hs", "bits"), "sketches")
-    met = stored(by_shard(sketches.select("node", "label", "n", "hs").mapInArrow(deal, "shard int, packed binary"), n).mapInArrow(lambda it: _met(it, shard_bits, similarity, small), "x long, y long, bucket long"), "met")
-    large = met.where("bucket is not null").select("bucket", F.col("x").alias("_n"), F.col("y").cast("int").alias("at"))
+    met = stored(by_shard(sketches.select("node", "label", "n", "hs").mapInArrow(deal, "shard int, packed binary"), n).mapInArrow(lambda it: _met(it, shard_bits, similarity, small), "x long, y long, bucket long, cell int, side byte"), "met")
+    large = met.where("bucket is not null").select("bucket", "cell", "side", F.col("x").alias("_n"), F.col("y").cast("int").alias("at"))
     known = sketches.select("node", "label", "n", "bits").dropDuplicates(["node"])
-    large = large.join(known, F.col("_n") == F.col("node")).select(F.pmod(F.xxhash64("bucket"), F.lit(n)).cast("int").alias("shard"), "bucket", "node", "label", "n", "at", "bits")
+    large = large.join(known, F.col("_n") == F.col("node")).select(F.pmod(F.xxhash64("bucket", "cell"), F.lit(n)).cast("int").alias("shard"), "bucket", "cell", "side", "node", "label", "n", "at", "bits")
     filtered = by_shard(large, n).mapInArrow(lambda it: _compared(it, similarity), "x long, y long")
     out = stored(met.where("bucket is null").select("x", "y").unionByName(filtered).distinct(), "prefix-pairs")
     release(sketches, met)

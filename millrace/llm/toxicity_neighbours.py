@@ -185,7 +185,7 @@ class Index:
 
 
 def build(rows: list[tuple], terms: np.ndarray, relevance: np.ndarray | None = None, base: float | None = None) -> Index:
-    """From examples as (id, toxic, places of terms, counts)."""
+    """From examples as (id, toxic, places of terms, counts), and the key of their text if it is known."""
     n = max(1, len(rows))
     sizes = np.array([len(r[2]) for r in rows], np.int64)
     term = np.concatenate([np.asarray(r[2], np.int64) for r in rows] or [np.empty(0, np.int64)])
@@ -210,7 +210,11 @@ def build(rows: list[tuple], terms: np.ndarray, relevance: np.ndarray | None = N
     toxic = np.array([rows[i][1] for i in placed], float)
     if base is None:
         base = float(toxic.mean()) if len(toxic) else 0.0
-    return Index(terms, weight, np.bincount(term, minlength=len(terms)), example[order], count[order], toxic, np.array([rows[i][0] for i in placed], np.int64), base)
+    index = Index(terms, weight, np.bincount(term, minlength=len(terms)), example[order], count[order], toxic, np.array([rows[i][0] for i in placed], np.int64), base)
+    for e, i in enumerate(placed.tolist()):
+        for key in rows[i][4:]:
+            index.own.setdefault(key, []).append(e)
+    return index
 
 
 def relevance(df: np.ndarray, ones: np.ndarray, n: int, n1: int) -> np.ndarray:
@@ -284,12 +288,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     place = place.astype(np.int32)
     df, ones = np.bincount(place, minlength=len(terms)), np.bincount(place, np.repeat(y, sizes) if len(y) else None, len(terms))
     cuts = np.concatenate([[0], np.cumsum(sizes)])
-    rows = [(i, int(t), place[a:b], count) for (i, _), t, a, b, (_, count) in zip(keys, y, cuts, cuts[1:], bags)]
+    rows = [(i, int(t), place[a:b], count, key) for (i, key), t, a, b, (_, count) in zip(keys, y, cuts, cuts[1:], bags)]
     total = sum(labelled.values())
     index = build(rows, terms, relevance(df, ones, len(y), int(y.sum())) if len(y) else None, labelled.get(1, 0) / total if len(y) else 0.0)
-    at = {i: e for e, i in enumerate(index.ids.tolist())}
-    for i, key in keys:
-        index.own.setdefault(key, []).append(at[i])
     del bags, place, rows
     plain = Model(docs.sparkSession.sparkContext.broadcast(index), (np.array([0.0, 1.0]), np.array([0.0, 1.0])))
     if len(set(y.tolist())) < 2:

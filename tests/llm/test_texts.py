@@ -476,11 +476,8 @@ def test_near_copies_by_band_of_similarity(spark):
 
 
 @pytest.mark.parametrize("small", [0, 8, 1000])
-def test_large_group_of_edited_copies(spark, small, monkeypatch):
+def test_large_group_of_edited_copies(spark, small):
     """Copies of two texts with ever more edits, some near each other only by way of a third."""
-    from millrace.llm import prefix_join
-
-    monkeypatch.setattr(prefix_join.candidates, "__defaults__", (2, 2, small))
     rng = random.Random(32)
     rows = []
     for base in ([f"w{rng.randint(0, 10**6)}" for _ in range(150)], [f"w{rng.randint(0, 10**6)}" for _ in range(60)]):
@@ -502,10 +499,31 @@ def test_large_group_of_edited_copies(spark, small, monkeypatch):
             if _jaccard(sets[i], sets[j]) >= 0.8 - 1e-9:
                 a, b = root(i), root(j)
                 label[max(a, b)] = min(a, b)
-    kept = {r["doc_id"] for r in covering_simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kept = {r["doc_id"] for r in covering_simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), frequent=2, small=small).collect()}
     assert kept == {i for i in label if root(i) == i} and 10 < len(kept) < 150
 
 
+def test_blocks_of_a_bucket_against_each_other(monkeypatch):
+    """Cells of a bucket's blocks give the pairs that the bucket gives in one piece."""
+    from millrace.llm import prefix_join
+    from millrace.llm.exchange import squeeze
+
+    rng = np.random.default_rng(6)
+    m = 300
+    n, at = rng.integers(40, 60, m).astype("<i4"), rng.integers(0, 6, m).astype("<i4")
+    node, label = np.arange(m), rng.integers(0, 250, m)
+    packed = pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([squeeze(np.full(m, 9, "<u4"), node, label, n, at)], pa.binary())], ["shard", "packed"])
+    found = []
+    for part in (1 << 20, 64):
+        monkeypatch.setattr(prefix_join, "PART", part)
+        rows = pa.Table.from_batches(prefix_join._met([packed], 3, 0.8, 8)).to_pandas()
+        assert rows.groupby(["bucket", "cell"]).size().max() <= 2 * part and rows["bucket"].nunique() == 1
+        bits = [prefix_join.bitmap(np.arange(1 << 30, (1 << 30) + n[i], dtype=np.uint64) << np.uint64(24)) for i in rows["x"]]
+        batch = pa.RecordBatch.from_arrays([*(pa.array(rows[c].to_numpy()) for c in ("bucket", "cell", "side", "x", "y")), *(pa.array(v[rows["x"]]) for v in (n, label)), pa.array(bits, pa.binary())], ["bucket", "cell", "side", "node", "at", "n", "label", "bits"])
+        found.append({p for b in prefix_join._compared([batch], 0.8) for p in zip(b.column("x").to_pylist(), b.column("y").to_pylist())})
+    assert found[0] == found[1] and len(found[0]) > 1000
+
+
 def test_bitmaps_bound_the_difference():
     from millrace.llm import prefix_join
 
