@@ -6,6 +6,7 @@ import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from ..functions import collections as C
@@ -22,6 +23,10 @@ QUERIES, ORACLES = {}, {}
 _DAY = "epoch_us(ts) // 86400000000"
 
 
+#: Schemas of tables by application and path.
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
+
+
 class Tables:
     """Tables by name, as batches or as streams."""
 
@@ -29,7 +34,12 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def __call__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A table, whose schema an application reads from its files once."""
+        path = f"{self.sf_dir}/{name}.parquet"
+        known = (self.spark.sparkContext.applicationId, path)
+        if known not in _SCHEMAS:
+            _SCHEMAS[known] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[known]).parquet(path)
 
     def live(self, name: str) -> DataFrame:
         # A pattern, because a stream's plain path must be a folder.
