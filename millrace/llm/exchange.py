@@ -1,8 +1,8 @@
 """Which grams occur more than once in a corpus, asked and answered in packed rows.
 
-Grams are asked for by one row for each chunk of documents and shard of the hash space: sorted hashes and their
-documents as bytes, so that a shuffle carries little more than the hashes. What repeats within a chunk is known to
-repeat at once, is asked once for all the chunk's documents, and so costs the same however common it is.
+Grams are asked for by one row for each unit of documents, of UNIT grams or a task's, and shard of the hash space: sorted
+hashes and their documents as bytes, so that a shuffle carries little more than the hashes. What repeats within a unit is
+known to repeat at once, is asked once for all the unit's documents, and so costs the same however common it is.
 """
 
 from __future__ import annotations
@@ -19,8 +19,10 @@ from .common import Chunk, by_shard, chunks, shards, stored, text_digest
 from .windows import mix
 
 ASK = "shard int, hashes binary, owners binary, known_hashes binary, known_owners binary"
-#: Times a gram is asked for (once by a chunk of documents, twice if it repeats there) from which on it is hot.
-HOT = 128
+#: Grams that a task asks for together: some ten MB of text.
+UNIT = 1 << 19
+#: Times a gram is asked for (once by a unit of documents, twice if it repeats there) from which on it is hot.
+HOT = 32
 #: Head of a packed row: entries, bytes before compression.
 HEAD = struct.Struct("<IQ")
 
@@ -69,38 +71,41 @@ def repeated(docs: DataFrame, grams: Callable[[Chunk], tuple[np.ndarray, np.ndar
     n = shards(docs)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for c in chunks(batches):
             doc, h = grams(c)
-            ids = c.ids()
-            order = np.lexsort((doc, h))
-            doc, h = doc[order], h[order]
-            same, twice = np.zeros(len(h), bool), np.zeros(len(h), bool)
-            same[1:] = h[1:] == h[:-1]
-            other = np.zeros(len(h), bool)
-            other[1:] = doc[1:] != doc[:-1]
-            # first of each (hash, document); hashes with a repeat in this chunk
-            twice[1:] = same[1:] & (True if within else other[1:])
-            group = np.cumsum(~same) - 1
-            known = np.zeros(group[-1] + 1 if len(group) else 0, bool)
-            known[group[twice]] = True
-            first = ~same | other
-            local = known[group]
-            send = np.flatnonzero(~same)  # one document stands for all, marked if the repeat is known already
-            place, cuts = dealt(h[send], n)
-            send = send[place]
-            owner = ids[doc[send]]
-            tell = np.flatnonzero(first & local)
-            place, at_known = dealt(h[tell], n)
-            tell = tell[place]
-            flag = local[send]
-            hs, os, kh, ko = h[send], owner, h[tell], ids[doc[tell]]
-            rows = []
-            for s in np.flatnonzero(np.diff(cuts)).tolist():
-                a, b, d, e = cuts[s], cuts[s + 1], at_known[s], at_known[s + 1]
-                again = flag[a:b]  # a known repeat asks twice
-                rows.append((s, hs[a:b].tobytes() + hs[a:b][again].tobytes(), os[a:b].tobytes() + os[a:b][again].tobytes(), kh[d:e].tobytes(), ko[d:e].tobytes()))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], ["shard", "hashes", "owners", "known_hashes", "known_owners"])
+            held.append((c.ids()[doc], h))
+            size += len(h)
+            if size >= UNIT:
+                yield from packed(*(np.concatenate(x) for x in zip(*held)))
+                held, size = [], 0
+        if held:
+            yield from packed(*(np.concatenate(x) for x in zip(*held)))
+
+    def packed(owner: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.lexsort((owner, h))
+        owner, h = owner[order], h[order]
+        same, other = np.zeros(len(h), bool), np.zeros(len(h), bool)
+        same[1:] = h[1:] == h[:-1]
+        other[1:] = owner[1:] != owner[:-1]
+        group = np.cumsum(~same) - 1
+        known = np.zeros(group[-1] + 1 if len(group) else 0, bool)
+        known[group[same & (other | within)]] = True
+        local = known[group]
+        send = np.flatnonzero(~same)  # one document stands for all, marked if the repeat is known already
+        place, cuts = dealt(h[send], n)
+        send = send[place]
+        tell = np.flatnonzero((~same | other) & local)
+        place, at_known = dealt(h[tell], n)
+        tell = tell[place]
+        flag, hs, os, kh, ko = local[send], h[send], owner[send], h[tell], owner[tell]
+        rows = []
+        for s in np.flatnonzero(np.diff(cuts)).tolist():
+            a, b, d, e = cuts[s], cuts[s + 1], at_known[s], at_known[s + 1]
+            again = flag[a:b]  # a known repeat asks twice
+            rows.append((s, hs[a:b].tobytes() + hs[a:b][again].tobytes(), os[a:b].tobytes() + os[a:b][again].tobytes(), kh[d:e].tobytes(), ko[d:e].tobytes()))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), *[pa.binary()] * 4))], ["shard", "hashes", "owners", "known_hashes", "known_owners"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
