@@ -16,13 +16,13 @@ from millrace.plans.syntax import SyntaxFault, parse
 
 @pytest.fixture(scope="module")
 def t(spark):
-    at = lambda s: dt.datetime(2022, 1, 1, 0, 0, s)
-    kv = spark.createDataFrame([(1, 2), (2, 2), (2, 2)], "k long, v long")
-    timed = spark.createDataFrame([(at(1), 1), (at(4), 2), (at(9), 3)], "t timestamp, v long")
-    names = spark.createDataFrame([(0, "Tim", at(1)), (1, "Bob", at(9))], "id long, name string, t timestamp")
-    ages = spark.createDataFrame([(0, 30, at(2)), (1, 100, at(4))], "id long, age long, t timestamp")
-    tries = spark.createDataFrame([((1, None),), ((None, "2"),), ((3, None),)], "value struct<ok:long,error:string>")
-    return {"kv": kv, "timed": timed, "names": names, "ages": ages, "tries": tries}
+    at = lambda m, s: dt.datetime(2023, 6, 5, 8, m, s)
+    kv = spark.createDataFrame([(10, 4), (20, 6), (20, 8)], "k long, v long")
+    readings = spark.createDataFrame([(at(0, 3), 11), (at(0, 14), 5), (at(0, 27), 8), (at(0, 29), 2)], "t timestamp, v long")
+    ships = spark.createDataFrame([(5, "Aurora", at(0, 2)), (6, "Borealis", at(0, 45)), (7, "Comet", at(1, 0))], "id long, name string, t timestamp")
+    loads = spark.createDataFrame([(5, 120, at(0, 9)), (6, 75, at(0, 20))], "id long, tons long, t timestamp")
+    tries = spark.createDataFrame([((41, None),), ((None, "lost"),), ((43, None),)], "value struct<ok:long,error:string>")
+    return {"kv": kv, "readings": readings, "ships": ships, "loads": loads, "tries": tries}
 
 
 def _values(df):
@@ -30,71 +30,71 @@ def _values(df):
 
 
 def test_cross_and_projection(t):
-    assert _values(run("val a = [1,2]; val b = [3]; from x in a, y in b", t)) == [(1, 3), (2, 3)]
-    assert _values(run("val a = [[[0,1]],[[2,3]],[[4,5]]]; from x in a, y in x, z in y yield z+1", t)) == [1, 2, 3, 4, 5, 6]
+    assert _values(run("val p = [7,9,12]; val q = [4,5]; from x in p, y in q where x != 9", t)) == [(7, 4), (7, 5), (12, 4), (12, 5)]
+    assert _values(run("val cube = [[[8],[6,1]],[[3]]]; from plane in cube, line in plane, dot in line yield dot*10", t)) == [80, 60, 10, 30]
 
 
 def test_selection_and_order(t):
-    assert _values(run("val a = [0,1,2,3,4]; from x in a where x % 2 == 0", t)) == [0, 2, 4]
-    assert _values(run("val a = [3,1,2,4,0]; from x in a order x", t)) == [0, 1, 2, 3, 4]
-    assert _values(run("val a = [3,1,2,4,0]; from x in a order x desc", t)) == [4, 3, 2, 1, 0]
-    assert _values(run("val b = [{k:3,v:3},{k:1,v:2},{k:2,v:9}]; from x in b order x on x.k", t)) == [(1, 2), (2, 9), (3, 3)]
+    assert _values(run("val a = [14,3,9,22]; from x in a where x % 3 == 0", t)) == [3, 9]
+    assert _values(run("val a = [14,3,9,22]; from x in a order x", t)) == [3, 9, 14, 22]
+    assert _values(run("val a = [14,3,9,22]; from x in a sort x desc", t)) == [22, 14, 9, 3]
+    assert _values(run("val b = [{n:6,m:1},{n:2,m:8},{n:4,m:5}]; from x in b order x on x.n", t)) == [(2, 8), (4, 5), (6, 1)]
 
 
 def test_aggregates(t):
-    c = run("val a = [1,2,3]; from x in a compute sum", t)
-    assert c.columns == ["sum"] and _values(c) == [6]
-    assert _values(run("val b = [{v:1},{v:2},{v:3}]; from x in b compute sum of x.v", t)) == [6]
-    assert _values(run("val a = [1,2,3]; from x in a reduce sum", t)) == [1, 3, 6]
-    assert _values(run("val a = [4,1,3,2]; from x in a compute median", t)) == [2.5]
+    c = run("val a = [5,15,2]; from x in a compute max", t)
+    assert c.columns == ["max"] and _values(c) == [15]
+    assert _values(run("val b = [{w:5},{w:15},{w:2}]; from x in b compute sum of x.w", t)) == [22]
+    assert _values(run("val a = [5,15,2]; from x in a reduce sum", t)) == [5, 20, 22]
+    assert _values(run("val a = [40,10,30,60]; from x in a compute median", t)) == [35.0]
 
 
 def test_groups(t):
     got = run("from x in kv group x.k", t)
-    assert sorted((r["k"], len(r["values"])) for r in got.collect()) == [(1, 1), (2, 2)]
-    assert sorted(_values(run("from x in kv group x.k compute average of x.v", t))) == [(1, 2.0), (2, 2.0)]
+    assert sorted((r["k"], len(r["values"])) for r in got.collect()) == [(10, 1), (20, 2)]
+    assert sorted(_values(run("from x in kv group x.k compute average of x.v", t))) == [(10, 4.0), (20, 7.0)]
 
 
 def test_windows(t):
     ends = lambda df, c: sorted((r["end"].second, r[c]) for r in df.collect())
-    assert ends(run("from x in timed window 5s on x.t compute count", t), "count") == [(5, 2), (10, 1)]
-    got = run("from x in timed window 5s on x.t", t).collect()
-    assert sorted((r["end"].second, [v["v"] for v in r["values"]]) for r in got) == [(5, [1, 2]), (10, [3])]
-    assert ends(run("from x in timed window 5s on x.t after 2s compute count", t), "count") == [(2, 1), (7, 1), (12, 1)]
-    assert ends(run("from x in timed window 6s on x.t every 3s compute count", t), "count") == [(3, 1), (6, 2), (9, 1), (12, 1), (15, 1)]
-    assert _values(run("from x in timed over counting(2) on x.t { compute sum of x.v }", t)) == [(0, 2, 3)]
+    assert ends(run("from x in readings window 15s on x.t compute sum of x.v", t), "sum") == [(15, 16), (30, 10)]
+    got = run("from x in readings window 15s on x.t", t).collect()
+    assert sorted((r["end"].second, [v["v"] for v in r["values"]]) for r in got) == [(15, [11, 5]), (30, [8, 2])]
+    assert ends(run("from x in readings window 15s on x.t after 4s compute count", t), "count") == [(4, 1), (19, 1), (34, 2)]
+    assert ends(run("from x in readings window 20s on x.t every 10s compute count", t), "count") == [(10, 1), (20, 2), (30, 3), (40, 2)]
+    assert _values(run("from x in readings over counting(3) on x.t { compute sum of x.v }", t)) == [(0, 3, 24)]
 
 
 def test_joins(t):
-    got = run("from x in names join y in ages on x.id == y.id select {x.name, y.age}", t)
-    assert sorted(_values(got)) == [("Bob", 100), ("Tim", 30)]
-    got = run("from x in names join y in ages on x.id == y.id window 5s on x.t, y.t select {x.name, y.age}", t)
-    assert _values(got) == [("Tim", 30)]
+    got = run("from s in ships join c in loads on s.id == c.id select {s.name, c.tons}", t)
+    assert sorted(_values(got)) == [("Aurora", 120), ("Borealis", 75)]
+    got = run("from s in ships join c in loads on s.id == c.id window 10s on s.t, c.t select {s.name, c.tons}", t)
+    assert _values(got) == [("Aurora", 120)]
 
 
 def test_split_union_into(t):
     ok, bad = run("from tries split error", t)
-    assert _values(ok) == [1, 3] and _values(bad) == ["2"]
+    assert _values(ok) == [41, 43] and _values(bad) == ["lost"]
     assert _values(run("from x in kv union kv compute count", t)) == [6]
     seen = []
-    run("from x in kv select x into keep", t, sinks={"keep": lambda df: seen.append(df.count())})
-    assert seen == [3]
+    run("from x in kv where x.v > 5 select x into keep", t, sinks={"keep": lambda df: seen.append(df.count())})
+    assert seen == [2]
 
 
 def test_functions_lambdas_match(t):
-    assert _values(run("def twice(x: i32) = x * 2; val a = [1,2]; from x in a select twice(x)", t)) == [2, 4]
-    assert _values(run('val a = ["a b", "c"]; from x in a from w in x.split(" ") select w', t)) == ["a", "b", "c"]
-    assert _values(run("val a = [[1,2,3]]; from x in a select x.map(fun(y) = y + 1).filter(fun(y) = y > 2)", t)) == [[3, 4]]
-    assert _values(run('val a = [0,1,2]; from x in a select match x { 0 | 1 => "low", _ => "high" }', t)) == ["low", "low", "high"]
-    assert _values(run("from x in tries select match x { Ok(v) => v, Err(e) => -1 }", t)) == [1, -1, 3]
-    assert _values(run("val a = [1]; from x in a select {a: x} & {b: x + 1}", t)) == [(1, 2)]
-    assert _values(run("val a = [1]; from x in a from y in 1..=3 select x + y", t)) == [2, 3, 4]
-    assert _values(run('val a = [1]; from x in a select "n$x and ${x + 1}!"', t)) == ["n1 and 2!"]
-    assert _values(run("from {id: i, name: n} in names where i in [1] select n", t)) == ["Bob"]
+    assert _values(run("def cube(x: i32) = x * x * x; val a = [2,5]; from x in a select cube(x)", t)) == [8, 125]
+    assert _values(run('val a = ["red-blue", "green"]; from x in a from c in x.split("-") select c', t)) == ["red", "blue", "green"]
+    assert _values(run("val a = [[4,9,16]]; from x in a select x.map(fun(y) = y - 4).filter(fun(y) = y > 0)", t)) == [[5, 12]]
+    assert _values(run('val a = [3,5,8]; from x in a select match x { 3 | 5 => "odd", _ => "other" }', t)) == ["odd", "odd", "other"]
+    assert _values(run("from x in tries select match x { Ok(v) => v + 1, Err(e) => 0 }", t)) == [42, 0, 44]
+    assert _values(run("val a = [6]; from x in a select {low: x - 3} & {next: x + 1}", t)) == [(3, 7)]
+    assert _values(run("val a = [20]; from x in a from y in 3..=5 select x * y", t)) == [60, 80, 100]
+    assert _values(run('val a = [9]; from x in a select "at $x of ${x * 2}."', t)) == ["at 9 of 18."]
+    assert _values(run("from {id: i, name: n} in ships where i in [6, 9] select n", t)) == ["Borealis"]
 
 
 def test_faults(t):
-    for bad in ("from x kv", "from x in kv select {", "val = 1; x", "from x in kv where ("):
+    for bad in ("from y kv", "from y in kv select {", "val = 4; y", "from y in kv where ("):
         with pytest.raises(SyntaxFault):
             parse(bad)
     with pytest.raises(Fault):
@@ -202,11 +202,44 @@ def test_delivery_price(spark, tmp_path):
     got = run(
         """from r: Parcel in parcels
         where fun(p) = p.items.len() > 0
-        join a0 in places on a0.id == r.src_id
-        join a1 in places on a1.id == r.dst_id
-        val features = [r.items.sum_by(_.mass), f32(r.t.day()), distance(a0, a1)]
+        join here in places on here.id == r.src_id
+        join there in places on there.id == r.dst_id
+        val features = [r.items.sum_by(_.mass), f32(r.t.day()), distance(here, there)]
         val [price] = prices.predict(features)
         select {id: r.id, price: price}""",
         {"parcels": parcels, "places": places}, {"distance": apart}, objects={"prices": Model(str(path))},
     )
     assert sorted(map(tuple, got.collect())) == [(7, 2 * 4.0 + 2 + 50), (9, 2 * 1.0 + 3 + 50)]
+
+
+def test_image_files_and_four_channels(spark, tmp_path):
+    gray = np.arange(6, dtype=np.uint8).reshape(2, 3, 1)
+    df = spark.createDataFrame([("a", 2, 3, 1, bytearray(gray.tobytes()))], "name string, height int, width int, channels int, data binary").select("name", F.struct("height", "width", "channels", "data").alias("image"))
+    four = df.select(images.into_matrix_rgba(F.col("image")).alias("m")).first()["m"]
+    assert four["shape"] == [2, 3, 4] and four["data"][:8] == [0, 0, 0, 255, 1, 1, 1, 255]
+    made = images.save(df, f"file://{tmp_path}/out").collect()
+    raw = (tmp_path / "out" / "a.ppm").read_bytes()
+    assert [tuple(r) for r in made] == [(f"file://{tmp_path}/out/a.ppm", len(raw))] and raw == b"P5 3 2 255\n" + gray.tobytes()
+
+
+def test_durations_and_types(spark, t):
+    got = _one(spark, h=M.duration_in(M.duration(90, "m"), "hours"), w=M.duration_in(M.duration(15, "d"), "weeks"), n=M.duration_in(M.duration_of(F.lit(2_500), "nanoseconds"), "nanoseconds"), ms=M.duration_in(M.duration_of(F.lit(-3), "minutes"), "milliseconds"))
+    assert got == {"h": 1, "w": 2, "n": 2000, "ms": -180_000}
+    assert _values(run("from x in kv select typeof(x.k)", t)) == ["bigint"] * 3
+
+
+def test_custom_monoid_by_parts(spark):
+    """A fold that depends on the order, over parts of one hot key, nulls and a key without values."""
+    from millrace.operators import aggregators as A
+    from millrace.operators.stream import Stream
+
+    at = lambda s: dt.datetime(2024, 2, 3, 4, s // 60, s % 60)
+    rows = [("hot", at(s * 7 % 600), str(s * 7 % 600)) for s in range(600)] + [("hot", at(5), None), ("none", at(9), None)]
+    df = spark.createDataFrame(rows, "k string, _t timestamp, v string").repartition(5)
+    joined = A.incremental(lambda x: x, lambda a, b: F.concat(a, F.lit(","), b), F.length)
+    got = {r["k"]: r["n"] for r in Stream(df).keyby(k=F.col("k")).aggregate(n=(joined, F.col("v"))).collect()}
+    want = sorted({(s * 7 % 600, str(s * 7 % 600), s) for s in range(600)})
+    assert got == {"hot": len(",".join(v for _, v, _ in want)), "none": None}
+    last = A.incremental(lambda x: x, lambda a, b: b)
+    got = {r["k"]: r["n"] for r in Stream(df).keyby(k=F.col("k")).aggregate(n=(last, F.col("v"))).collect()}
+    assert got == {"hot": "599", "none": None}
