@@ -188,25 +188,26 @@ def build(rows: list[tuple], terms: np.ndarray, relevance: np.ndarray | None = N
     """From examples as (id, toxic, places of terms, counts), and the key of their text if it is known."""
     n = max(1, len(rows))
     sizes = np.array([len(r[2]) for r in rows], np.int64)
-    term = np.concatenate([np.asarray(r[2], np.int64) for r in rows] or [np.empty(0, np.int64)])
-    count = np.concatenate([np.asarray(r[3], float) for r in rows] or [np.empty(0)])
-    row = np.repeat(np.arange(len(rows)), sizes)
+    term = np.concatenate([np.asarray(r[2], np.int32) for r in rows] or [np.empty(0, np.int32)])
+    count = np.concatenate([np.asarray(r[3], np.uint32) for r in rows] or [np.empty(0, np.uint32)])
     weight = np.log((1 + n) / (1 + np.bincount(term, minlength=len(terms)))) + 1
     if relevance is not None:
         weight = weight * relevance
-    w = (1 + np.log(count)) * weight[term]
-    norm = np.sqrt(np.bincount(row, w * w, len(rows)))
-    # Blocks of one label and one strongest word.
-    strongest = np.full(len(rows), len(terms))
-    order = np.lexsort((term, w, row))
-    last = np.flatnonzero(np.append(row[order][1:] != row[order][:-1], True)) if len(row) else order
-    strongest[row[order[last]]] = term[order[last]]
-    placed = np.lexsort(([r[0] for r in rows], strongest, [r[1] for r in rows]))
-    where = np.empty(len(rows), np.int64)
+    # Blocks of one label and one strongest word; an example without weight is in no posting.
+    strongest, ok = np.full(len(rows), len(terms)), np.zeros(len(term), bool)
+    for i, end in enumerate(np.cumsum(sizes).tolist()):
+        mine = slice(end - sizes[i], end)
+        w = (1 + np.log(count[mine])) * weight[term[mine]]
+        if len(w):
+            strongest[i] = term[mine][w.argmax()]
+            ok[mine] = w.max() > 0
+    placed = np.lexsort(([r[0] for r in rows], strongest, [r[1] for r in rows])) if rows else np.empty(0, np.int64)
+    where = np.empty(len(rows), np.int32)
     where[placed] = np.arange(len(rows))
-    ok = norm[row] > 0
-    term, example, count = term[ok], where[row[ok]], count[ok]
-    order = np.lexsort((example, term))
+    example = np.repeat(where, sizes)
+    if not ok.all():
+        term, example, count = term[ok], example[ok], count[ok]
+    order = np.argsort(term * np.int64(n) + example)
     toxic = np.array([rows[i][1] for i in placed], float)
     if base is None:
         base = float(toxic.mean()) if len(toxic) else 0.0
@@ -284,8 +285,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     keys, y = [(r["doc_id"], bytes(r["key"])) for r in found], np.array([r["y"] for r in found], np.int64)
     del found
     sizes = np.array([len(h) for h, _ in bags], np.int64)
-    terms, place = np.unique(np.concatenate([h for h, _ in bags] or [np.empty(0, np.uint64)]), return_inverse=True)
-    place = place.astype(np.int32)
+    terms = np.unique(np.concatenate([h for h, _ in bags] or [np.empty(0, np.uint64)]))
+    place = np.concatenate([np.searchsorted(terms, h).astype(np.int32) for h, _ in bags] or [np.empty(0, np.int32)])
     df, ones = np.bincount(place, minlength=len(terms)), np.bincount(place, np.repeat(y, sizes) if len(y) else None, len(terms))
     cuts = np.concatenate([[0], np.cumsum(sizes)])
     rows = [(i, int(t), place[a:b], count, key) for (i, key), t, a, b, (_, count) in zip(keys, y, cuts, cuts[1:], bags)]
