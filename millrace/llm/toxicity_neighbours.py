@@ -44,7 +44,7 @@ from .exchange import expand, squeeze
 
 EXAMPLES, SCALE, FLOOR, RARE, BLOCK, K, PRIOR = 3000, 24.0, 0.02, 256, 64, 15, 0.25
 #: Documents that are scored at once, and bytes of text taken up at once: they bound a worker's arrays.
-BATCH, TAKEN = 128, 1 << 20
+BATCH, TAKEN = 48, 1 << 19
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
@@ -94,9 +94,10 @@ class Index:
     @cached_property
     def postings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(word, example, normed weight)."""
-        term, example = np.repeat(np.arange(len(self.terms)), self.df), self.example.astype(np.int64)
+        term, example = np.repeat(np.arange(len(self.terms), dtype=np.int32), self.df), self.example.astype(np.int32)
         w = (1 + np.log(self.count)) * self.weight[term]
-        return term, example, w / np.sqrt(np.bincount(example, w * w, len(self.toxic)))[example]
+        w /= np.sqrt(np.bincount(example, w * w, len(self.toxic)))[example]
+        return term, example, w
 
     @cached_property
     def layout(self) -> Layout:
@@ -135,7 +136,12 @@ class Index:
         r = column < 0
         begin, sizes = x.at[term[r]], self.df[term[r]]
         i = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        s = np.bincount(np.repeat(doc[r] * wide, sizes) + x.example[i], np.repeat(v[r], sizes) * x.value[i], n * wide).astype(float).reshape(n, wide)
+        at, add = np.repeat(doc[r] * wide, sizes), np.repeat(v[r], sizes)
+        at += x.example[i]
+        add *= x.value[i]
+        del i
+        s = np.bincount(at, add, n * wide).astype(float, copy=False).reshape(n, wide)
+        del at, add
         for d, mine in enumerate(hidden):
             s[d, mine] = -1
         if not x.dense.shape[1]:
