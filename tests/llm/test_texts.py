@@ -264,7 +264,7 @@ def test_spans_by_hand():
 
 
 def test_second_delivery_scans_only_what_is_new(spark, tmp_path):
-    docs = spark.createDataFrame([(i, t, f"s{i % 3}") for i, t in enumerate(TEXTS * 3)], "doc_id long, text string, source string")
+    docs = spark.createDataFrame([(i, t, f"s{int(i % len(TEXTS) > 4)}") for i, t in enumerate(TEXTS * 3)], "doc_id long, text string, source string")
     path = f"file://{tmp_path}/ledger"
     first = secret_ledger.scan_unseen(docs.where("source = 's0'"), path)
     before = {bytes(r["blob"]) for r in first.collect()}
