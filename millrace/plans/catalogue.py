@@ -129,12 +129,12 @@ df AS (SELECT word, count(*) AS df FROM tf GROUP BY word), n AS (SELECT count(*)
 SELECT doc_id, word, round(tf * (ln(n / df) + 1), 6) AS tf_idf FROM tf JOIN df USING (word), n""")
 def tf_idf(t):
     """A document's id is its key, so documents with a word are counted by their distinct words: counts combine before the
-    shuffle, the small result is broadcast if its size allows, and the terms of documents are shuffled once."""
+    shuffle, and their result, a row a word, is hashed where the documents' terms meet it: neither side is sorted."""
     docs = t("documents").select("doc_id", F.split("text", " ").alias("words"))
     tf = docs.select("doc_id", F.explode("words").alias("word")).where("word <> ''").groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("tf"))
     df = docs.select(F.explode(F.array_distinct("words")).alias("word")).where("word <> ''").groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     n = t("documents").agg(F.count(F.lit(1)).alias("n"))
-    scored = tf.join(df, "word").crossJoin(F.broadcast(n))  # one row
+    scored = tf.join(df.hint("shuffle_hash"), "word").crossJoin(F.broadcast(n))  # one row
     return scored.select("doc_id", "word", F.round(F.col("tf") * (F.log(F.col("n") / F.col("df")) + 1), 6).alias("tf_idf"))
 
 
