@@ -1,15 +1,30 @@
 """A training corpus from raw documents: toxicity, near-dedup, decontamination, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next stage's
-documents; all but the last return the columns of documents.
+documents; all but the last return the columns of documents. The session's Arrow batches are small from then on, for a
+stage's texts are in an executor and its Python workers several times over.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import covering_simhash, decontaminate, packing, secret_ledger, toxicity_neighbours
-from millrace.llm.common import stored, table
+from millrace.llm.common import small_batches, stored, table
+
+
+def _lean(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage in a session with small batches."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +52,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return packing.pack(docs)
 
 
-STAGES = [(f.__name__, f) for f in (toxicity, near_dedup, decontamination, secrets, best_fit_packing)]
+STAGES = [(f.__name__, _lean(f)) for f in (toxicity, near_dedup, decontamination, secrets, best_fit_packing)]
 
 #: The stages' models, tokenizers and components are beyond SQL; tests hold them against brute force.
 ORACLE_SQL = None

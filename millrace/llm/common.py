@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import sys
+from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -14,6 +15,8 @@ from ..session import shared_folder
 
 #: Bytes of text that one NumPy pass works on; a longer document is a chunk of its own.
 CHUNK_BYTES = 1 << 21
+#: Bytes of an Arrow batch between an executor and its Python worker, of which both hold several at a time.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,6 +115,42 @@ def by_shard(df: DataFrame, n: int) -> DataFrame:
     return df.repartitionById(n, F.col("shard"))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches have at most BATCH_BYTES, or one row; a lower limit of its own stays.
+
+    By Spark's default a batch has up to 64 MB. Plans are executed later, so the setting stays."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    bytes_ = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    if bytes_(spark.conf.get(setting)) > BATCH_BYTES:
+        spark.conf.set(setting, f"{BATCH_BYTES}b")
+
+
+def _trim() -> None:
+    """Gives memory that this process has freed back to the system, where the allocators know how."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def lean(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`work` for mapInArrow in a worker that keeps nothing beside it: neither the encoders of tasks before, for workers
+    outlive tasks, nor memory that it has freed itself."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens = sys.modules.get("millrace.llm.tokens")
+        if tokens is not None:
+            tokens.encoder.cache_clear()
+        _trim()
+        yield from work(batches)
+        _trim()
+
+    return run
+
+
 class Chunk(NamedTuple):
     """Consecutive documents of one Arrow batch: rows [at, at + n) of it, their bytes joined."""
 

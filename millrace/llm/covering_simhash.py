@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import prefix_join
-from .common import chunks, release, stored, text_digest, texts
+from .common import chunks, lean, release, stored, text_digest, texts
 from .windows import mix
 
 RADIUS, LARGE = 3, 512
@@ -39,8 +39,8 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
     return _signed_texts(texts(docs, id_col, text_col), shingle, distinct, count)
 
 
-def _signed_texts(source: DataFrame, shingle: int, distinct: bool, count: int) -> DataFrame:
-    """The fingerprints in the place of the column text; other columns stay."""
+def _signed_texts(source: DataFrame, shingle: int, distinct: bool, count: int, around=lambda work: work) -> DataFrame:
+    """The fingerprints in the place of the column text; other columns stay. `around` is put around what workers do."""
     carried = [c for c in source.columns if c != "text"]
     names = ["fp", *(f"fp{k}" for k in range(1, count))]
 
@@ -74,7 +74,7 @@ def _signed_texts(source: DataFrame, shingle: int, distinct: bool, count: int) -
             yield pa.RecordBatch.from_arrays([*map(c.column, carried), *(pa.array(x.view(np.int64)) for x in out)], [*carried, *names])
 
     schema = source.select(*carried, *[F.lit(0).cast("long").alias(n) for n in names]).schema
-    return source.mapInArrow(sign, schema)
+    return source.mapInArrow(around(sign), schema)
 
 
 def masks(places: int, radius: int = RADIUS) -> list[int]:
@@ -220,7 +220,7 @@ def near_pairs(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius:
     of `prefix_join`. So whatever the fingerprints miss or their reduction drops is found."""
     source = texts(docs, id_col, text_col).where("doc_id is not null").withColumn("digest", text_digest(F.col("text")))
     names = ["fp", *(f"fp{k}" for k in range(1, count))]
-    signed = stored(_signed_texts(source, 1, True, count).distinct(), "signed")
+    signed = stored(_signed_texts(source, 1, True, count, lean).distinct(), "signed")
     unique = stored(signed.groupBy("digest", *names).agg(F.min("doc_id").alias("doc_id")).withColumn("node", F.monotonically_increasing_id()), "unique-texts")
     edges = None
     for fp in names:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import windows as W
-from .common import Chunk, by_shard, chunks, release, shards, stored
+from .common import Chunk, by_shard, chunks, lean, release, shards, stored
 from .exchange import dealt, expand, squeeze
 
 #: Texts under a shingle from which it goes to the end of the order, slots of the order's table, times it is refined.
@@ -69,7 +69,7 @@ def _frequent(source: DataFrame, words: int, similarity: float, ranks: np.ndarra
             some = np.flatnonzero(total > hot)
             yield pa.RecordBatch.from_arrays([pa.array((h[some] & np.uint64(RANKS - 1)).astype(np.int64)), pa.array(total[some])], ["slot", "c"])
 
-    return by_shard(source.mapInArrow(count, "shard int, packed binary"), n).mapInArrow(add, "slot long, c long").groupBy("slot").agg(F.max("c").alias("c"))
+    return by_shard(source.mapInArrow(lean(count), "shard int, packed binary"), n).mapInArrow(lean(add), "slot long, c long").groupBy("slot").agg(F.max("c").alias("c"))
 
 
 def order(source: DataFrame, words: int, similarity: float, n: int, hot: int = HOT, rounds: int = ROUNDS) -> np.ndarray:
@@ -259,14 +259,14 @@ def candidates(source: DataFrame, nodes: DataFrame, words: int, similarity: floa
             rows = [(s, squeeze(low[p], node[p], label[p], m[p].astype("<i4"), at[p].astype("<i4"))) for s in np.flatnonzero(np.diff(cuts)).tolist() for p in (place[cuts[s] : cuts[s + 1]],)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "packed"])
 
-    made = source.mapInArrow(prefixes, "doc_id long, digest binary, n int, hs binary, bits binary")
+    made = source.mapInArrow(lean(prefixes), "doc_id long, digest binary, n int, hs binary, bits binary")
     nodes = nodes.select(F.col("doc_id").alias("_i"), F.col("digest").alias("_g"), "node", "label")
     sketches = stored(made.join(nodes.hint("shuffle_hash"), (F.col("doc_id") == F.col("_i")) & (F.col("digest") == F.col("_g"))).select("node", "label", "n", "hs", "bits"), "sketches")
-    met = stored(by_shard(sketches.select("node", "label", "n", "hs").mapInArrow(deal, "shard int, packed binary"), n).mapInArrow(lambda it: _met(it, shard_bits, similarity, small), "x long, y long, bucket long, cell int, side byte"), "met")
+    met = stored(by_shard(sketches.select("node", "label", "n", "hs").mapInArrow(lean(deal), "shard int, packed binary"), n).mapInArrow(lean(lambda it: _met(it, shard_bits, similarity, small)), "x long, y long, bucket long, cell int, side byte"), "met")
     large = met.where("bucket is not null").select("bucket", "cell", "side", F.col("x").alias("_n"), F.col("y").cast("int").alias("at"))
     known = sketches.select("node", "label", "n", "bits").dropDuplicates(["node"])
     large = large.join(known, F.col("_n") == F.col("node")).select(F.pmod(F.xxhash64("bucket", "cell"), F.lit(n)).cast("int").alias("shard"), "bucket", "cell", "side", "node", "label", "n", "at", "bits")
-    filtered = by_shard(large, n).mapInArrow(lambda it: _compared(it, similarity), "x long, y long")
+    filtered = by_shard(large, n).mapInArrow(lean(lambda it: _compared(it, similarity)), "x long, y long")
     out = stored(met.where("bucket is null").select("x", "y").unionByName(filtered).distinct(), "prefix-pairs")
     release(sketches, met)
     return out

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import windows as W
-from .common import Chunk, chunks, stored, texts
+from .common import Chunk, chunks, lean, stored, texts
 from .exchange import expand, squeeze
 
 EXAMPLES, SCALE, FLOOR, RARE, BLOCK, K, PRIOR = 3000, 24.0, 0.02, 256, 64, 15, 0.25
@@ -340,4 +340,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
             clean = [x < threshold for c in chunks([plain], text_col, TAKEN) for x in model.rate(c)[0].tolist()]
             yield batch.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(keep, schema)
+    return docs.mapInArrow(lean(keep), schema)

@@ -105,3 +105,28 @@ def test_names_that_the_stages_use_themselves(spark, tmp_path):
         if name == "secrets":
             assert kept[2]["text"] == "[secret] is here" and kept[4]["text"] is None
     assert {r["doc_id"] for r in corpus_pipeline.STAGES[4][1](spark, docs, folder).collect()} == {0, 1, 2, 3, 4}
+
+
+def test_batches_are_small_and_workers_keep_no_encoder(spark, tmp_path):
+    import pyarrow as pa
+
+    from millrace.llm import tokens
+    from millrace.llm.common import BATCH_BYTES, lean
+
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(setting)
+    size = lambda it: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in it)
+    texts = spark.range(0, 9000, 1, 1).selectExpr("id AS doc_id", "repeat('ab ', 700) AS text", "'en' AS lang", "'s' AS source", "1L AS n_chars")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    try:
+        dict(corpus_pipeline.STAGES)["toxicity"](spark, texts, str(tmp_path))
+        sizes = [r["n"] for r in texts.mapInArrow(size, "n long").collect()]
+        assert len(sizes) > 1 and max(sizes) <= BATCH_BYTES + (1 << 13)
+        spark.conf.set(setting, "1m")
+        dict(corpus_pipeline.STAGES)["near_dedup"](spark, texts.limit(2), str(tmp_path))
+        assert spark.conf.get(setting) == "1m"
+    finally:
+        spark.conf.set(setting, before)
+    tokens.encoder()
+    assert tokens.encoder.cache_info().currsize
+    assert list(lean(lambda it: (2 * x for x in it))([1, 2])) == [2, 4] and not tokens.encoder.cache_info().currsize
