@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import prefix_join
-from .common import chunks, lean, release, stored, text_digest, texts
+from .common import chunks, lean, release, shards, stored, text_digest, texts
 from .windows import mix
 
 RADIUS, LARGE = 3, 512
@@ -194,14 +194,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS, id_
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _verified(source: DataFrame, unique: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(a, b), stored: the pairs x, y of nodes whose texts share `similarity` of their distinct shingles."""
+def _shingle_sets(source: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, s), stored: the distinct shingles of the texts of `nodes`, by their doc_id and digest."""
     from .decontaminate import _shingle_hashes, _words
 
-    ends = pairs.select(F.col("x").alias("_n")).union(pairs.select("y")).distinct()
-    nodes = stored(unique.join(ends, F.col("node") == F.col("_n")).select("node", F.col("doc_id").alias("_i"), F.col("digest").alias("_g")), "nodes")
+    nodes = nodes.select("node", F.col("doc_id").alias("_i"), F.col("digest").alias("_g"))
     sets = source.join(nodes.hint("shuffle_hash"), (F.col("doc_id") == F.col("_i")) & (F.col("digest") == F.col("_g"))).select("node", _words(F.lower("text")).alias("w")).select("node", F.array_distinct(_shingle_hashes("w", words)).alias("s"))
-    sets = stored(sets.groupBy("node").agg(F.first("s").alias("s")), "shingle-sets")  # a repeated row is one text
+    return stored(sets.groupBy("node").agg(F.first("s").alias("s")), "shingle-sets")  # a repeated row is one text
+
+
+def _verified(source: DataFrame, unique: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b), stored: the pairs x, y of nodes whose texts share `similarity` of their distinct shingles."""
+    ends = pairs.select(F.col("x").alias("_n")).union(pairs.select("y")).distinct()
+    nodes = stored(unique.join(ends, F.col("node") == F.col("_n")).select("node", "doc_id", "digest"), "nodes")
+    sets = _shingle_sets(source, nodes, words)
     side = lambda n: sets.select(F.col("node").alias(n), F.col("s").alias(f"s{n}"))
     both = pairs.join(side("x"), "x").join(side("y"), "y").withColumn("n", F.size(F.array_intersect("sx", "sy")))
     out = stored(both.where(F.col("n") >= similarity * (F.size("sx") + F.size("sy") - F.col("n")) - 1e-9).select(F.col("x").alias("a"), F.col("y").alias("b")), "near-pairs")
@@ -209,6 +215,17 @@ def _verified(source: DataFrame, unique: DataFrame, pairs: DataFrame, words: int
     return out
 
 
+def _linked(source: DataFrame, nodes: DataFrame, joined: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b), stored: links that join what all pairs at the threshold join in each group of labels that `joined` makes."""
+    groups = components(joined, "label-groups").select(F.col("node").alias("_l"), F.col("label").alias("grp"))
+    nodes = stored(nodes.join(groups, F.col("label") == F.col("_l")).select("doc_id", "digest", "node", "label", "grp"), "grouped-nodes")
+    sets = _shingle_sets(source, nodes, words)
+    own = stored(sets.join(nodes.select(F.col("node").alias("_n"), "label", "grp"), F.col("node") == F.col("_n")).select("node", "label", "grp", "s"), "grouped-sets")
+    out = stored(prefix_join.linked(own, similarity, shards(source)), "linked")
+    release(nodes, sets, own)
+    return out
+
+
 def near_pairs(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 4, count: int = 3, id_col: str = "doc_id", text_col: str = "text", frequent: int = prefix_join.HOT, small: int = prefix_join.SMALL) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(rows, texts, links). rows: doc_id and digest of each row with an id; texts: digest, least doc_id and node of each
     different text; links: pairs (a, b) of nodes with that similarity of their distinct shingles (Jaccard), lower-cased.
@@ -217,7 +234,7 @@ def near_pairs(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius:
     first from `count` fingerprints of the distinct words, of which an edit changes one and not `words`: links between
     fingerprints within `radius` bits, and each text's to the first of its own fingerprint. These join most copies by few
     comparisons. Then every pair that they leave apart and that can reach the threshold is compared, by the exact prefixes
-    of `prefix_join`. So whatever the fingerprints miss or their reduction drops is found."""
+    of `prefix_join`; pairs under a shingle of many texts in groups, of which only links that join more leave a task. So whatever the fingerprints miss or their reduction drops is found."""
     source = texts(docs, id_col, text_col).where("doc_id is not null").withColumn("digest", text_digest(F.col("text")))
     names = ["fp", *(f"fp{k}" for k in range(1, count))]
     signed = stored(_signed_texts(source, 1, True, count, lean).distinct(), "signed")
@@ -235,8 +252,10 @@ def near_pairs(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius:
     labels = stored(components(real), "near-labels")
     nodes = unique.join(labels.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select("doc_id", "digest", "node", F.coalesce("label", "node").alias("label"))
     lower = source.withColumn("text", F.lower("text"))
-    more = prefix_join.candidates(lower, stored(nodes, "labelled"), words, similarity, frequent, small=small)
-    return signed.select("doc_id", "digest"), unique.select("digest", "doc_id", "node"), real.unionByName(_verified(source, unique, more, words, similarity))
+    nodes = stored(nodes, "labelled")
+    more, joined = prefix_join.candidates(lower, nodes, words, similarity, frequent, small=small)
+    found = _verified(source, unique, more, words, similarity).unionByName(_linked(source, nodes, joined, words, similarity))
+    return signed.select("doc_id", "digest"), unique.select("digest", "doc_id", "node"), real.unionByName(found)
 
 
 def keep_one(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 4, count: int = 3, id_col: str = "doc_id", text_col: str = "text", frequent: int = prefix_join.HOT, small: int = prefix_join.SMALL) -> DataFrame:

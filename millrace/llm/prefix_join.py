@@ -10,6 +10,11 @@ Under a shingle, pairs are made of texts that no link joins yet, whose sizes and
 Where more than SMALL texts meet, as many edited copies of one text do, a pair must also pass their bitmaps: each has a bit
 for about each shingle, the parity of the shingles that fall on it, so that two texts differ in at least as many shingles as
 their bitmaps do in bits. That is exact too, and leaves few pairs below the threshold.
+
+Such pairs grow with the square of the copies and do not leave their task: what leaves it is a spanning forest of the labels
+that they join. Texts whose labels a path of such pairs joins are a group; `linked` sends their shingle sets to cells, once
+each where the group is small, compares them there exactly and again gives only a spanning forest of the labels. A pair at
+the threshold is in one group, so its labels are joined in the end; no pair below it is given.
 """
 
 from __future__ import annotations
@@ -31,6 +36,8 @@ HOT, RANKS, ROUNDS = 32, 1 << 22, 2
 #: Texts under a shingle up to which bitmaps are not asked for, and from which they are compared in several tasks: block
 #: against block of this many.
 SMALL, PART = 8, 1024
+#: Shingles of a block of texts that are compared by their sets, if it has more than one text.
+SHINGLES = 1 << 20
 
 
 def _shingles(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[tuple[Chunk, list[np.ndarray]]]:
@@ -235,8 +242,124 @@ def _compared(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[
         yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["x", "y"])
 
 
-def candidates(source: DataFrame, nodes: DataFrame, words: int, similarity: float, hot: int = HOT, rounds: int = ROUNDS, small: int = SMALL) -> DataFrame:
-    """(x, y), x < y, stored: pairs of nodes that can reach the threshold and whose labels differ.
+def _joined(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """(a, b): a spanning forest of the labels that pairs under shingles of many texts join."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    node, first = np.unique(np.concatenate([b.column("node").to_numpy() for b in held]), return_index=True)
+    labels, own = np.unique(np.concatenate([b.column("label").to_numpy() for b in held])[first], return_inverse=True)
+    parent = np.arange(len(labels)).tolist()
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for pairs in _compared(held, similarity):
+        roots = np.array([root(x) for x in range(len(labels))])
+        x, y = (roots[own[np.searchsorted(node, pairs.column(c).to_numpy())]] for c in ("x", "y"))
+        apart = np.unique((np.minimum(x, y) * len(labels) + np.maximum(x, y))[x != y])
+        made = []
+        for x, y in zip((apart // len(labels)).tolist(), (apart % len(labels)).tolist()):
+            a, b = root(x), root(y)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                made.append((x, y))
+        if made:
+            a, b = np.array(made).T
+            yield pa.RecordBatch.from_arrays([pa.array(labels[a]), pa.array(labels[b])], ["a", "b"])
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each cell, of rows in the order of their cells."""
+    held, last = [], None
+    for b in batches:
+        cell = b.column("cell").to_numpy()
+        cuts = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
+        for s, e in zip(cuts, cuts[1:]):
+            if s == e:
+                continue
+            if held and cell[s] != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = cell[s]
+            held.append(b.slice(s, e - s))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _links(cell: pa.Table, similarity: float, limit: int = 1 << 18) -> list[tuple[int, int]]:
+    """A spanning forest of a cell's labels, by pairs of nodes whose sets `s` reach the threshold."""
+    node, label, side = (cell.column(c).to_numpy() for c in ("node", "label", "side"))
+    n = cell.column("s").combine_chunks().value_lengths().to_numpy().astype(np.int64)
+    starts = np.cumsum(n) - n
+    shingles = np.concatenate([x.flatten().to_numpy() for x in cell.column("s").chunks]).view(np.uint64)
+    bits = [bitmap(shingles[s : s + k]) for s, k in zip(starts.tolist(), n.tolist())]
+    names, shingles = np.unique(shingles, return_inverse=True)
+    part = np.unique(label, return_inverse=True)[1]  # what the links so far join has one number
+    has, out = np.zeros(len(names), bool), []
+    for x, y in _pairs(np.arange(len(node)), n, np.zeros(len(node), np.int64), label, similarity, bits, side):
+        apart = part[x] != part[y]
+        x, y = x[apart], y[apart]
+        cuts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1], [True]])).tolist() if len(x) else []
+        for s, e in zip(cuts, cuts[1:]):
+            i = int(x[s])
+            own = shingles[starts[i] : starts[i] + n[i]]
+            has[own] = True
+            ends = np.cumsum(n[y[s:e]])
+            at = 0
+            while at < e - s:
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, "right")))
+                j = y[s + at : s + to]
+                at = to
+                j = j[part[j] != part[i]]
+                sizes = n[j]
+                which = np.repeat(np.arange(len(j)), sizes)
+                place = np.arange(len(which)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[j][which]
+                common = np.bincount(which, weights=has[shingles[place]], minlength=len(j))
+                j = j[common >= similarity * (n[i] + sizes - common) - 1e-9]
+                for k in j[np.unique(part[j], return_index=True)[1]].tolist():
+                    out.append((int(node[i]), int(node[k])))
+                    part[part == part[k]] = part[i]
+            has[own] = False
+    return out
+
+
+def linked(sets: DataFrame, similarity: float, n: int, part: int = PART, shingles: int = SHINGLES) -> DataFrame:
+    """(a, b): pairs of nodes at the threshold that join the labels of each group as all such pairs in it would.
+
+    `sets` is a stored table of node, label, grp and s, the node's distinct shingles. A label that fills blocks of `part`
+    texts or `shingles` has its own, which are not compared with each other; the others of a group share blocks. Each block
+    meets each in a cell."""
+    sized = sets.groupBy("grp", "label").agg(F.count(F.lit(1)).alias("c"), F.sum(F.size("s")).alias("w"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("c") / part), F.ceil(F.col("w") / shingles)).cast("int")
+    # Labels are not negative: -1 are the blocks that small ones share.
+    whole = (F.col("c") >= part) | (F.col("w") >= shingles)
+    owners = sized.groupBy("grp", F.when(whole, F.col("label")).otherwise(F.lit(-1)).alias("own")).agg(F.sum("c").alias("c"), F.sum("w").alias("w")).select("grp", "own", blocks.alias("blocks"))
+    owners = stored(owners, "owners")
+    large = owners.where("own >= 0").select(F.col("grp").alias("_g"), F.col("own").alias("_o"), F.col("blocks").alias("_b"))
+    shared = owners.where("own < 0").select(F.col("grp").alias("_r"), F.col("blocks").alias("_c"))
+    placed = sets.join(large, (F.col("grp") == F.col("_g")) & (F.col("label") == F.col("_o")), "left").join(shared, F.col("grp") == F.col("_r"), "left")
+    placed = placed.select("grp", F.coalesce("_o", F.lit(-1)).alias("own"), F.pmod(F.xxhash64("node"), F.coalesce("_b", "_c")).cast("int").alias("block"), "node", "label", "s")
+    block = owners.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("grp", F.struct("own", "block").alias("p"))
+    both = block.join(block.select("grp", F.col("p").alias("q")), "grp").where("p < q and p.own <> q.own or p.own = -1 and q.own = -1 and p <= q")
+    cells = stored(both.withColumn("cell", F.monotonically_increasing_id()), "cells")
+    sides = cells.select("grp", "p.own", "p.block", "cell", F.lit(0).alias("side")).unionByName(cells.where("p <> q").select("grp", "q.own", "q.block", "cell", F.lit(1).alias("side")))
+    dealt_out = placed.join(sides, ["grp", "own", "block"]).select(F.pmod(F.xxhash64("cell"), F.lit(n)).cast("int").alias("shard"), "cell", "side", "node", "label", "s")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in _cells(batches):
+            found = np.array(_links(cell, similarity), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    return by_shard(dealt_out, n).sortWithinPartitions("cell").mapInArrow(lean(compare), "a long, b long")
+
+
+def candidates(source: DataFrame, nodes: DataFrame, words: int, similarity: float, hot: int = HOT, rounds: int = ROUNDS, small: int = SMALL) -> tuple[DataFrame, DataFrame]:
+    """Of the pairs of nodes that can reach the threshold and whose labels differ, stored: (x, y), x < y, those under
+    shingles of at most `small` texts; (a, b) labels, which join all labels that the other pairs join.
 
     `source` has doc_id, digest and text, `nodes` has doc_id, digest, node and label: the texts to compare."""
     n = shards(source)
@@ -266,7 +389,7 @@ def candidates(source: DataFrame, nodes: DataFrame, words: int, similarity: floa
     large = met.where("bucket is not null").select("bucket", "cell", "side", F.col("x").alias("_n"), F.col("y").cast("int").alias("at"))
     known = sketches.select("node", "label", "n", "bits").dropDuplicates(["node"])
     large = large.join(known, F.col("_n") == F.col("node")).select(F.pmod(F.xxhash64("bucket", "cell"), F.lit(n)).cast("int").alias("shard"), "bucket", "cell", "side", "node", "label", "n", "at", "bits")
-    filtered = by_shard(large, n).mapInArrow(lean(lambda it: _compared(it, similarity)), "x long, y long")
-    out = stored(met.where("bucket is null").select("x", "y").unionByName(filtered).distinct(), "prefix-pairs")
+    joined = stored(by_shard(large, n).mapInArrow(lean(lambda it: _joined(it, similarity)), "a long, b long").distinct(), "joined-labels")
+    out = stored(met.where("bucket is null").select("x", "y").distinct(), "prefix-pairs")
     release(sketches, met)
-    return out
+    return out, joined

@@ -503,6 +503,80 @@ def test_large_group_of_edited_copies(spark, small):
     assert kept == {i for i in label if root(i) == i} and 10 < len(kept) < 150
 
 
+def _edited_copies(rng, bases, copies, words, edits):
+    rows = []
+    for _ in range(bases):
+        base = [f"w{rng.randint(0, 10**6)}" for _ in range(words)]
+        for _ in range(copies):
+            c = list(base)
+            for k in rng.sample(range(len(c)), rng.randint(0, edits)):
+                c[k] = f"e{rng.randint(0, 10**6)}"
+            rows.append((len(rows), " ".join(c)))
+    return rows
+
+
+def _least(nodes, pairs):
+    """The least node of each node's component."""
+    label = {i: i for i in nodes}
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, j in pairs:
+        a, b = root(i), root(j)
+        label[max(a, b)] = min(a, b)
+    return {i: root(i) for i in nodes}
+
+
+def test_links_of_a_group_do_not_grow_with_its_square(spark):
+    """Edited copies that no fingerprint joins: twice the copies, about twice the links, which join what all pairs join."""
+    made = []
+    for copies in (150, 300):
+        rows = _edited_copies(random.Random(33), 1, copies, 150, 3)
+        _, texts, links = covering_simhash.near_pairs(spark.createDataFrame(rows, "doc_id long, text string"), radius=0, count=1)
+        ids = {r["node"]: r["doc_id"] for r in texts.collect()}
+        pairs = [(ids[r["a"]], ids[r["b"]]) for r in links.collect()]
+        sets = {i: t.split() for i, t in rows if i in set(ids.values())}
+        near = [(i, j) for i in sets for j in sets if i < j and _jaccard(sets[i], sets[j]) >= 0.8 - 1e-9]
+        assert set(map(lambda p: (min(p), max(p)), pairs)) <= set(near)
+        assert _least(sets, pairs) == _least(sets, near)
+        assert len(near) > 8 * copies
+        made.append(len(set(pairs)))
+    assert made[1] < 3 * made[0] and made[1] < 4 * 300
+
+
+@pytest.mark.parametrize("part, shingles", [(1 << 10, 1 << 20), (16, 1 << 20), (1 << 10, 300)])
+def test_cells_of_a_group(spark, tmp_path, part, shingles):
+    """Blocks of large labels and of small ones give the links that all pairs of a group give, and no others."""
+    from millrace.llm import prefix_join
+
+    rng = np.random.default_rng(9)
+    rows, near = [], []
+    for grp in (5, 70):
+        base = rng.integers(-(1 << 62), 1 << 62, 50)
+        for i in range(80):
+            s = base.copy()
+            k = rng.integers(0, 12)
+            s[rng.permutation(50)[:k]] = rng.integers(-(1 << 62), 1 << 62, k)
+            node = len(rows)
+            rows.append((node, grp if i % 2 and k < 4 else 1000 + node, grp, s.tolist()))
+    rows += [(500, 500, 5, []), (501, 501, 5, []), (502, 502, 70, [])]
+    spark.createDataFrame(rows, "node long, label long, grp long, s array<long>").write.parquet(f"{tmp_path}/sets")
+    of = {r[0]: r for r in rows}
+    for a in rows:
+        for b in rows:
+            x, y = set(a[3]), set(b[3])
+            if a[0] < b[0] and a[2] == b[2] and a[1] != b[1] and len(x & y) >= 0.8 * len(x | y) - 1e-9:
+                near.append((a[0], b[0]))
+    got = [(min(r), max(r)) for r in map(tuple, prefix_join.linked(spark.read.parquet(f"{tmp_path}/sets"), 0.8, 3, part, shingles).collect())]
+    assert set(got) <= set(near) and (500, 501) in got
+    labels = lambda pairs: _least({r[1] for r in rows}, [(of[a][1], of[b][1]) for a, b in pairs])
+    assert labels(got) == labels(near) and len(set(labels(near).values())) > 4
+    assert part < 1 << 10 or shingles < 1 << 20 or len(got) < len(rows)
+
+
 def test_blocks_of_a_bucket_against_each_other(monkeypatch):
     """Cells of a bucket's blocks give the pairs that the bucket gives in one piece."""
     from millrace.llm import prefix_join
